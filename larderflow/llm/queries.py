@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_paths, mixing, secret_scan, sharding, simple8b
+from . import html_paths, jaccard_join, mixing, secret_scan, sharding, simple8b
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(docs, secret_scan.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(table(spark, sf_dir, "documents"))
+
+
 def op9_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.simple8b(table(spark, sf_dir, "documents"))
 
