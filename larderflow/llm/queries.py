@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_paths, jaccard_join, kn_quality, mixing, secret_scan, sharding, simple8b
+from . import html_paths, jaccard_join, kn_quality, mixing, packing, secret_scan, sharding, simple8b
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.groups(table(spark, sf_dir, "documents"))
 
 
+def op8_related_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.simple8b(table(spark, sf_dir, "documents"))
 
