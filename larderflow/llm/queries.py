@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_paths, jaccard_join, kn_quality, mixing, packing, secret_scan, sharding, simple8b
+from . import html_paths, jaccard_join, kn_quality, mixing, near_vectors, packing, secret_scan, sharding, simple8b, topk
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.groups(table(spark, sf_dir, "embeddings"))
+
+
 def op4_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_paths.extract(table(spark, sf_dir, "pages"))
 
@@ -31,6 +35,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.groups(table(spark, sf_dir, "documents"))
 
 
+def op7_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_related_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -48,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_sharding": sharding.SQL}
+    return {"op3_near_embeddings": near_vectors.SQL, "op7_threshold_topk": topk.SQL, "op10_sharding": sharding.SQL}
