@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -89,16 +91,12 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame | None, texts: int = TRAIN_TEXTS, seed: int = SEED) -> Model:
     """Models from labelled samples: generated random strings against generated identifiers and the words of trusted texts (quality 1 in `labels`)."""
-    words: dict[str, None] = {}
-    longer: list[str] = []
+    every: list[str] = []
     if labels is not None:
-        good = labels.where("quality = 1").select("doc_id").distinct()
-        d = docs.select("doc_id", "text").where("text is not null").join(good, "doc_id", "left_semi")
-        d = d.withColumn("w", F.expr("filter(regexp_extract_all(text, '[A-Za-z]{3,}', 0), x -> true)"))
-        for (ws,) in d.orderBy(F.md5(F.col("doc_id").cast("string")), F.md5("text")).limit(texts).select(F.array_distinct("w")).collect():
-            for w in ws:
-                words.setdefault(w)
-    every = list(words)
+        good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.md5(F.col("doc_id").cast("string"))).limit(texts)
+        d = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(good), "doc_id", "left_semi")
+        words = d.select(F.explode(F.array_distinct(F.expr("regexp_extract_all(text, '[A-Za-z]{3,}', 0)"))).alias("w")).distinct()
+        every = sorted((w for (w,) in words.collect()), key=lambda w: hashlib.md5(w.encode()).digest())
     rand, ordinary = generated(seed=seed, words=[w for w in every if len(w) < 12][:5000])
     longer = [w for w in every if len(w) >= 8][: 2 * GENERATED]
     return Model(rand, ordinary + longer + [w.upper() for w in longer])
