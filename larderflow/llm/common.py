@@ -40,13 +40,31 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table of the shared folder and read it again: cuts the lineage and survives lost executors."""
+    """Write df as a table of the shared folder and read it again: cuts the lineage and survives lost executors. Shuffle files of the
+    write itself aren't needed any more then and are removed with it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._larder_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_larder_path", None):
+            _remove(t.sparkSession, path)
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:

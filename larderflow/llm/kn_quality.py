@@ -7,12 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, packed, parts, slices, small, span_hashes, unpacked, utf8, word_spans, written
+from .common import discard, mix, packed, parts, slices, small, span_hashes, unpacked, utf8, word_spans, written
 
-#: Places that share a frequent context's pairs.
+#: Shards that share a context's pairs.
 SPREAD = 4
 #: Bytes of the filter that tells most unseen pairs and words apart before they are sent; a model too large for it only sends more.
 FILTER_BYTES = 64_000_000
+#: Words and pairs, the most frequent of each shard, whose values go to all tasks: a fixed number whatever the model's size. They are most of a text and aren't sent.
+HOT_WORDS, HOT_PAIRS = 65_536, 1_000_000
 #: A language's limit on log perplexity: its HIGH quantile over held-out trusted texts, and MARGIN times as far again as that lies from the median.
 HIGH, MARGIN = 0.99, 1.0
 #: Words that a text's score is drawn to its language's median with, so that a few words alone don't condemn it.
@@ -46,12 +48,12 @@ def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(mix(v) * _U(3) + w) >> _U(16)
 
 
-def place(v: np.ndarray, sub: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(v * _U(SPREAD) + sub) % _U(shards)).astype(np.int64)
+def place(v: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(v) % _U(shards)).astype(np.int64)
 
 
 def place_of_pair(v: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
-    return place(v, mix(w) % _U(SPREAD), shards)
+    return (mix(v * _U(SPREAD) + mix(w) % _U(SPREAD)) % _U(shards)).astype(np.int64)
 
 
 def _sums(key: np.ndarray, *cols: np.ndarray) -> list[np.ndarray]:
@@ -136,7 +138,7 @@ def _merge(shards: int):
         rows: list[tuple] = [(0, me, me, packed(np.diff(v, prepend=_U(0)), w, c.astype(np.uint32)))]
         z, o = np.zeros(len(v), dtype=np.int64), np.ones(len(v), dtype=np.int64)
         word, total, n1, n2, n3, cont = _sums(np.concatenate([v, w]), np.concatenate([c, z]), *(np.concatenate([(x).astype(np.int64), z]) for x in (c == 1, c == 2, c > 2)), np.concatenate([z, o]))
-        to = (mix(word) % _U(shards)).astype(np.int64)
+        to = place(word, shards)
         for q in np.unique(to).tolist():
             k = to == q
             rows.append((1, q, me, packed(np.diff(word[k], prepend=_U(0)), *(a[k].astype(np.uint32) for a in (n1, n2, n3, cont)), total[k])))
@@ -147,7 +149,7 @@ def _merge(shards: int):
 
 
 def _words(shards: int):
-    """Of one shard of words: their statistics over all shards, sent to all that ask for the word and all that hold it as a context (kind 3); counts of the numbers of
+    """Of one shard of words: their statistics over all shards, sent to all that ask for the word and kept here (kind 3); counts of the numbers of
     contexts (kind 4)."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -159,7 +161,7 @@ def _words(shards: int):
             got.append([w, *(a.astype(np.int64) for a in n)])
             ask.append((w, np.full(len(w), origin)))
         word, n1, n2, n3, cont, total = _sums(*(np.concatenate(a) for a in zip(*got)))
-        ask += [(word, place(word, np.full(len(word), s, dtype=_U), shards)) for s in range(SPREAD)]
+        ask.append((word, np.full(len(word), me)))
         aw, to = (np.concatenate(a) for a in zip(*ask))
         order = np.lexsort((aw, to))
         aw, to = aw[order], to[order]
@@ -258,23 +260,27 @@ def _finish(levels: Levels, shards: int):
         order = np.argsort(word)
         word, n1, n2, n3, cont, total = (a[order] for a in (word, n1, n2, n3, cont, total))
         p, g = levels.unigram(cont), levels.backoff(total, n1, n2, n3)
-        own = np.zeros(len(word), dtype=bool)
-        for s in range(SPREAD):
-            own |= place(word, np.full(len(word), s, dtype=_U), shards) == me
+        own = place(word, shards) == me
         value = np.log(p) + np.log(g)
-        value[word == BOS] = np.log(g[word == BOS]) + np.log(levels.unigram(np.array([0])))[0] * 0
+        value[word == BOS] = np.log(g[word == BOS])  # it is never predicted
         key, delta = np.zeros(0, dtype=_U), np.zeros(0)
+        hot = np.zeros(0, dtype=_U), np.zeros(0, dtype=np.float32)
         if model is not None:
             v, w, c = model
             i, j = np.searchsorted(word, v), np.searchsorted(word, w)
             key = pair_key(v, w)
             delta = np.log1p((c - levels.d2[np.minimum(c, 3)]) / total[i] / (g[i] * p[j]))
+            top = np.argsort(-c, kind="stable")[: HOT_PAIRS // shards]
+            hot = key[top], delta[top].astype(np.float32)
             order = np.argsort(key)
             key, delta = key[order], delta[order]
         end = word == EOS
+        top = np.flatnonzero(own)
+        top = top[np.argsort(-total[top], kind="stable")][: HOT_WORDS // shards]
         rows: list[tuple] = [(5, me, me, packed(word[own], value[own].astype(np.float32), key, delta.astype(np.float32)))]
         most = FILTER_BYTES * 8 // shards
         rows += [(6, me, me, _bits(word[own], most // 4).tobytes()), (7, me, me, _bits(key, most).tobytes())]
+        rows.append((9, me, me, packed(word[top], value[top].astype(np.float32), *hot)))
         if end.any():
             rows.append((8, me, me, np.log(p[end][:1]).tobytes()))
         return _table(rows)
@@ -285,13 +291,25 @@ def _finish(levels: Levels, shards: int):
 REQUEST = "target int, batch bigint, kind int, data binary"
 
 
-def _requests(shards: int, words, pairs):
-    """Map: of a batch, the pairs and words that the model may have, packed by shard (kind 1), and how many words each text has and how many of them the model surely doesn't have
-    (kind 0, to target -1)."""
+def _hot(found: np.ndarray, at: np.ndarray, hot: tuple[np.ndarray, np.ndarray], doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the keys found[at]: the sum of the hot ones' values for each text, and the places of the others."""
+    keys, values = hot
+    if not len(keys) or not len(at):
+        return np.zeros(n), at
+    k = found[at]
+    i = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+    is_hot = keys[i] == k
+    return np.bincount(doc[at[is_hot]], weights=values[i[is_hot]], minlength=n), at[~is_hot]
+
+
+def _requests(shards: int, filters, hots):
+    """Map: of a batch, the pairs and words that the model may have, packed by shard (kind 1), but for hot ones, and to target -1 what is known of each text without asking:
+    its words, how many of them the model may have, and the sum of the hot values (kind: minus the number of questions, less 1)."""
 
     def run(batches):
         for batch in batches:
-            fw, fp = words.value, pairs.value
+            (fw, fp), (hw, hp) = filters.value, hots.value
+            hot = np.zeros(batch.num_rows)
             n = batch.num_rows
             known = np.zeros(n, dtype=np.int64)
             every = np.zeros(n, dtype=np.int64)
@@ -304,19 +322,22 @@ def _requests(shards: int, words, pairs):
                 if len(v):
                     digest = (digest * 31 + int(mix(pair_key(v, w) + np.arange(len(v), dtype=_U)).sum(dtype=_U))) & ((1 << 62) - 1)
                 s = place_of_pair(v, w, shards)
-                u = fw.has(v, s)
+                home = place(v, shards)
+                u = fw.has(v, home)
                 known += np.bincount(doc[u & (v != BOS)], minlength=n)
                 key = pair_key(v, w)
-                b = fp.has(key, s)
-                parts_.append((s[u], v[u], doc[u], s[b], key[b], doc[b]))
+                x, u = _hot(v, np.flatnonzero(u), hw, doc, n)
+                y, b = _hot(key, np.flatnonzero(fp.has(key, s)), hp, doc, n)
+                hot += x + y
+                parts_.append((home[u].astype(np.int32), v[u], doc[u].astype(np.int32), s[b].astype(np.int32), key[b], doc[b].astype(np.int32)))
             ids = batch.column(0).cast(pa.int64())
             for k in ids.to_pylist():
                 digest = (digest * 1_000_003 + (k or 0)) & ((1 << 62) - 1)
             if not parts_:
-                parts_ = [tuple(np.zeros(0, t) for t in (np.int64, _U, np.int64) * 2)]
+                parts_ = [tuple(np.zeros(0, t) for t in (np.int32, _U, np.int32) * 2)]
             su, v, du, sb, key, db = (np.concatenate(a) for a in zip(*parts_))
             lang = batch.column(2)
-            base = pa.RecordBatch.from_arrays([ids, lang, pa.array(every), pa.array(known)], names=["doc_id", "lang", "words", "known"])
+            base = pa.RecordBatch.from_arrays([ids, lang, pa.array(every), pa.array(known), pa.array(hot)], names=["doc_id", "lang", "words", "known", "hot"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, base.schema) as out:
                 out.write_batch(base)
@@ -415,7 +436,7 @@ def _gather(levels: Levels, end: float):
             if kind > 0:
                 total += unpacked(data[k], np.float32)[0]
         n, known = t["words"].to_numpy(), t["known"].to_numpy()
-        lp = total / len(bases) + (n - known) * levels.unknown + end
+        lp = total / len(bases) + t["hot"].to_numpy() + (n - known) * levels.unknown + end
         lp = pa.array(np.where(n > 0, lp, np.nan), from_pandas=True)
         one = pa.table({"doc_id": t["doc_id"], "lang": t["lang"], "words": t["words"], "log_prob": lp})
         return pa.concat_tables([one] * len(bases))
@@ -453,15 +474,22 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     levels = Levels(two, one)
     model = counts.where("kind = 0").union(words.where("kind = 3")).groupBy("target").applyInArrow(_finish(levels, shards), COLS)
     model = written(model.select("kind", "target", "data"), "model")
+    discard(counts, words)
     tables: dict[int, list[bytes]] = {6: [b""] * shards, 7: [b""] * shards}
-    end = 0.0
+    end, hot = 0.0, []
     for r in model.where("kind > 5").collect():
         if r["kind"] == 8:
             end = float(np.frombuffer(r["data"], dtype=np.float64)[0])
+        elif r["kind"] == 9:
+            hot.append(unpacked(bytes(r["data"]), _U, np.float32, _U, np.float32))
         else:
             tables[r["kind"]][r["target"]] = bytes(r["data"])
-    fw, fp = (spark.sparkContext.broadcast(Filter(tables[k])) for k in (6, 7))
-    asked = docs.select("doc_id", "text", "lang").mapInArrow(_requests(shards, fw, fp), REQUEST)
+    hots = []
+    for k in (0, 2):
+        keys, first = np.unique(np.concatenate([h[k] for h in hot]), return_index=True)
+        hots.append((keys, np.concatenate([h[k + 1] for h in hot])[first].astype(np.float64)))
+    filters = spark.sparkContext.broadcast((Filter(tables[6]), Filter(tables[7])))
+    asked = docs.select("doc_id", "text", "lang").mapInArrow(_requests(shards, filters, spark.sparkContext.broadcast(hots)), REQUEST)
     # texts are read once; what stays with the batch travels beside the questions
     held = model.where("kind = 5").select("target", F.lit(0).cast("bigint").alias("batch"), "kind", "data")
     answers = asked.union(held).groupBy("target").applyInArrow(_pass_or(_answer(levels)), "batch bigint, kind int, data binary")
