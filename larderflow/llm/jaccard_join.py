@@ -116,7 +116,7 @@ def _prefixes(docs: DataFrame, n: int, t: float, hot, shards: int) -> DataFrame:
     def run(batches):
         keys = hot.value
         for batch in batches:
-            kk, ss, zz = [], [], []
+            kk, ss, zz, qq, ll = [], [], [], [], []
             for _, g, bounds in ordered_sets(batch.column(0), n, keys):
                 sig, size = signatures_of(g, bounds, keys), np.diff(bounds)
                 p = np.where(size > 0, prefix_length(size, t), 0)
@@ -125,14 +125,20 @@ def _prefixes(docs: DataFrame, n: int, t: float, hot, shards: int) -> DataFrame:
                 kk.append(g[at])
                 ss.append(np.repeat(sig, p))
                 zz.append(np.repeat(size, p))
+                # what the set has behind the element, in 256ths of its size, and where its prefix ends
+                left = np.repeat(bounds[1:], p) - at - 1
+                qq.append((left * 256 // np.maximum(zz[-1], 1)).astype(np.uint8))
+                end = np.zeros(len(p), dtype=_U)
+                end[p > 0] = g[(bounds[:-1] + p - 1)[p > 0]] >> _U(48)
+                ll.append(np.repeat(end.astype(np.uint16), p))
             if not kk:
                 continue
-            k, s, z = np.concatenate(kk), np.concatenate(ss), np.concatenate(zz).astype(np.int32)
+            k, s, z, q256, last = np.concatenate(kk), np.concatenate(ss), np.concatenate(zz).astype(np.int32), np.concatenate(qq), np.concatenate(ll)
             m = mix(k)
             shard = (m % _U(shards)).astype(np.int64)
             m = m >> _U(16)
             order = np.lexsort((m, shard))
-            m, s, z, shard = m[order], s[order], z[order], shard[order]
+            m, s, z, shard, q256, last = m[order], s[order], z[order], shard[order], q256[order], last[order]
             cuts = np.searchsorted(shard, np.arange(shards + 1))
             out = []
             for q in range(shards):
@@ -146,8 +152,8 @@ def _prefixes(docs: DataFrame, n: int, t: float, hot, shards: int) -> DataFrame:
                 o2 = np.lexsort((idx, m[a:e]))
                 mm, ii = m[a:e][o2], idx[o2]
                 fresh[1:] = (mm[1:] != mm[:-1]) | (ii[1:] != ii[:-1])
-                mm, ii = mm[fresh], ii[fresh]
-                out.append((q, packed(np.diff(mm, prepend=_U(0)), ii.astype(np.uint32), np.diff(u, prepend=0), z[a:e][first])))
+                mm, ii, rest = mm[fresh], ii[fresh], q256[a:e][o2][fresh]
+                out.append((q, packed(np.diff(mm, prepend=_U(0)), ii.astype(np.uint32), rest, np.diff(u, prepend=0), z[a:e][first], last[a:e][first])))
             yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["shard", "data"])
 
     return docs.select("text").where("doc_id is not null and text is not null").mapInArrow(run, "shard int, data binary")
@@ -168,23 +174,27 @@ def _pairs(t: float, shards: int):
     """Of one shard of elements: packed counts of the common elements of each pair of sets that may be similar enough, by shard of the pair."""
 
     def run(table: pa.Table) -> pa.Table:
-        ks, ss, zs = [], [], []
+        ks, ss, qs, us, zs, ls = [], [], [], [], [], []
         for data in table["data"].to_pylist():
-            k, i, u, z = unpacked(data, _U, np.uint32, np.int64, np.int32)
+            k, i, q, u, z, last = unpacked(data, _U, np.uint32, np.uint8, np.int64, np.int32, np.uint16)
             u = np.cumsum(u)
             ks.append(np.cumsum(k, dtype=_U))
             ss.append(u[i])
-            zs.append(z[i])
-        k, s, z = np.concatenate(ks), np.concatenate(ss), np.concatenate(zs).astype(np.int64)
-        u, s = np.unique(s, return_inverse=True)
-        size = np.zeros(len(u), dtype=np.int64)
-        size[s] = z
+            qs.append(q)
+            us.append(u)
+            zs.append(z)
+            ls.append(last)
+        k, s, rest = np.concatenate(ks), np.concatenate(ss), np.concatenate(qs).astype(np.int64)
+        u, first = np.unique(np.concatenate(us), return_index=True)
+        size, ends = np.concatenate(zs)[first].astype(np.int64), np.concatenate(ls)[first]
+        s = np.searchsorted(u, s)
         order = np.lexsort((s, size[s], k))  # by size in each element's list
-        k, s = k[order], s[order]
+        k, s, rest = k[order], s[order], rest[order]
         new = np.ones(len(k), dtype=bool)
         new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
-        k, s = k[new], s[new]
+        k, s, rest = k[new], s[new], rest[new]
         z = size[s]
+        rest = np.minimum((rest + 1) * z // 256 + 1, z - 1)  # at most so much is behind the element
         head = np.ones(len(k), dtype=bool)
         head[1:] = k[1:] != k[:-1]
         start = np.flatnonzero(head)
@@ -193,8 +203,7 @@ def _pairs(t: float, shards: int):
         # partners of an entry: those after it in its list that aren't too large; a list is sorted by size
         reach = _last_fit(z, start, stop, t)
         n = np.minimum(reach, end) - np.arange(len(k)) - 1
-        got: dict[str, np.ndarray] = {}
-        key, count = np.zeros(0, _U), np.zeros(0, np.int64)
+        key, count, least = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
         has = np.flatnonzero(n > 0)
         total = np.cumsum(n[has])
         at = 0
@@ -206,16 +215,13 @@ def _pairs(t: float, shards: int):
             b = np.arange(len(a)) - np.repeat(np.cumsum(n[h]) - n[h], n[h]) + a + 1
             p, q = s[a], s[b]
             v = (np.minimum(p, q).astype(_U) << _U(32)) | np.maximum(p, q).astype(_U)
-            v, c = np.unique(v, return_counts=True)
-            key = np.concatenate([key, v])
-            count = np.concatenate([count, c])
-            if to < len(has):
-                key, w = np.unique(key, return_inverse=True)
-                count = np.bincount(w, weights=count).astype(np.int64)
+            key, count, least = _by_pair(np.concatenate([key, v]), np.concatenate([count, np.ones(len(v), np.int64)]), np.concatenate([least, np.minimum(rest[a], rest[b])]))
             at = to
-        key, w = np.unique(key, return_inverse=True)
-        count = np.bincount(w, weights=count, minlength=len(key)).astype(np.int64)
         a, b = (key >> _U(32)).astype(np.int64), (key & _U(0xFFFFFFFF)).astype(np.int64)
+        # behind the prefix that ends first (either, if that can't be told) its set has all that is common beyond what is counted
+        behind = size - prefix_length(size, t)
+        case = np.where(ends[a] < ends[b], behind[a], np.where(ends[a] > ends[b], behind[b], np.maximum(behind[a], behind[b])))
+        least = np.minimum(least, case)
         pair = (mix(u[a].astype(_U) ^ mix(u[b].astype(_U))) % _U(shards)).astype(np.int64)
         order = np.argsort(pair, kind="stable")
         cuts = np.searchsorted(pair[order], np.arange(shards + 1))
@@ -226,12 +232,22 @@ def _pairs(t: float, shards: int):
                 continue
             ids, w = np.unique(np.concatenate([a[o], b[o]]), return_inverse=True)
             x, y = w[: len(o)].astype(np.uint32), w[len(o) :].astype(np.uint32)
-            out.append((r, packed(np.diff(u[ids], prepend=0), size[ids].astype(np.int32), np.diff(x.astype(np.int32), prepend=np.int32(0)), y, count[o].astype(np.uint32))))
+            out.append((r, packed(np.diff(u[ids], prepend=0), size[ids].astype(np.int32), np.diff(x.astype(np.int32), prepend=np.int32(0)), y, count[o].astype(np.uint32), least[o].astype(np.uint32))))
         return pa.table({"shard": pa.array([r for r, _ in out], pa.int32()), "data": pa.array([d for _, d in out], pa.binary())})
 
     return run
 
 
+def _by_pair(key: np.ndarray, count: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of the counts and minima of the rests by key."""
+    order = np.argsort(key)
+    key, count, least = key[order], count[order], least[order]
+    head = np.ones(len(key), dtype=bool)
+    head[1:] = key[1:] != key[:-1]
+    start = np.flatnonzero(head)
+    return (key[start], np.add.reduceat(count, start), np.minimum.reduceat(least, start)) if len(start) else (key, count, least)
+
+
 def _last_fit(z: np.ndarray, start: np.ndarray, stop: np.ndarray, t: float) -> np.ndarray:
     """For each entry of lists sorted by size, the first place after it whose size is over its own / t (not bounded by the list's end)."""
     group = np.repeat(np.arange(len(start)), stop - start).astype(np.float64)
@@ -243,24 +259,24 @@ def _enough(t: float):
     """Of one shard of pairs: those whose common prefix elements leave them able to be similar enough."""
 
     def run(table: pa.Table) -> pa.Table:
-        A, B, C, Z = [], [], [], []
+        A, B, C, R, Z = [], [], [], [], []
         for data in table["data"].to_pylist():
-            u, z, x, y, c = unpacked(data, np.int64, np.int32, np.int32, np.uint32, np.uint32)
+            u, z, x, y, c, r = unpacked(data, np.int64, np.int32, np.int32, np.uint32, np.uint32, np.uint32)
             u, x = np.cumsum(u), np.cumsum(x)
             A.append(u[x])
             B.append(u[y])
             C.append(c)
+            R.append(r)
             Z.append(np.stack([z[x], z[y]]))
-        a, b, c, z = np.concatenate(A), np.concatenate(B), np.concatenate(C).astype(np.int64), np.concatenate(Z, axis=1).astype(np.int64)
+        a, b, c, r, z = np.concatenate(A), np.concatenate(B), np.concatenate(C).astype(np.int64), np.concatenate(R).astype(np.int64), np.concatenate(Z, axis=1).astype(np.int64)
         order = np.lexsort((b, a))
-        a, b, c, z = a[order], b[order], c[order], z[:, order]
+        a, b, c, r, z = a[order], b[order], c[order], r[order], z[:, order]
         head = np.ones(len(a), dtype=bool)
         head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         start = np.flatnonzero(head)
-        c, za, zb = np.add.reduceat(c, start), z[0][start], z[1][start]
-        # elements behind the prefix can add the longer rest at most
-        rest = np.maximum(za - prefix_length(za, t), zb - prefix_length(zb, t))
-        ok = c + rest >= need(za, zb, t)
+        # the last common element of the prefixes leaves the least behind it
+        c, r, za, zb = np.add.reduceat(c, start), np.minimum.reduceat(r, start), z[0][start], z[1][start]
+        ok = c + r >= need(za, zb, t)
         return pa.table({"a": a[start][ok], "b": b[start][ok]})
 
     return run
@@ -281,61 +297,52 @@ class Union:
         self.p[max(a, b)] = min(a, b)
 
 
-def trie_join(sets: list[np.ndarray], t: float, linked: Union | None = None) -> list[tuple[int, int, float]]:
+def trie_join(sets: list[np.ndarray], t: float, linked: Union | None = None, partners: dict[int, set[int]] | None = None) -> list[tuple[int, int, float]]:
     """Pairs (i, j, similarity) with similarity t at least, of sets given as sorted arrays.
 
     The sets sorted as sequences are the leaves of their prefix tree in order, and the common length of neighbours says where one
     branches off. A set walks the tree once: the overlap up to a branching point is kept for all leaves below it, and a subtree is left as soon as
-    the overlap so far and what remains of both sets can't reach the least overlap. With `linked`, leaves in the walker's component are passed over, so
-    that the pairs found only span the components.
+    the overlap so far and what remains of both sets can't reach the least overlap. With `partners`, the walk goes only to leaves that are partners of the set. With
+    `linked`, leaves in the walker's component are passed over, so that the pairs found only span the components.
     """
     order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
     s = [sets[i] for i in order]
     m = len(s)
-    common = [0] * (m + 1)
+    leaf = {i: k for k, i in enumerate(order)}
+    common = np.zeros(m + 1, dtype=np.int64)
     for k in range(1, m):
         n = min(len(s[k - 1]), len(s[k]))
         d = np.flatnonzero(s[k - 1][:n] != s[k][:n])
-        common[k] = int(d[0]) if len(d) else n
-    sizes = [len(x) for x in s]
+        common[k] = d[0] if len(d) else n
     out = []
     for k in range(m):
-        x, nx = s[k], sizes[k]
-        cum = np.zeros(1, dtype=np.int64)  # overlap after each element of the current path
-        have = 0  # path elements that are counted
-        j = k + 1
-        share = 10**9
-        while j < m:
-            share = min(share, common[j])
-            ny = sizes[j]
-            have = min(have, share) if j > k + 1 else 0
-            share_next = have
-            low = min(nx, ny)
+        x, nx = s[k], len(s[k])
+        if not nx:
+            continue
+        cum = np.zeros(1, dtype=np.int64)  # overlap after each element of the path that was walked last
+        have = at = 0  # elements of it that the next leaf shares; the last leaf that was looked at
+        js = range(k + 1, m) if partners is None else sorted(j for i in partners.get(order[k], ()) if (j := leaf[i]) > k)
+        for j in js:
+            ny = len(s[j])
             least = int(np.ceil(t / (1 + t) * (nx + ny) - 1e-9))
-            if low < least or (linked is not None and linked.find(order[k]) == linked.find(order[j])):
-                j += 1
+            if min(nx, ny) < least or (linked is not None and linked.find(order[k]) == linked.find(order[j])):
                 continue
+            if at:
+                have = min(have, int(common[at + 1 : j + 1].min()))
+            at = j
             y = s[j]
-            # the bound at the point where this leaf leaves the path walked so far
+            # the bound at the point where this leaf leaves the path
             if have and int(cum[have]) + min(nx - int(np.searchsorted(x, y[have - 1], "right")), ny - have) < least:
-                j += 1
-                share = share_next
                 continue
             tail = y[have:]
-            if nx:
-                p = np.minimum(np.searchsorted(x, tail), nx - 1)
-                hit = x[p] == tail
-            else:
-                hit = np.zeros(len(tail), dtype=bool)
-            cum = np.concatenate([cum[: have + 1], cum[have] + np.cumsum(hit)])
+            p = np.minimum(np.searchsorted(x, tail), nx - 1)
+            cum = np.concatenate([cum[: have + 1], cum[have] + np.cumsum(x[p] == tail)])
             have = ny
-            share = 10**9
             o = int(cum[ny])
             if o >= least and o / (nx + ny - o) >= t - 1e-12:
                 out.append((order[k], order[j], o / (nx + ny - o)))
                 if linked is not None:
                     linked.join(order[k], order[j])
-            j += 1
     return out
 
 
@@ -359,16 +366,26 @@ def _sets(docs: DataFrame, n: int, hot) -> DataFrame:
 
 
 def _verify(t: float):
+    """Of some candidate components, given their sets (data) and their candidate pairs (other): pairs that are similar enough, as many as join the groups."""
+
     def run(table: pa.Table) -> pa.Table:
-        by: dict[int, dict[int, np.ndarray]] = {}
-        for root, sig, data in zip(table["root"].to_pylist(), table["sig"].to_pylist(), table["data"]):
-            g = by.setdefault(root, {})
-            if sig not in g:
+        sets: dict[int, dict[int, np.ndarray]] = {}
+        pairs: dict[int, list[tuple[int, int]]] = {}
+        for root, sig, data, other in zip(table["root"].to_pylist(), table["sig"].to_pylist(), table["data"], table["other"].to_pylist()):
+            if other is not None:
+                pairs.setdefault(root, []).append((sig, other))
+            elif sig not in (g := sets.setdefault(root, {})):
                 g[sig] = np.frombuffer(data.as_py(), dtype=_U)
         a, b = [], []
-        for g in by.values():
-            sig, sets = list(g), list(g.values())
-            for i, j, _ in trie_join(sets, t, Union(len(sets))):
+        for root, g in sets.items():
+            sig = list(g)
+            place = {v: i for i, v in enumerate(sig)}
+            partners: dict[int, set[int]] = {}
+            for x, y in pairs.get(root, ()):
+                i, j = place[x], place[y]
+                partners.setdefault(i, set()).add(j)
+                partners.setdefault(j, set()).add(i)
+            for i, j, _ in trie_join(list(g.values()), t, Union(len(sig)), partners):
                 a.append(sig[i])
                 b.append(sig[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -400,13 +417,15 @@ def groups(docs: DataFrame, n: int = N, t: float = THRESHOLD, hot: int = HOT, ho
     ranks = spark.sparkContext.broadcast((keys[order], rank[order].copy()))
 
     pairs = _prefixes(docs, n, t, ranks, shards).repartition(shards, "shard").groupBy("shard").applyInArrow(_pairs(t, shards), "shard int, data binary")
-    cand = pairs.groupBy("shard").applyInArrow(_enough(t), "a bigint, b bigint")
+    cand = written(pairs.groupBy("shard").applyInArrow(_enough(t), "a bigint, b bigint"), "pairs")
     comp = written(components(cand, "candidates"), "members")
     every = written(comp.union(comp.select("root", "root")).distinct(), "members")
     member = small(every)
     task = F.pmod(F.xxhash64("root"), F.lit(shards * 4))
     sets = _sets(docs, n, ranks)
-    near = sets.join(member, sets["sig"] == member["node"]).select("root", "sig", "data", task.cast("int").alias("task"))
+    near = sets.join(member, sets["sig"] == member["node"]).select("root", "sig", "data", F.lit(None).cast("bigint").alias("other"))
+    tied = cand.join(member, cand["a"] == member["node"]).select("root", F.col("a").alias("sig"), F.lit(None).cast("binary").alias("data"), F.col("b").alias("other"))
+    near = near.union(tied).withColumn("task", task.cast("int"))
     edges = near.groupBy("task").applyInArrow(_verify(t), "a bigint, b bigint")
 
     # groups of signatures, then of documents; equal sets and equal ids link too
