@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -57,9 +58,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._larder_path = path
+    if _scratches:
+        _scratches[-1].append(out)
     return out
 
 
+_scratches: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch(keep: list[DataFrame]):
+    """Remove all tables that are written inside, but for those put into `keep`, when it is left. What was computed inside must have been written."""
+    _scratches.append([])
+    try:
+        yield
+    finally:
+        own = _scratches.pop()
+        left = [t for t in own if any(t is k for k in keep)]
+        discard(*[t for t in own if not any(t is k for k in left)])
+        if _scratches:
+            _scratches[-1].extend(left)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove written tables that nothing reads any more."""
     for t in tables:
@@ -113,7 +133,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         lower = large.where("a <> b").distinct()
         lm = lower.groupBy("a").agg(F.min("b").alias("m"))
         star = lower.join(lm, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        e = written(star.where("a <> b").distinct(), name)
+        last, e = e, written(star.where("a <> b").distinct(), name)
+        discard(last)
         now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if old == now:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -7,18 +7,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, mix, packed, parts, slices, small, span_hashes, unpacked, utf8, word_spans, written
+from .common import components, mix, packed, parts, scratch, slices, small, span_hashes, unpacked, utf8, word_spans, written
 
 #: Words of an n-gram, and the least Jaccard similarity of a pair.
 N, THRESHOLD = 2, 0.6
 #: N-grams that are ordered by how many texts have them; all others come before them, by hash. Any order gives the same pairs, a better one gives them sooner.
-HOT = 200_000
+HOT = 400_000
 #: Texts of a batch that must share an n-gram for the batch to report it.
-HOT_IN_BATCH = 12
+HOT_IN_BATCH = 4
+#: Min-hashes by which large groups are found first, texts that make a group large, and texts of it that the others are compared with.
+HASHES, LARGE, CENTRES = 4, 8, 8
+#: Texts of large groups whose group is told to all tasks, at most; it only saves work, so those of the largest groups come first.
+LABELS = 500_000
 _U = np.uint64
+_ODD = [_U(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
 def ngrams(x: np.ndarray, o: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,17 +75,18 @@ def signatures(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, n: int, least: int) -> DataFrame:
-    """Rows (doc_id, sig) of all texts that have words, and (key, n) of n-grams that many texts of a batch share."""
+    """Rows (doc_id, sig, m) of all texts that have words, m being min-hashes, and (key, n) of n-grams that many texts of a batch share."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).cast(pa.int64())
-            keep, sigs, seen = [], [], []
+            keep, sigs, seen, least_of = [], [], [], []
             # the hash order here; the signatures are those of the unordered sets
             for i, g, bounds in ordered_sets(batch.column(1), n, NO_HOT):
                 has = np.flatnonzero(np.diff(bounds) > 0)
                 keep.append(i + has)
                 sigs.append(signatures(g, bounds)[has])
+                least_of.append(np.stack([np.minimum.reduceat(g * a, bounds[:-1][has]) if len(has) else g[:0] for a in _ODD[:HASHES]], axis=1))
                 k, c = np.unique(g, return_counts=True)
                 seen.append((k[c > 1], c[c > 1]))
             k = np.concatenate([x for x, _ in seen] or [np.zeros(0, _U)])
@@ -93,11 +99,11 @@ def _scan(docs: DataFrame, n: int, least: int) -> DataFrame:
             none = pa.nulls(len(u), pa.int64())
             gone = pa.nulls(len(rows), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([a, none]), pa.concat_arrays([pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)), none]), pa.concat_arrays([gone, pa.array(u.astype(np.int64))]), pa.concat_arrays([gone, pa.array(total)])],
-                names=["doc_id", "sig", "key", "n"],
+                [pa.concat_arrays([a, none]), pa.concat_arrays([pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)), none]), pa.concat_arrays([gone, pa.array(u.astype(np.int64))]), pa.concat_arrays([gone, pa.array(total)]), pa.concat_arrays([pa.array([x.tobytes() for y in least_of for x in y], pa.binary()), pa.nulls(len(u), pa.binary())])],
+                names=["doc_id", "sig", "key", "n", "m"],
             )
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id bigint, sig bigint, key bigint, n bigint")
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id bigint, sig bigint, key bigint, n bigint, m binary")
 
 
 def prefix_length(size: np.ndarray, t: float) -> np.ndarray:
@@ -110,13 +116,40 @@ def need(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t / (1 + t) * (a + b) - 1e-9).astype(np.int64)
 
 
-def _prefixes(docs: DataFrame, n: int, t: float, hot, shards: int) -> DataFrame:
+def _prefixes(docs: DataFrame, n: int, t: float, hot, labels, shards: int) -> DataFrame:
     """Rows (shard, data): prefix elements of the sets of a batch, packed by shard of the element."""
 
+    def blobs(kk, ss, zz, qq, ll, known, group) -> pa.RecordBatch:
+        k, s, z, q256, last = np.concatenate(kk), np.concatenate(ss), np.concatenate(zz).astype(np.int32), np.concatenate(qq), np.concatenate(ll)
+        m = mix(k)
+        shard = (m % _U(shards)).astype(np.int64)
+        m = m >> _U(16)
+        order = np.lexsort((m, shard))
+        m, s, z, shard, q256, last = m[order], s[order], z[order], shard[order], q256[order], last[order]
+        cuts = np.searchsorted(shard, np.arange(shards + 1))
+        out = []
+        for q in range(shards):
+            a, e = cuts[q], cuts[q + 1]
+            if a == e:
+                continue
+            u, first, which = np.unique(s[a:e], return_index=True, return_inverse=True)
+            idx = which.astype(np.uint16 if len(u) < 65536 else np.uint32)
+            # a set that occurs twice in the batch counts once
+            fresh = np.ones(e - a, dtype=bool)
+            o2 = np.lexsort((idx, m[a:e]))
+            mm, ii = m[a:e][o2], idx[o2]
+            fresh[1:] = (mm[1:] != mm[:-1]) | (ii[1:] != ii[:-1])
+            mm, ii, rest = mm[fresh], ii[fresh], q256[a:e][o2][fresh]
+            at = np.minimum(np.searchsorted(known, u), max(len(known) - 1, 0))
+            label = np.where(known[at] == u, group[at], 0) if len(known) else np.zeros(len(u))
+            out.append((q, packed(np.diff(mm, prepend=_U(0)), ii.astype(np.uint32), rest, np.diff(u, prepend=0), z[a:e][first], last[a:e][first], label.astype(np.uint32))))
+        return pa.RecordBatch.from_arrays([pa.array([q for q, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["shard", "data"])
+
     def run(batches):
-        keys = hot.value
+        keys, (known, group) = hot.value, labels.value
+        kk, ss, zz, qq, ll = [], [], [], [], []
+        held = 0
         for batch in batches:
-            kk, ss, zz, qq, ll = [], [], [], [], []
             for _, g, bounds in ordered_sets(batch.column(0), n, keys):
                 sig, size = signatures_of(g, bounds, keys), np.diff(bounds)
                 p = np.where(size > 0, prefix_length(size, t), 0)
@@ -131,30 +164,13 @@ def _prefixes(docs: DataFrame, n: int, t: float, hot, shards: int) -> DataFrame:
                 end = np.zeros(len(p), dtype=_U)
                 end[p > 0] = g[(bounds[:-1] + p - 1)[p > 0]] >> _U(48)
                 ll.append(np.repeat(end.astype(np.uint16), p))
-            if not kk:
-                continue
-            k, s, z, q256, last = np.concatenate(kk), np.concatenate(ss), np.concatenate(zz).astype(np.int32), np.concatenate(qq), np.concatenate(ll)
-            m = mix(k)
-            shard = (m % _U(shards)).astype(np.int64)
-            m = m >> _U(16)
-            order = np.lexsort((m, shard))
-            m, s, z, shard, q256, last = m[order], s[order], z[order], shard[order], q256[order], last[order]
-            cuts = np.searchsorted(shard, np.arange(shards + 1))
-            out = []
-            for q in range(shards):
-                a, e = cuts[q], cuts[q + 1]
-                if a == e:
-                    continue
-                u, first, which = np.unique(s[a:e], return_index=True, return_inverse=True)
-                idx = which.astype(np.uint16 if len(u) < 65536 else np.uint32)
-                # a set that occurs twice in the batch counts once
-                fresh = np.ones(e - a, dtype=bool)
-                o2 = np.lexsort((idx, m[a:e]))
-                mm, ii = m[a:e][o2], idx[o2]
-                fresh[1:] = (mm[1:] != mm[:-1]) | (ii[1:] != ii[:-1])
-                mm, ii, rest = mm[fresh], ii[fresh], q256[a:e][o2][fresh]
-                out.append((q, packed(np.diff(mm, prepend=_U(0)), ii.astype(np.uint32), rest, np.diff(u, prepend=0), z[a:e][first], last[a:e][first])))
-            yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["shard", "data"])
+                held += len(at)
+                if held > 1_000_000:
+                    yield blobs(kk, ss, zz, qq, ll, known, group)
+                    kk, ss, zz, qq, ll = [], [], [], [], []
+                    held = 0
+        if held:
+            yield blobs(kk, ss, zz, qq, ll, known, group)
 
     return docs.select("text").where("doc_id is not null and text is not null").mapInArrow(run, "shard int, data binary")
 
@@ -174,9 +190,9 @@ def _pairs(t: float, shards: int):
     """Of one shard of elements: packed counts of the common elements of each pair of sets that may be similar enough, by shard of the pair."""
 
     def run(table: pa.Table) -> pa.Table:
-        ks, ss, qs, us, zs, ls = [], [], [], [], [], []
+        ks, ss, qs, us, zs, ls, gs = [], [], [], [], [], [], []
         for data in table["data"].to_pylist():
-            k, i, q, u, z, last = unpacked(data, _U, np.uint32, np.uint8, np.int64, np.int32, np.uint16)
+            k, i, q, u, z, last, label = unpacked(data, _U, np.uint32, np.uint8, np.int64, np.int32, np.uint16, np.uint32)
             u = np.cumsum(u)
             ks.append(np.cumsum(k, dtype=_U))
             ss.append(u[i])
@@ -184,9 +200,11 @@ def _pairs(t: float, shards: int):
             us.append(u)
             zs.append(z)
             ls.append(last)
+            gs.append(label)
         k, s, rest = np.concatenate(ks), np.concatenate(ss), np.concatenate(qs).astype(np.int64)
         u, first = np.unique(np.concatenate(us), return_index=True)
         size, ends = np.concatenate(zs)[first].astype(np.int64), np.concatenate(ls)[first]
+        label = np.concatenate(gs)[first].astype(np.int64)
         s = np.searchsorted(u, s)
         order = np.lexsort((s, size[s], k))  # by size in each element's list
         k, s, rest = k[order], s[order], rest[order]
@@ -200,9 +218,16 @@ def _pairs(t: float, shards: int):
         start = np.flatnonzero(head)
         stop = np.append(start[1:], len(k))
         end = np.repeat(stop, stop - start)
-        # partners of an entry: those after it in its list that aren't too large; a list is sorted by size
-        reach = _last_fit(z, start, stop, t)
-        n = np.minimum(reach, end) - np.arange(len(k)) - 1
+        # partners of an entry: those after it in its list that aren't too large (a list is sorted by size), but for those of its own large group
+        reach = np.minimum(_last_fit(z, start, stop, t), end)
+        mine = label[s]
+        free = mine == 0
+        mixed = np.repeat(np.minimum.reduceat(np.where(free, 1 << 40, mine), start) != np.maximum.reduceat(mine, start), stop - start) if len(start) else free
+        single = np.flatnonzero(free)
+        every = free | mixed  # lists in which several large groups meet are taken whole
+        lo = np.where(every, np.arange(len(k)) + 1, np.searchsorted(single, np.arange(len(k)), "right"))
+        hi = np.where(every, reach, np.searchsorted(single, reach, "left"))
+        n = hi - lo
         key, count, least = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
         has = np.flatnonzero(n > 0)
         total = np.cumsum(n[has])
@@ -212,7 +237,10 @@ def _pairs(t: float, shards: int):
             to = max(at + 1, int(np.searchsorted(total, base + 4_000_000, "right")))
             h = has[at:to]
             a = np.repeat(h, n[h])
-            b = np.arange(len(a)) - np.repeat(np.cumsum(n[h]) - n[h], n[h]) + a + 1
+            b = np.arange(len(a)) - np.repeat(np.cumsum(n[h]) - n[h], n[h]) + lo[a]
+            b = np.where(every[a], b, single[np.minimum(b, max(len(single) - 1, 0))] if len(single) else b)
+            other = (mine[a] == 0) | (mine[a] != mine[b])
+            a, b = a[other], b[other]
             p, q = s[a], s[b]
             v = (np.minimum(p, q).astype(_U) << _U(32)) | np.maximum(p, q).astype(_U)
             key, count, least = _by_pair(np.concatenate([key, v]), np.concatenate([count, np.ones(len(v), np.int64)]), np.concatenate([least, np.minimum(rest[a], rest[b])]))
@@ -359,7 +387,7 @@ def _sets(docs: DataFrame, n: int, hot) -> DataFrame:
                     if bounds[q] < bounds[q + 1] and v not in seen:
                         seen.add(v)
                         sigs.append(v)
-                        data.append(g[bounds[q] : bounds[q + 1]].tobytes())
+                        data.append(packed(np.diff(g[bounds[q] : bounds[q + 1]], prepend=_U(0))))
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(data, pa.binary())], names=["sig", "data"])
 
     return docs.select("text").where("doc_id is not null and text is not null").mapInArrow(run, "sig bigint, data binary")
@@ -375,7 +403,7 @@ def _verify(t: float):
             if other is not None:
                 pairs.setdefault(root, []).append((sig, other))
             elif sig not in (g := sets.setdefault(root, {})):
-                g[sig] = np.frombuffer(data.as_py(), dtype=_U)
+                g[sig] = np.cumsum(unpacked(data.as_py(), _U)[0], dtype=_U)
         a, b = [], []
         for root, g in sets.items():
             sig = list(g)
@@ -393,16 +421,42 @@ def _verify(t: float):
     return run
 
 
-def groups(docs: DataFrame, n: int = N, t: float = THRESHOLD, hot: int = HOT, hot_in_batch: int = HOT_IN_BATCH) -> DataFrame:
+def _stars(scan: DataFrame, large: int) -> DataFrame:
+    """Pairs (a, b) of each of the lowest signatures and each other one among `large` or more that share a min-hash, if they share another one too."""
+    nodes = scan.where("sig is not null").groupBy("sig").agg(F.min("m").alias("m"))
+    part = lambda m, k: F.substring(m, 8 * k + 1, 8)
+    met = nodes.select("sig", "m", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), part("m", k).alias("h")) for k in range(HASHES)])).alias("key")).select("sig", "m", "key.k", "key.h")
+    met = written(met, "hashes")
+    many = met.groupBy("k", "h").count().where(F.col("count") >= large).drop("count")
+    w = Window.partitionBy("k", "h").orderBy("sig")
+    centre = met.withColumn("r", F.row_number().over(w)).where(F.col("r") <= CENTRES).select("k", "h", F.struct("sig", "m").alias("a")).join(many, ["k", "h"])
+    pairs = met.join(small(written(centre, "centres")), ["k", "h"]).where("a.sig <> sig")
+    same = sum((part(F.col("m"), k) == part(F.col("a.m"), k)).cast("int") for k in range(HASHES))
+    return pairs.where(same >= 2).select(F.least("a.sig", "sig").alias("a"), F.greatest("a.sig", "sig").alias("b")).distinct()
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, n: int, t: float, hot, shards: int) -> DataFrame:
+    """Of written candidate pairs (a, b), those that are similar enough, as many as join the groups: the sets of a component meet in one task."""
+    comp = components(pairs, "candidates")
+    member = small(written(comp.union(comp.select("root", "root")).distinct(), "members"))
+    sets = _sets(docs, n, hot)
+    near = sets.join(member, sets["sig"] == member["node"]).select("root", "sig", "data", F.lit(None).cast("bigint").alias("other"))
+    tied = pairs.join(member, pairs["a"] == member["node"]).select("root", F.col("a").alias("sig"), F.lit(None).cast("binary").alias("data"), F.col("b").alias("other"))
+    near = near.union(tied).withColumn("task", F.pmod(F.xxhash64("root"), F.lit(shards * 4)).cast("int"))
+    return near.groupBy("task").applyInArrow(_verify(t), "a bigint, b bigint")
+
+
+def groups(docs: DataFrame, n: int = N, t: float = THRESHOLD, hot: int = HOT, hot_in_batch: int = HOT_IN_BATCH, large: int = LARGE) -> DataFrame:
     """Rows (doc_id, group_id, size) for every document that is in a group of near copies; group_id is the group's lowest doc_id.
 
     Two documents are near copies if the Jaccard similarity of their sets of word n-grams (lower case, runs of letters, digits and _) is t at
     least; groups are the connected components. The result is exact:
 
     1. one pass gives each set's signature (equal sets are one from here on) and the n-grams that many texts have, which come last in the global order;
-    2. each set sends its prefix in that order, packed, to the elements' shards, where lists of one element give pairs, with length bounds;
-       common prefix elements are added up over the shards, and pairs that can't reach t any more go;
-    3. sets of a candidate component meet in one task and are joined by a prefix tree (see `trie_join`).
+    2. texts that share a min-hash with many others are compared with a few of them, which finds most of each large group without its square of pairs;
+    3. each set sends its prefix in that order, packed, to the elements' shards, where lists of one element give pairs (but for those
+       that a large group already links), with length bounds; common prefix elements are added up over the shards, and pairs that can't reach t any more go;
+    4. sets of a candidate component meet in one task and are joined by a prefix tree (see `trie_join`).
 
     Texts that are null or have no word are in no group; null doc_ids neither. Rows of the same doc_id are one document as to identity (each of their texts
     counts). A text of fewer than n words has one n-gram of all. An empty table gives an empty result; columns other than doc_id and text aren't read.
@@ -416,20 +470,21 @@ def groups(docs: DataFrame, n: int = N, t: float = THRESHOLD, hot: int = HOT, ho
     order = np.argsort(keys)
     ranks = spark.sparkContext.broadcast((keys[order], rank[order].copy()))
 
-    pairs = _prefixes(docs, n, t, ranks, shards).repartition(shards, "shard").groupBy("shard").applyInArrow(_pairs(t, shards), "shard int, data binary")
+    keep: list[DataFrame] = []
+    with scratch(keep):
+        first = written(_similar(docs, written(_stars(scan, large), "stars"), n, t, ranks, shards), "first")
+        keep.append(first)
+    big = components(first, "large")
+    sizes = big.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("c")).where(F.col("c") >= large)
+    known = big.union(big.select("root", "root")).distinct().join(small(sizes), "root").orderBy(F.desc("c"), "root", "node").limit(LABELS).select("node", "root").toPandas().sort_values("node")
+    label = np.unique(known["root"].to_numpy(dtype=np.int64), return_inverse=True)[1] + 1
+    labels = spark.sparkContext.broadcast((known["node"].to_numpy(dtype=np.int64), label))
+
+    pairs = _prefixes(docs, n, t, ranks, labels, shards).repartition(shards, "shard").groupBy("shard").applyInArrow(_pairs(t, shards), "shard int, data binary")
     cand = written(pairs.groupBy("shard").applyInArrow(_enough(t), "a bigint, b bigint"), "pairs")
-    comp = written(components(cand, "candidates"), "members")
-    every = written(comp.union(comp.select("root", "root")).distinct(), "members")
-    member = small(every)
-    task = F.pmod(F.xxhash64("root"), F.lit(shards * 4))
-    sets = _sets(docs, n, ranks)
-    near = sets.join(member, sets["sig"] == member["node"]).select("root", "sig", "data", F.lit(None).cast("bigint").alias("other"))
-    tied = cand.join(member, cand["a"] == member["node"]).select("root", F.col("a").alias("sig"), F.lit(None).cast("binary").alias("data"), F.col("b").alias("other"))
-    near = near.union(tied).withColumn("task", task.cast("int"))
-    edges = near.groupBy("task").applyInArrow(_verify(t), "a bigint, b bigint")
-
-    # groups of signatures, then of documents; equal sets and equal ids link too
+    edges = first.union(_similar(docs, cand, n, t, ranks, shards))
     root = components(edges, "groups")
+    # groups of signatures, then of documents; equal sets and equal ids link too
     s = sig.join(small(root), sig["sig"] == root["node"], "left").select("doc_id", F.coalesce("root", "sig").alias("root"))
     s = written(s.distinct(), "linked")
     if not s.groupBy("doc_id").count().where("count > 1").isEmpty():
@@ -444,7 +499,10 @@ def groups(docs: DataFrame, n: int = N, t: float = THRESHOLD, hot: int = HOT, ho
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The documents but for those of a group whose doc_id isn't its lowest, and one row of each doc_id; columns stay as they are."""
     cols = docs.columns
-    drop = written(groups(docs, **how).where("doc_id <> group_id").select(F.col("doc_id").alias("_gone")), "copies")
+    keep: list[DataFrame] = []
+    with scratch(keep):
+        drop = written(groups(docs, **how).where("doc_id <> group_id").select(F.col("doc_id").alias("_gone")), "copies")
+        keep.append(drop)
     kept = docs.join(small(drop), docs["doc_id"] == drop["_gone"], "left_anti")
     twice = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")), "twice")
     if twice.isEmpty():

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, mix, packed, parts, slices, small, span_hashes, unpacked, utf8, word_spans, written
+from .common import discard, mix, packed, parts, scratch, slices, small, span_hashes, unpacked, utf8, word_spans, written
 
 #: Shards that share a context's pairs.
 SPREAD = 4
@@ -533,5 +533,8 @@ def classify(docs: DataFrame, labels: DataFrame, high: float = HIGH, margin: flo
 def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The documents without those that `classify` doesn't keep; columns and repeated rows stay. Rows of one doc_id go together, if any of them is kept; null
     doc_ids stay."""
-    good = written(classify(docs, labels, **how).groupBy("doc_id").agg(F.max("keep").alias("k")).where("not k and doc_id is not null").select(F.col("doc_id").alias("_bad")), "rejected")
-    return docs.join(small(good), docs["doc_id"] == good["_bad"], "left_anti").select(*docs.columns)
+    keep: list[DataFrame] = []
+    with scratch(keep):
+        bad = written(classify(docs, labels, **how).groupBy("doc_id").agg(F.max("keep").alias("k")).where("not k and doc_id is not null").select(F.col("doc_id").alias("_bad")), "rejected")
+        keep.append(bad)
+    return docs.join(small(bad), docs["doc_id"] == bad["_bad"], "left_anti").select(*[docs[c] for c in docs.columns])
