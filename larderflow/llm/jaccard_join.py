@@ -212,7 +212,8 @@ def _pairs(t: float, shards: int):
         new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
         k, s, rest = k[new], s[new], rest[new]
         z = size[s]
-        rest = np.minimum((rest + 1) * z // 256 + 1, z - 1)  # at most so much is behind the element
+        before = z - 1 - rest * z // 256  # at most so much is before the element, and behind it
+        rest = np.minimum((rest + 1) * z // 256 + 1, z - 1)
         head = np.ones(len(k), dtype=bool)
         head[1:] = k[1:] != k[:-1]
         start = np.flatnonzero(head)
@@ -240,6 +241,8 @@ def _pairs(t: float, shards: int):
             b = np.arange(len(a)) - np.repeat(np.cumsum(n[h]) - n[h], n[h]) + lo[a]
             b = np.where(every[a], b, single[np.minimum(b, max(len(single) - 1, 0))] if len(single) else b)
             other = (mine[a] == 0) | (mine[a] != mine[b])
+            # sets that stand too differently around a common element can't be similar
+            other &= np.minimum(before[a], before[b]) + 1 + np.minimum(rest[a], rest[b]) >= need(z[a], z[b], t)
             a, b = a[other], b[other]
             p, q = s[a], s[b]
             v = (np.minimum(p, q).astype(_U) << _U(32)) | np.maximum(p, q).astype(_U)
@@ -249,7 +252,10 @@ def _pairs(t: float, shards: int):
         # behind the prefix that ends first (either, if that can't be told) its set has all that is common beyond what is counted
         behind = size - prefix_length(size, t)
         case = np.where(ends[a] < ends[b], behind[a], np.where(ends[a] > ends[b], behind[b], np.maximum(behind[a], behind[b])))
-        least = np.minimum(least, case)
+        # a similar pair has so many common prefix elements over all shards, so in one of them at least its share of them
+        share = -(-np.maximum(need(size[a], size[b], t) - case, 1) // shards)
+        some = count >= share
+        a, b, count, share, least = a[some], b[some], count[some], share[some], np.minimum(least, case)[some]
         pair = (mix(u[a].astype(_U) ^ mix(u[b].astype(_U))) % _U(shards)).astype(np.int64)
         order = np.argsort(pair, kind="stable")
         cuts = np.searchsorted(pair[order], np.arange(shards + 1))
@@ -260,7 +266,7 @@ def _pairs(t: float, shards: int):
                 continue
             ids, w = np.unique(np.concatenate([a[o], b[o]]), return_inverse=True)
             x, y = w[: len(o)].astype(np.uint32), w[len(o) :].astype(np.uint32)
-            out.append((r, packed(np.diff(u[ids], prepend=0), size[ids].astype(np.int32), np.diff(x.astype(np.int32), prepend=np.int32(0)), y, count[o].astype(np.uint32), least[o].astype(np.uint32))))
+            out.append((r, packed(np.diff(u[ids], prepend=0), size[ids].astype(np.int32), np.diff(x.astype(np.int32), prepend=np.int32(0)), y, count[o].astype(np.uint32), least[o].astype(np.uint32), share[o].astype(np.uint32))))
         return pa.table({"shard": pa.array([r for r, _ in out], pa.int32()), "data": pa.array([d for _, d in out], pa.binary())})
 
     return run
@@ -283,28 +289,31 @@ def _last_fit(z: np.ndarray, start: np.ndarray, stop: np.ndarray, t: float) -> n
     return np.searchsorted(group * wide + z, group * wide + np.floor(z / t + 1e-9), "right")
 
 
-def _enough(t: float):
-    """Of one shard of pairs: those whose common prefix elements leave them able to be similar enough."""
+def _enough(t: float, shards: int):
+    """Of one shard of pairs: those whose common prefix elements leave them able to be similar enough. Shards that didn't report a pair have less than its share."""
 
     def run(table: pa.Table) -> pa.Table:
-        A, B, C, R, Z = [], [], [], [], []
+        A, B, C, R, S, Z = [], [], [], [], [], []
         for data in table["data"].to_pylist():
-            u, z, x, y, c, r = unpacked(data, np.int64, np.int32, np.int32, np.uint32, np.uint32, np.uint32)
+            u, z, x, y, c, r, share = unpacked(data, np.int64, np.int32, np.int32, np.uint32, np.uint32, np.uint32, np.uint32)
             u, x = np.cumsum(u), np.cumsum(x)
             A.append(u[x])
             B.append(u[y])
             C.append(c)
             R.append(r)
+            S.append(share.astype(np.int64))
             Z.append(np.stack([z[x], z[y]]))
         a, b, c, r, z = np.concatenate(A), np.concatenate(B), np.concatenate(C).astype(np.int64), np.concatenate(R).astype(np.int64), np.concatenate(Z, axis=1).astype(np.int64)
         order = np.lexsort((b, a))
         a, b, c, r, z = a[order], b[order], c[order], r[order], z[:, order]
+        share = np.concatenate(S)[order]
         head = np.ones(len(a), dtype=bool)
         head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         start = np.flatnonzero(head)
         # the last common element of the prefixes leaves the least behind it
         c, r, za, zb = np.add.reduceat(c, start), np.minimum.reduceat(r, start), z[0][start], z[1][start]
-        ok = c + r >= need(za, zb, t)
+        silent = shards - np.diff(np.append(start, len(a)))
+        ok = c + silent * (share[start] - 1) + r >= need(za, zb, t)
         return pa.table({"a": a[start][ok], "b": b[start][ok]})
 
     return run
@@ -481,7 +490,7 @@ def groups(docs: DataFrame, n: int = N, t: float = THRESHOLD, hot: int = HOT, ho
     labels = spark.sparkContext.broadcast((known["node"].to_numpy(dtype=np.int64), label))
 
     pairs = _prefixes(docs, n, t, ranks, labels, shards).repartition(shards, "shard").groupBy("shard").applyInArrow(_pairs(t, shards), "shard int, data binary")
-    cand = written(pairs.groupBy("shard").applyInArrow(_enough(t), "a bigint, b bigint"), "pairs")
+    cand = written(pairs.groupBy("shard").applyInArrow(_enough(t, shards), "a bigint, b bigint"), "pairs")
     edges = first.union(_similar(docs, cand, n, t, ranks, shards))
     root = components(edges, "groups")
     # groups of signatures, then of documents; equal sets and equal ids link too
