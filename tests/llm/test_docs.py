@@ -250,6 +250,12 @@ def test_one_of_each_group_stays(spark, odd, empty):
     assert rows(jaccard_join.groups(empty)) == [] and rows(jaccard_join.keep_one(empty)) == []
 
 
+def test_a_sets_signature_is_its_own():
+    texts = [t for _, t, *_ in corpus(40, 8)]
+    sign = lambda ts: [v for _, g, b in jaccard_join.ordered_sets(pa.array(ts), 2, jaccard_join.NO_HOT) for v in jaccard_join.signatures(g, b).tolist()]
+    assert sign(texts) == [sign([t])[0] for t in texts] and len(set(sign(texts))) == len(set(texts))
+
+
 @given(st.lists(st.lists(st.integers(0, 30), min_size=1, max_size=14, unique=True), min_size=2, max_size=9), st.sampled_from([0.3, 0.5, 0.8, 1.0]))
 @settings(max_examples=150, deadline=None)
 def test_prefix_tree_walk(sets, t):
