@@ -51,7 +51,7 @@ def load(path: str | None = None, env: dict[str, str] | None = None, prefix: str
             for w in where:
                 at = at.setdefault(w, {})
             at[last] = _typed(value)
-    fb, br, ex = tree.get("fallback", {}), tree.get("page_scriber", tree.get("browser", {})), tree.get("extractors", {})
+    fb, br, ex = tree.get("fallback", {}), tree.get("browser", {}), tree.get("extractors", {})
     domains = br.get("domains", [])
     return Settings(
         default_provider=tree.get("default_provider", "open_ai"), timeout=float(tree.get("timeout", 30)), providers=tree.get("providers", {}),

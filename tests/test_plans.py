@@ -124,8 +124,8 @@ def test_transport_tries_again(spark):
 
 
 def test_settings(tmp_path):
-    (tmp_path / "c.toml").write_text('default_provider = "google"\n[providers.google]\nenabled = true\nmodel = "g1"\ntemperature = 0.2\n[fallback]\nenabled = true\norder = ["ollama"]\n[page_scriber]\ndomains = ["a.com"]\n')
-    s = config.load(str(tmp_path / "c.toml"), {"LARDERFLOW__PAGE_SCRIBER__URL": "http://b", "LARDERFLOW__PROVIDERS__GOOGLE__MODEL": "g2", "LARDERFLOW__TIMEOUT": "5", "OTHER__X": "1"})
+    (tmp_path / "c.toml").write_text('default_provider = "google"\n[providers.google]\nenabled = true\nmodel = "g1"\ntemperature = 0.2\n[fallback]\nenabled = true\norder = ["ollama"]\n[browser]\ndomains = ["a.com"]\n')
+    s = config.load(str(tmp_path / "c.toml"), {"LARDERFLOW__BROWSER__URL": "http://b", "LARDERFLOW__PROVIDERS__GOOGLE__MODEL": "g2", "LARDERFLOW__TIMEOUT": "5", "OTHER__X": "1"})
     assert (s.default_provider, s.browser_url, s.browser_domains, s.timeout) == ("google", "http://b", ["a.com"], 5)
     first, second = config.chain(s)
     assert (first.model, first.temperature, first.max_tokens, second.name) == ("g2", 0.2, 2000, "ollama")
