@@ -72,3 +72,11 @@ def test_assembly(spark, name, meta, want):
 def test_component_text(spark):
     df = spark.createDataFrame([(["a ", " b"], "\n\nstep"), ([], "step"), (["a"], ""), ([], "")], "i array<string>, s string")
     assert [r[0] for r in df.select(text.components_text(F.col("i"), F.col("s"))).collect()] == ["a\nb\n\nstep", "step", "a\n", ""]
+
+
+def test_functions_in_sql(spark):
+    from larderflow.functions.register import register
+
+    assert "url_host" in register(spark)
+    r = spark.sql("SELECT sanitize_name(' a \n b ') AS n, clean_diet('https://schema.org/VeganDiet') AS d, url_host('https://h:1/x') AS h, in_domain_list('a.b.c', array('b.c')) AS i, strip_html(s) AS t, page_heading(s) AS p, body_text(s) AS b FROM (SELECT '<h1>x</h1><p>y' AS s)").first()
+    assert tuple(r) == ("a b", "Vegan", "h:1", True, "x\ny", "x", "x y")
