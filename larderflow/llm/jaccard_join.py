@@ -70,7 +70,7 @@ NO_HOT = (np.zeros(0, dtype=_U), np.zeros(0, dtype=np.int64))
 
 def signatures(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A 63-bit number for each set, whatever the order of its elements."""
-    c = np.concatenate([[0], np.cumsum(mix(g + _U(0x632BE59BD9B4E019)), dtype=_U)]).astype(_U)
+    c = np.concatenate([np.zeros(1, _U), np.cumsum(mix(g + _U(0x632BE59BD9B4E019)), dtype=_U)])
     return (mix(c[bounds[1:]] - c[bounds[:-1]] + (np.diff(bounds).astype(_U) << _U(32))) >> _U(1)).astype(np.int64)
 
 
