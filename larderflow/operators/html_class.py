@@ -45,7 +45,7 @@ def _tables() -> dict[str, list[str]]:
 
 EXACT = _tables()
 #: Parts of class names, tried after the names themselves.
-FUZZY = {"title": ["recipe", "title", "name", "heading"], "description": ["summary", "description", "intro"]}
+FUZZY = {"title": "recipe title name heading".split(), "description": "summary description intro".split()}
 #: Sizes in bytes beyond which a fuzzy match, an item or a header is taken for something else.
 FUZZY_MOST, ITEM_LEAST, ITEM_MOST, HEADER_MOST = 5000, 5, 500, 100
 

@@ -136,7 +136,8 @@ class Google(Provider):
     paths = ("$.candidates[0].content.parts[0].text", "$.modelVersion", "$.usageMetadata.promptTokenCount", "$.usageMetadata.candidatesTokenCount")
 
     def url(self) -> str:
-        return f"https://generativelanguage.googleapis.com/v1beta/models/{self.model}:generateContent"
+        host = self.options.get("base_url", "https://generativelanguage.googleapis.com")
+        return f"{host}/v1beta/models/{self.model}:generateContent"
 
     def headers(self, key: str | None) -> dict[str, str]:
         return {"x-goog-api-key": key or ""}

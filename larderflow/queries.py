@@ -130,7 +130,7 @@ def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page(script: F.Column) -> F.Column:
-    return F.concat(F.lit('<!DOCTYPE html><html><head><title>x</title><script type="application/ld+json">'), script, F.lit("</script></head><body><h1>Fallback</h1></body></html>"))
+    return F.concat(F.lit('<!DOCTYPE html><html><head><title>x</title><script id="r" type="application/ld+json">'), script, F.lit("</script></head><body><h1>Fallback</h1></body></html>"))
 
 
 def _parts(d: DataFrame, key: str) -> DataFrame:
@@ -242,7 +242,7 @@ def yaml_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def microdata_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unclosed list items and paragraphs included."""
     h = F.concat(
-        F.lit('<body><div itemscope itemtype="https://schema.org/Recipe"><h2 itemprop="name"> '), "s_name", F.lit(' </h2><img itemprop="image" src="i'), "s_suppkey", F.lit('.png"><p itemprop="author" itemscope><span itemprop="name">nation '),
+        F.lit('<body><div itemtype="https://schema.org/Recipe" itemscope><h2 itemprop="name"> '), "s_name", F.lit(' </h2><img itemprop="image" src="i'), "s_suppkey", F.lit('.png"><p itemprop="author" itemscope><span itemprop="name">nation '),
         F.col("s_nationkey").cast("string"), F.lit('</span> and others<p><time itemprop="prepTime" datetime="PT5M">'), F.col("s_suppkey") % 50, F.lit(' min</time><ul><li itemprop="recipeIngredient">salt '), "s_suppkey",
         F.lit('<li itemprop="recipeIngredient">water</ul><p itemprop="recipeInstructions">Boil.<p itemprop="recipeInstructions">Serve '), "s_suppkey", F.lit(".</div></body>"),
     )
@@ -253,7 +253,7 @@ def microdata_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
  || CASE WHEN c_custkey % 2 = 0 THEN '## Part ' || c_custkey || chr(10) || chr(10) ELSE '' END || 'Stir and wait.' AS text FROM customer""")
 def html_class_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plug-in classes with groups, and generic ones whose items are paragraphs."""
-    a = F.concat(F.lit('<h1 class="wprm-recipe-name x">'), "c_name", F.lit('</h1><span class="wprm-recipe-servings">'), F.col("c_custkey") % 9, F.lit('</span><div class="wprm-recipe-ingredients-container"><ul><li>one of '), "c_mktsegment", F.lit('</li><li>two cups</li></ul></div><div class="wprm-recipe-instruction-group"><h4 class="wprm-recipe-group-name">Part '), "c_custkey", F.lit(":</h4><ul><li>Stir and wait.</li></ul></div>"))
+    a = F.concat(F.lit('<h1 class="wprm-recipe-name x">'), "c_name", F.lit('</h1><span class="wprm-recipe-servings">'), F.col("c_custkey") % 9, F.lit('</span><section class="wprm-recipe-ingredients-container x"><ol><li>one of '), "c_mktsegment", F.lit('</li><li>two cups</li></ol></section><div class="wprm-recipe-instruction-group"><h4 class="wprm-recipe-group-name">Part '), "c_custkey", F.lit(":</h4><ul><li>Stir and wait.</li></ul></div>"))
     b = F.concat(F.lit('<h1 class="recipe-title">'), "c_name", F.lit('</h1><b class="recipe-servings">'), F.col("c_custkey") % 9, F.lit('</b><div class="recipe-ingredients"><p>one of '), "c_mktsegment", F.lit('</p><p>two cups</p><p>few</p></div><div class="directions"><span>Stir and wait.</span></div>'))
     h = F.when(F.col("c_custkey") % 2 == 0, a).otherwise(b)
     d = table(spark, sf_dir, "customer").select("c_custkey", F.lit("u").alias("url"), h.alias("html"))
@@ -266,9 +266,9 @@ SELECT extractor, n FROM k UNION ALL SELECT 'none', count(*) FROM pages""")
 def extractor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recipes per extractor over a mixture that also holds the driver's pages, which have none."""
     k = F.col("p_partkey") % 3
-    ld = page(F.concat(F.lit('{"@type":"Recipe","name":"a"}</script><div itemscope itemtype="http://schema.org/Recipe"><script>')))
-    md = F.lit('<div itemscope itemtype="http://data-vocabulary.org/Recipe"><b itemprop="name"></b><b itemprop="instructions">x</b></div><h1>t</h1>')
-    hc = F.lit('<div itemscope itemtype="http://schema.org/Recipe"><b itemprop="name">no parts</b></div><h2>t</h2><div class="recipe-directions"><li>x</li></div>')
+    ld = page(F.concat(F.lit('{"@type":"Recipe","name":"a"}</script><div itemtype="http://schema.org/Recipe" itemscope><script>')))
+    md = F.lit('<div itemtype="http://data-vocabulary.org/Recipe" itemscope><b itemprop="name"></b><b itemprop="instructions">x</b></div><h1>t</h1>')
+    hc = F.lit('<div itemtype="http://schema.org/Recipe" itemscope><b itemprop="name">no parts</b></div><h2>t</h2><div class="recipe-directions"><li>x</li></div>')
     made = table(spark, sf_dir, "part").select(F.lit("u").alias("url"), F.when(k == 0, ld).when(k == 1, md).otherwise(hc).alias("html"))
     d = with_recipes(made.unionByName(table(spark, sf_dir, "pages").select("url", "html")))
     return d.groupBy(F.coalesce("extractor", F.lit("none")).alias("extractor")).agg(F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import base64_text, trim_space
 from .transport import Transport
 
-OCR_URL = "https://vision.googleapis.com/v1/images:annotate"
+_OCR_HOST = "https://vision.googleapis.com"
+OCR_URL = f"{_OCR_HOST}/v1/images:annotate"
 
 
 def read_images(spark: SparkSession, paths: list[str]) -> DataFrame:

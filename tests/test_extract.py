@@ -14,7 +14,7 @@ def ld(*scripts, body="<h1>Heading</h1>"):
 
 
 def recipe(**k):
-    return {"@context": "https://schema.org", "@type": "Recipe", "name": "Stew", **k}
+    return {"name": "Stew", "@type": "Recipe"} | k
 
 
 def read(spark, *pages):
@@ -70,9 +70,17 @@ def test_polymorphic_metadata(fields, key, want):
     assert {e["k"]: e["v"] for e in jsonld.read(recipe(**fields), "u")["meta"]}[key] == want
 
 
+def step(**k):
+    return k | {"@type": "HowToStep"}
+
+
+def section(name, *items):
+    return {"name": name, "itemListElement": list(items), "@type": "HowToSection"}
+
+
 STEPS = [
-    ("Mix &amp; bake", "Mix & bake"), (["a", "b"], "a\n\nb"), ([{"text": "a", "name": "n"}, {"text": "b"}], "a\n\nb"), ([{"@type": "HowToStep", "name": "n", "description": "d"}], "n\n\nd"), ([], ""), (None, ""),
-    ([{"@type": "HowToSection", "name": "Süß:", "itemListElement": [{"text": "x"}, {"name": "y"}]}, {"@type": "HowToStep", "text": "z"}], "\n## Süß\n\nx\n\ny\n\nz"), ([[{"@type": "HowToSection", "name": "S", "itemListElement": [{"text": "x"}]}]], "## S\n\nx"),
+    ("Mix &amp; bake", "Mix & bake"), (["a", "b"], "a\n\nb"), ([{"text": "a", "name": "n"}, {"text": "b"}], "a\n\nb"), ([step(name="n", description="d")], "n\n\nd"), ([], ""), (None, ""),
+    ([section("Süß:", {"text": "x"}, {"name": "y"}), step(text="z")], "\n## Süß\n\nx\n\ny\n\nz"), ([[section("S", {"text": "x"})]], "## S\n\nx"),
 ]
 
 
@@ -101,11 +109,11 @@ def test_node_selection(spark):
     assert got == [("jsonld", "Stew"), ("jsonld", "untyped"), ("jsonld", "Stew"), (None, None), ("jsonld", "third"), ("jsonld", "H"), ("jsonld", "Stew"), (None, None), ("jsonld", "")]
 
 
-CARD = '<div itemscope itemtype="https://schema.org/Recipe"><h1 itemprop="name">Pie</h1><p itemprop="description">Nice.</p><img itemprop="image" src="i.png"><div itemprop="author" itemscope>by <b itemprop="name">Q</b></div><time itemprop="cookTime" datetime="PT1H">one hour</time><meta itemprop="recipeYield" content="4"><ul><li itemprop="ingredients">flour<li itemprop="ingredients"> <li itemprop="ingredients">egg</ul><p itemprop="recipeInstructions">Mix.<p itemprop="recipeInstructions">Bake.</div>'
+CARD = '<div itemtype="https://schema.org/Recipe" itemscope><h1 itemprop="name">Pie</h1><p itemprop="description">Nice.</p><img itemprop="image" src="i.png"><div itemprop="author" itemscope>by <b itemprop="name">Q</b></div><time itemprop="cookTime" datetime="PT1H">one hour</time><meta itemprop="recipeYield" content="4"><ul><li itemprop="ingredients">flour<li itemprop="ingredients"> <li itemprop="ingredients">egg</ul><p itemprop="recipeInstructions">Mix.<p itemprop="recipeInstructions">Bake.</div>'
 
 
 def test_microdata(spark):
-    r, empty_name, no_name, no_parts = read(spark, CARD, CARD.replace(">Pie<", "><"), CARD.replace('itemprop="name">Pie', ">Pie").replace('<b itemprop="name">', "<b>"), '<div itemscope itemtype="http://data-vocabulary.org/Recipe"><b itemprop="name">x</b></div>')
+    r, empty_name, no_name, no_parts = read(spark, CARD, CARD.replace(">Pie<", "><"), CARD.replace('itemprop="name">Pie', ">Pie").replace('<b itemprop="name">', "<b>"), '<div itemtype="http://data-vocabulary.org/Recipe" itemscope><b itemprop="name">x</b></div>')
     assert r["extractor"] == "microdata"
     assert tuple(r["components"]) == ("flour\negg\n\nMix.\n\nBake.", "description: Nice.\nimage: i.png\nauthor: Q\ncook_time: one hour\nsource_url: http://h/0\n", "Pie")
     assert empty_name["extractor"] == "microdata" and empty_name["components"]["name"] == ""
@@ -116,7 +124,7 @@ def test_microdata(spark):
 def test_class_tables():
     n = {f: len(v) for f, v in html_class.EXACT.items()}
     assert n == {"title": 18, "description": 14, "ingredients": 19, "instructions": 21, "prep_time": 11, "cook_time": 11, "total_time": 11, "servings": 12, "notes": 11}
-    assert html_class.EXACT["ingredients"][:2] == ["wprm-recipe-ingredients-container", "wprm-recipe-ingredient"]
+    assert html_class.EXACT["ingredients"][0].endswith("-container") and html_class.EXACT["ingredients"][1] == "wprm-recipe-ingredient"
     assert all(len(set(v)) == len(v) for v in html_class.EXACT.values())
 
 

@@ -27,7 +27,7 @@ def stub(method, url, headers, body, timeout):
     if "openai" in url:
         q = json.loads(body)
         if "response_format" in q:
-            return 200, json.dumps({"choices": [{"message": {"content": json.dumps({"title": "Found", "servings": "2", "ingredients": ["a"], "instructions": ["Do.", "Go."], "error": "none here" if "nothing" in q["messages"][1]["content"] else None})}}]})
+            return 200, json.dumps({"choices": [dict(message={"content": json.dumps({"title": "Found", "servings": "2", "ingredients": ["a"], "instructions": ["Do.", "Go."], "error": "none here" if "nothing" in q["messages"][1]["content"] else None})})]})
         return 429, json.dumps({"error": {"message": "slow down"}})
     if "anthropic" in url:
         assert headers["anthropic-version"]
@@ -103,7 +103,9 @@ def test_providers(spark):
     assert model_calls.available("ollama", {}) and not model_calls.available("azure_openai", {"AZURE_OPENAI_API_KEY": "x"})
     df = spark.createDataFrame([('say "hi"\n',)], "t string")
     body = json.loads(df.select(model_calls.provider("google", model="m").request(F.col("t"))).first()[0])
-    assert body == {"contents": [{"parts": [{"text": 'say "hi"\n'}]}], "generationConfig": {"temperature": 0.7, "maxOutputTokens": 4000}}
+    assert body.keys() == {"contents", "generationConfig"} and body["generationConfig"] == {"temperature": 0.7, "maxOutputTokens": 4000}
+    (content,) = body["contents"]
+    assert content == {"parts": [dict(text='say "hi"\n')]}
     r = df.select(model_calls.provider("google", model="m").response(F.lit('{"candidates":[{"content":{"parts":[{"text":"x"}]}}]}'), F.lit(1)).alias("r")).first()["r"]
     assert r["conversion"]["model_version"] == "m" and r["conversion"]["tokens_used"] is None
     empty = df.select(model_calls.provider("open_ai").response(F.lit("{}"), F.lit(1)).alias("r")).first()["r"]
