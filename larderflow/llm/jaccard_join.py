@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, mix, packed, parts, scratch, slices, small, span_hashes, unpacked, utf8, word_spans, written
+from .common import components, mix, packed, parts, scratch, slices, small, span_hashes, trimmed, unpacked, utf8, word_spans, written
 
 #: Words of an n-gram, and the least Jaccard similarity of a pair.
 N, THRESHOLD = 2, 0.6
@@ -103,7 +103,7 @@ def _scan(docs: DataFrame, n: int, least: int) -> DataFrame:
                 names=["doc_id", "sig", "key", "n", "m"],
             )
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id bigint, sig bigint, key bigint, n bigint, m binary")
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(trimmed(run), "doc_id bigint, sig bigint, key bigint, n bigint, m binary")
 
 
 def prefix_length(size: np.ndarray, t: float) -> np.ndarray:
@@ -172,7 +172,7 @@ def _prefixes(docs: DataFrame, n: int, t: float, hot, labels, shards: int) -> Da
         if held:
             yield blobs(kk, ss, zz, qq, ll, known, group)
 
-    return docs.select("text").where("doc_id is not null and text is not null").mapInArrow(run, "shard int, data binary")
+    return docs.select("text").where("doc_id is not null and text is not null").mapInArrow(trimmed(run), "shard int, data binary")
 
 
 def signatures_of(g: np.ndarray, bounds: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -269,7 +269,7 @@ def _pairs(t: float, shards: int):
             out.append((r, packed(np.diff(u[ids], prepend=0), size[ids].astype(np.int32), np.diff(x.astype(np.int32), prepend=np.int32(0)), y, count[o].astype(np.uint32), least[o].astype(np.uint32), share[o].astype(np.uint32))))
         return pa.table({"shard": pa.array([r for r, _ in out], pa.int32()), "data": pa.array([d for _, d in out], pa.binary())})
 
-    return run
+    return trimmed(run)
 
 
 def _by_pair(key: np.ndarray, count: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -316,7 +316,7 @@ def _enough(t: float, shards: int):
         ok = c + silent * (share[start] - 1) + r >= need(za, zb, t)
         return pa.table({"a": a[start][ok], "b": b[start][ok]})
 
-    return run
+    return trimmed(run)
 
 
 class Union:
@@ -399,7 +399,7 @@ def _sets(docs: DataFrame, n: int, hot) -> DataFrame:
                         data.append(packed(np.diff(g[bounds[q] : bounds[q + 1]], prepend=_U(0))))
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(data, pa.binary())], names=["sig", "data"])
 
-    return docs.select("text").where("doc_id is not null and text is not null").mapInArrow(run, "sig bigint, data binary")
+    return docs.select("text").where("doc_id is not null and text is not null").mapInArrow(trimmed(run), "sig bigint, data binary")
 
 
 def _verify(t: float):
@@ -427,7 +427,7 @@ def _verify(t: float):
                 b.append(sig[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return run
+    return trimmed(run)
 
 
 def _stars(scan: DataFrame, large: int) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, mix, packed, parts, scratch, slices, small, span_hashes, unpacked, utf8, word_spans, written
+from .common import discard, mix, packed, parts, scratch, slices, small, span_hashes, trimmed, unpacked, utf8, word_spans, written
 
 #: Shards that share a context's pairs.
 SPREAD = 4
@@ -77,7 +77,7 @@ def _pair_sums(v: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray,
 
 def _blocks(column):
     b, offsets = utf8(column)
-    for i, j in slices(offsets, 4_000_000):
+    for i, j in slices(offsets, 2_000_000):
         yield i, j, b[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 
@@ -120,7 +120,7 @@ def _count(shards: int):
                     out.append((q, packed(np.diff(v[k], prepend=_U(0)), w[k], c[k].astype(np.uint32))))
             yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in out], pa.int32()), pa.array([d for _, d in out], pa.binary())], names=["target", "data"])
 
-    return run
+    return trimmed(run)
 
 
 def _merge(shards: int):
@@ -145,7 +145,7 @@ def _merge(shards: int):
         rows.append((2, me, me, None, *((c == i).sum().item() for i in (1, 2, 3, 4)), len(c), int(c.sum())))
         return _table(rows)
 
-    return run
+    return trimmed(run)
 
 
 def _words(shards: int):
@@ -179,7 +179,7 @@ def _words(shards: int):
         rows.append((4, me, me, None, *((cont == i).sum().item() for i in (1, 2, 3, 4)), int(seen.sum()), int(cont.sum())))
         return _table(rows)
 
-    return run
+    return trimmed(run)
 
 
 class Levels:
@@ -285,7 +285,7 @@ def _finish(levels: Levels, shards: int):
             rows.append((8, me, me, np.log(p[end][:1]).tobytes()))
         return _table(rows)
 
-    return run
+    return trimmed(run)
 
 
 REQUEST = "target int, batch bigint, kind int, data binary"
@@ -361,7 +361,7 @@ def _requests(shards: int, filters, hots):
                 [pa.array(t, pa.int32()), pa.array([digest] * len(t), pa.int64()), pa.array([-len(rows) - 1] + [1] * len(rows), pa.int32()), pa.array([sink.getvalue().to_pybytes()] + [d for _, d in rows], pa.binary())], names=["target", "batch", "kind", "data"]
             )
 
-    return run
+    return trimmed(run)
 
 
 def _step(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -409,7 +409,7 @@ def _answer(levels: Levels):
             out.append(packed(total.astype(np.float32)))
         return pa.table({"batch": pa.array(batch, pa.int64()), "kind": pa.array([1] * len(batch), pa.int32()), "data": pa.array(out, pa.binary())})
 
-    return run
+    return trimmed(run)
 
 
 def _look(keys: np.ndarray, values: np.ndarray, q: np.ndarray, missing: float) -> np.ndarray:
@@ -441,7 +441,7 @@ def _gather(levels: Levels, end: float):
         one = pa.table({"doc_id": t["doc_id"], "lang": t["lang"], "words": t["words"], "log_prob": lp})
         return pa.concat_tables([one] * len(bases))
 
-    return run
+    return trimmed(run)
 
 
 def trusted(labels: DataFrame) -> DataFrame:
@@ -502,7 +502,7 @@ def _pass_or(answer):
             return table.select(["batch", "kind", "data"])
         return answer(table)
 
-    return run
+    return trimmed(run)
 
 
 def classify(docs: DataFrame, labels: DataFrame, high: float = HIGH, margin: float = MARGIN) -> DataFrame:

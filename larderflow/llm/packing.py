@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, mix, parts, slices, small, utf8, word_spans, written
+from .common import components, mix, parts, slices, small, trimmed, utf8, word_spans, written
 from .jaccard_join import ngrams
 
 #: Tokens (words) of a window.
@@ -54,7 +54,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES) ->
                 [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n), pa.array((node >> _U(1)).astype(np.int64), mask=none), pa.array([s.tobytes() for s in sig], pa.binary(), mask=none)], names=["doc_id", "lang", "n", "node", "sig"]
             )
 
-    return docs.select("doc_id", "text", "lang").mapInArrow(run, "doc_id bigint, lang string, n bigint, node bigint, sig binary")
+    return docs.select("doc_id", "text", "lang").mapInArrow(trimmed(run), "doc_id bigint, lang string, n bigint, node bigint, sig binary")
 
 
 def _near(hashes: int, neighbours: int):
@@ -90,7 +90,7 @@ def _near(hashes: int, neighbours: int):
         cat = lambda z, t: np.concatenate(z).astype(t) if z else np.zeros(0, t)
         return pa.table({"a": cat(A, np.int64), "b": cat(B, np.int64), "common": cat(C, np.int32)})
 
-    return run
+    return trimmed(run)
 
 
 def graph(sigs: DataFrame, hashes: int = HASHES, neighbours: int = NEIGHBOURS) -> DataFrame:
