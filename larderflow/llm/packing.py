@@ -10,8 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, mix, parts, slices, small, trimmed, utf8, word_spans, written
+from .common import components, discard, mix, packed, parts, slices, small, trimmed, unpacked, utf8, word_spans, written
 from .jaccard_join import ngrams
+from .jaccard_join import signatures as set_numbers
 
 #: Tokens (words) of a window.
 WINDOW = 2048
@@ -19,6 +20,8 @@ WINDOW = 2048
 SHINGLE, HASHES = 3, 8
 #: Neighbours of a document in the graph.
 NEIGHBOURS = 4
+#: Words of the texts whose sets are searched as one block, and of those that a shard of shingles comes from.
+BLOCK, SHARD = 20_000_000, 4_000_000
 #: Tokens of a lane, the stretch whose windows are filled one after the other, on average.
 LANE = 4_000_000
 
@@ -26,8 +29,31 @@ _U = np.uint64
 _ODD = [int(mix(np.array([k + 1], dtype=_U))[0]) | 1 for k in range(64)]
 
 
+def _pairs(high: np.ndarray, low: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of numbers, ascending; `low` has so many bits at most."""
+    high, low = high.astype(_U, copy=False), low.astype(_U, copy=False)
+    if int(high.max(initial=0)).bit_length() + bits <= 64:
+        key = np.sort((high << _U(bits)) | low)
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        key = key[new]
+        return key >> _U(bits), key & _U((1 << bits) - 1)
+    order = np.lexsort((low, high))
+    high, low = high[order], low[order]
+    new = np.ones(len(high), dtype=bool)
+    new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+    return high[new], low[new]
+
+
+def _sets(g: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of shingles and their texts: each text's set of them as 48-bit hashes, ascending, the text of each, and a number for each of the n texts' sets."""
+    doc, g = _pairs(doc, g >> _U(16), 48)
+    doc = doc.astype(np.int64)
+    return g, doc, set_numbers(g, np.searchsorted(doc, np.arange(n + 1)))
+
+
 def signatures(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES) -> DataFrame:
-    """Rows (doc_id, lang, n, node, sig): words, a number for the signature and its min-hashes as 32-bit numbers; null for a text without words."""
+    """Rows (doc_id, lang, n, node, sig): words, a number for the set of shingles and its min-hashes as 32-bit numbers; null for a text without words."""
 
     def run(batches):
         for batch in batches:
@@ -35,6 +61,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES) ->
             b, offsets = utf8(pc.utf8_lower(col.cast(pa.large_string())))
             n = np.zeros(batch.num_rows, dtype=np.int64)
             sig = np.zeros((batch.num_rows, hashes), dtype=np.uint32)
+            node = np.zeros(batch.num_rows, dtype=np.int64)
             for i, j in slices(offsets, 1_500_000):
                 x, o = b[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 _, _, doc = word_spans(x, o)
@@ -42,16 +69,13 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, hashes: int = HASHES) ->
                 g, doc = ngrams(x, o, shingle)
                 if not len(g):
                     continue
+                node[i:j] = _sets(g, doc, j - i)[2]
                 first = np.flatnonzero(np.diff(doc, prepend=-1))
                 for k in range(hashes):
                     sig[i + doc[first], k] = np.minimum.reduceat(g * _U(_ODD[k]), first) >> _U(32)
-            has = n > 0
-            node = np.zeros(len(n), dtype=_U)
-            for k in range(hashes):
-                node = mix(node * _U(31) + sig[:, k].astype(_U) + _U(1))
-            none = ~has
+            none = n == 0
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n), pa.array((node >> _U(1)).astype(np.int64), mask=none), pa.array([s.tobytes() for s in sig], pa.binary(), mask=none)], names=["doc_id", "lang", "n", "node", "sig"]
+                [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n), pa.array(node, mask=none), pa.array([s.tobytes() for s in sig], pa.binary(), mask=none)], names=["doc_id", "lang", "n", "node", "sig"]
             )
 
     return docs.select("doc_id", "text", "lang").mapInArrow(trimmed(run), "doc_id bigint, lang string, n bigint, node bigint, sig binary")
@@ -94,7 +118,8 @@ def _near(hashes: int, neighbours: int):
 
 
 def graph(sigs: DataFrame, hashes: int = HASHES, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """Rows (a, b, common, r) of the nearest-neighbour graph of distinct signatures: r is 1 for a's nearest. It is exact: all signatures that share a min-hash meet."""
+    """Rows (a, b, common, r) of the nearest-neighbour graph of distinct sets by common min-hashes: r is 1 for a's nearest. All signatures that share a min-hash meet, but
+    sets of low similarity often share none; `pack` uses `nearest`."""
     shards = parts(sigs.sparkSession)
     nodes = sigs.where("node is not null").groupBy("node").agg(F.min("sig").alias("sig"))
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 4 * k + 1, 4)) for k in range(hashes)])
@@ -104,7 +129,156 @@ def graph(sigs: DataFrame, hashes: int = HASHES, neighbours: int = NEIGHBOURS) -
     return near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= neighbours)
 
 
-def walk(edges: list[tuple[int, int, int]]) -> list[list[int]]:
+def _postings(shingle: int, shards: int):
+    """Map: of a batch, the distinct sets' shingles by shard: nodes and sizes of the sets, ascending shingles and the places of their sets."""
+
+    def run(batches):
+        for batch in batches:
+            b, offsets = utf8(pc.utf8_lower(batch.column(0).cast(pa.large_string())))
+            G, D, N, S, at = [], [], [], [], 0
+            for i, j in slices(offsets, 1_500_000):
+                g, doc, number = _sets(*ngrams(b[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle), j - i)
+                G.append(g)
+                D.append(doc + at)
+                N.append(number)
+                S.append(np.bincount(doc, minlength=j - i).astype(np.uint32))
+                at += j - i
+            if not at:
+                continue
+            g, doc, node, size = (np.concatenate(z) for z in (G, D, N, S))
+            once = np.zeros(at, dtype=bool)
+            once[np.unique(node, return_index=True)[1]] = True
+            g, doc = g[once[doc]], doc[once[doc]]
+            g, doc = _pairs(g, doc, max(1, at.bit_length()))
+            cuts = np.searchsorted(g, np.array([-(-(q << 48) // shards) for q in range(shards)] + [1 << 48], dtype=_U))
+            out = []
+            for q in range(shards):
+                k = slice(cuts[q], cuts[q + 1])
+                if k.stop > k.start:
+                    own, place = np.unique(doc[k], return_inverse=True)
+                    out.append((q, packed(node[own], size[own], np.diff(g[k], prepend=_U(0)), place.astype(np.uint32))))
+            yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in out], pa.int32()), pa.array([d for _, d in out], pa.binary())], names=["shard", "data"])
+
+    return trimmed(run)
+
+
+def _shared(blocks: int):
+    """Of one shard: its shingles that several sets have, numbered, by block of sets: nodes, sizes, ascending shingles and the places of their sets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        N, S, G, P, at = [], [], [], [], 0
+        for data in table["data"].to_pylist():
+            node, size, g, place = unpacked(data, np.int64, np.uint32, _U, np.uint32)
+            N.append(node)
+            S.append(size)
+            G.append(np.cumsum(g, dtype=_U))
+            P.append(place.astype(np.int64) + at)
+            at += len(node)
+        node, first, number = np.unique(np.concatenate(N), return_index=True, return_inverse=True)
+        size, g, doc = np.concatenate(S)[first], np.concatenate(G), number[np.concatenate(P)]
+        low = g.min()
+        g, doc = _pairs(g - low, doc, max(1, len(node).bit_length()))
+        head = np.ones(len(g), dtype=bool)
+        head[1:] = g[1:] != g[:-1]
+        term = np.cumsum(head) - 1
+        many = np.bincount(term)[term] > 1
+        term, doc = term[many], doc[many].astype(np.int64)
+        block = node[doc] % blocks
+        rows = []
+        for q in range(blocks):
+            t, d = term[block == q], doc[block == q]
+            if len(t):
+                own, place = np.unique(d, return_inverse=True)
+                rows.append((q, packed(node[own], size[own], np.diff(t, prepend=0).astype(np.uint32), place.astype(np.uint32))))
+        shard = table["shard"][0].as_py()
+        return pa.table({"block": pa.array([q for q, _ in rows], pa.int32()), "shard": pa.array([shard] * len(rows), pa.int32()), "data": pa.array([d for _, d in rows], pa.binary())})
+
+    return trimmed(run)
+
+
+def _best(q: tuple, x: tuple, neighbours: int, same: bool) -> list[tuple]:
+    """Of each set of the block q (nodes, sizes, ascending shingles, places): its nearest ones of x by Jaccard similarity, ties to the lower node."""
+    (qn, qs, qt, qp), (xn, xs, xt, xp) = q, x
+    low = np.searchsorted(xt, qt, "left").astype(np.int32)
+    per = np.searchsorted(xt, qt, "right").astype(np.int32) - low
+    order = np.flatnonzero(per)
+    order = order[np.argsort(qp[order], kind="stable")].astype(np.int32)
+    low, per, bounds = low[order], per[order], np.searchsorted(qp[order], np.arange(len(qn) + 1))
+    del order
+    out = []
+    for i in range(len(qn)):
+        m = per[bounds[i] : bounds[i + 1]]
+        total = int(m.sum())
+        if not total:
+            continue
+        met = np.bincount(xp[np.repeat(low[bounds[i] : bounds[i + 1]] - (np.cumsum(m) - m), m) + np.arange(total)])
+        if same and i < len(met):
+            met[i] = 0
+        col = np.flatnonzero(met)
+        c = met[col]
+        sim = c / (qs[i] + xs[col] - c)
+        if len(col) > neighbours:
+            k = np.flatnonzero(sim >= np.partition(sim, len(sim) - neighbours)[len(sim) - neighbours])
+            k = k[np.argsort(-sim[k], kind="stable")][:neighbours]
+            col, sim = col[k], sim[k]
+        out.append((np.full(len(col), qn[i]), xn[col], sim))
+    return out
+
+
+def _meet(neighbours: int):
+    """Of two blocks of sets, or of one with itself: each set's nearest ones in the other."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block, shard, data = table["block"].to_numpy(), table["shard"].to_numpy(), table["data"]
+        shards = np.unique(shard)
+        most = np.zeros(len(shards), dtype=np.int64)
+        got: dict[int, list] = {}
+        for k in np.argsort(shard, kind="stable").tolist():
+            n, s, t, p = unpacked(data[k].as_py(), np.int64, np.uint32, np.uint32, np.uint32)
+            t = np.cumsum(t, dtype=np.int32)
+            at = int(np.searchsorted(shards, shard[k]))
+            most[at] = max(most[at], int(t[-1]) + 1)
+            got.setdefault(int(block[k]), []).append((at, n, s, t, p.astype(np.int32)))
+        del data
+        base = (np.cumsum(most) - most).astype(np.int32)
+        sets = {}
+        for k in list(got):
+            own = got.pop(k)
+            node, first, number = np.unique(np.concatenate([n for _, n, *_ in own]), return_index=True, return_inverse=True)
+            at = np.cumsum([0, *(len(n) for _, n, *_ in own)])
+            number = number.astype(np.int32)
+            place = np.concatenate([number[i:][p] for i, (*_, p) in zip(at, own)])
+            sets[k] = node, np.concatenate([s for _, _, s, _, _ in own])[first].astype(np.int64), np.concatenate([t + base[q] for q, _, _, t, _ in own]), place
+            del own
+        a, b = table["one"][0].as_py(), table["two"][0].as_py()
+        out = []
+        if a in sets and b in sets:
+            out = _best(sets[a], sets[b], neighbours, a == b) + (_best(sets[b], sets[a], neighbours, False) if a != b else [])
+        cat = lambda k, t: np.concatenate([x[k] for x in out]) if out else np.zeros(0, t)
+        return pa.table({"a": cat(0, np.int64), "b": cat(1, np.int64), "sim": cat(2, np.float64)})
+
+    return trimmed(run)
+
+
+def nearest(docs: DataFrame, words: int, shingle: int = SHINGLE, neighbours: int = NEIGHBOURS, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """Rows (a, b, sim, r) of the nearest-neighbour graph of distinct sets of shingles: r is 1 for a's nearest. It is exact: all sets that share a shingle meet, and
+    Jaccard similarity ranks them; ties go to the lower node. `words` is the number of words of all texts; blocks of sets and shards of shingles follow from it.
+
+    Every two sets of texts meet in one task, so work grows with the square of the input as far as sets share shingles.
+    """
+    blocks, shards = max(1, -(-words // block)), max(1, -(-words // shard))
+    text = docs.select("text").where("text is not null")
+    met = text.mapInArrow(_postings(shingle, shards), "shard int, data binary").groupBy("shard").applyInArrow(_shared(blocks), "block int, shard int, data binary")
+    met = written(met, "shingles")
+    other = met.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = other.select("block", "shard", "data", F.least("block", "o").alias("one"), F.greatest("block", "o").alias("two"))
+    best = written(pairs.groupBy("one", "two").applyInArrow(_meet(neighbours), "a bigint, b bigint, sim double"), "nearest")
+    discard(met)
+    w = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
+    return best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= neighbours)
+
+
+def walk(edges: list[tuple[int, int, float]]) -> list[list[int]]:
     """Paths that cover the nodes of an undirected graph of (a, b, common): each begins at the unvisited node of lowest degree and goes on to the unvisited neighbour
     with most in common; ties go to the lower node. A degree counts unvisited neighbours."""
     near: dict[int, dict[int, int]] = {}
@@ -149,7 +323,7 @@ def _paths(table: pa.Table) -> pa.Table:
 def pack(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, hashes: int = HASHES, neighbours: int = NEIGHBOURS, lane: int = LANE) -> DataFrame:
     """Rows (window_id, pos, doc_id, doc_from, n_tokens): n_tokens words of the document from its word doc_from on stand at `pos` of the window.
 
-    Documents are nodes by their min-hash signatures (equal ones stand together) and linked to the neighbours with most common min-hashes. The trees that
+    Documents are nodes by their sets of shingles (equal ones stand together) and linked to the neighbours of highest Jaccard similarity (see `nearest`). The trees that
     nearest neighbours form are cells; in a cell, paths are walked greedily (see `walk`), cells go by language and number into lanes of about `lane` tokens,
     and each lane's documents, path by path, fill windows of `window` tokens without a gap; only a lane's last window may be short. Every
     word of every document is in one window; a document that crosses a window's end goes on in the next.
@@ -160,7 +334,8 @@ def pack(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, hashes:
     spark = docs.sparkSession
     shards = parts(spark)
     sigs = written(signatures(docs, shingle, hashes), "signatures")
-    edges = written(graph(sigs, hashes, neighbours), "neighbours")
+    total = sigs.agg(F.sum("n")).first()[0] or 0
+    edges = written(nearest(docs, total, shingle, neighbours).withColumnRenamed("sim", "common"), "neighbours")
     cells = components(edges.where("r = 1"), "cells")
     one = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "common").distinct()
     roots = cells.select("root").distinct().select(F.col("root").alias("node"), "root")
@@ -170,7 +345,6 @@ def pack(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, hashes:
     paths = inner.withColumn("task", F.pmod(F.xxhash64("root"), F.lit(shards * 4))).groupBy("task").applyInArrow(_paths, "cell bigint, at bigint, path int, step int")
     paths = written(paths, "paths")
     d = sigs.where("n > 0").select("doc_id", "lang", "n", "node")
-    total = d.agg(F.sum("n")).first()[0] or 0
     lanes = max(1, total // lane)
     p = small(paths)
     d = d.join(p, d["node"] == p["at"], "left").withColumn("cell", F.coalesce("cell", "node"))

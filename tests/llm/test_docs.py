@@ -304,6 +304,27 @@ def test_nearest_neighbours_are_exact(spark, docs):
         assert [got[a][k] for k in sorted(got[a])] == [(-c, b) for c, b in near]
 
 
+@pytest.mark.parametrize("size", [packing.BLOCK, 700])
+def test_nearest_by_jaccard_are_exact(spark, odd, docs, size):
+    df = odd.select("doc_id", "text").unionByName(docs.selectExpr("doc_id + 100 as doc_id", "text"))
+    # texts of few words in common, which min-hashes seldom join
+    r = random.Random(3)
+    few = [(5000 + i, " ".join(["seven words that all of these share", *(word(r) + str(i) for _ in range(60))])) for i in range(12)]
+    df = df.union(spark.createDataFrame(few, "doc_id bigint, text string"))
+    texts = {(r["doc_id"], r["text"]) for r in df.collect()}
+    words = sum(len(re.findall(rb"[0-9A-Za-z_\x80-\xff]+", (t or "").encode())) for _, t in texts)
+    sets = {gram_set(t, 3) for _, t in texts if gram_set(t, 3)}
+    got = collections.defaultdict(dict)
+    for x in packing.nearest(df, words, neighbours=3, block=size, shard=size).collect():
+        got[x["a"]][x["r"]] = (x["sim"], x["b"])
+    want = collections.Counter()
+    for a in sets:
+        near = sorted((len(a & b) / len(a | b) for b in sets if b != a and a & b), reverse=True)[:3]
+        if near:
+            want[tuple(near)] += 1
+    assert collections.Counter(tuple(v[k][0] for k in sorted(v)) for v in got.values()) == want
+
+
 def test_walk_is_greedy_by_low_degree():
     edges = [(1, 2, 5), (2, 3, 4), (3, 4, 1), (3, 5, 6), (9, 8, 1)]
     paths = packing.walk(edges)
