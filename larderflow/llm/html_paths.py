@@ -36,8 +36,8 @@ def label(tag: str, attrs: str) -> str:
     return tag
 
 
-def scan(page: str, want: str | None = None):
-    """Without `want`: {path: score} of the page's containers. With it: the text of the first element with that path, or None.
+def scan(page: str, want: str | None = None, every: bool = False):
+    """Without `want`: {path: score} of the page's containers. With it: the text of the first element with that path, or of `every` one, or None.
 
     A text counts for its nearest container as its length, less twice what stands in links, and half of that for each container further out. Texts in scripts, styles and
     navigation don't count. Unclosed paragraphs, list items and cells end where the next begins, other open elements where an outer one is closed.
@@ -79,8 +79,10 @@ def scan(page: str, want: str | None = None):
             if depth >= 0 and tag in _BLOCK:
                 out.append("\n")
             if 0 <= depth and k <= depth:
-                found = True
-                break
+                found, depth = True, -1
+                if not every:
+                    break
+                out.append("\n")
             del stack[k:]
             _, path, skip, link, boxes = stack[-1] if stack else ("", "", False, False, ())
             continue
@@ -105,8 +107,10 @@ def scan(page: str, want: str | None = None):
                 closed |= 0 <= k <= depth
                 del stack[k:]
         if closed:
-            found = True
-            break
+            found, depth = True, -1
+            if not every:
+                break
+            out.append("\n")
         _, path, skip, link, boxes = stack[-1] if stack else ("", "", False, False, ())
         name = label(tag, m[3])
         path = f"{path}/{name}" if path else name
@@ -159,7 +163,7 @@ def winners(v: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Rows (page_id, host, path, consensus, text): the text of the host's winning container; a page without it gives its own best
+    """Rows (page_id, host, path, consensus, text): the text of the host's winning container, of each element where its path repeats; a page without it gives its own best
     container (consensus false), and one without any text in containers gives a null path and an empty text.
 
     Pages vote in one pass and are read again in the second; the winning paths are broadcast while they are few, else joined by a shuffle. A null or empty
@@ -172,11 +176,11 @@ def extract(pages: DataFrame) -> DataFrame:
             paths, same, texts = [], [], []
             for want, page in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 page = page or ""
-                text = scan(page, want) if want else None
+                text = scan(page, want, every=True) if want else None
                 same.append(bool(text))
                 if not text:
                     want, _ = best(page)
-                    text = scan(page, want) if want else ""
+                    text = scan(page, want, every=True) if want else ""
                 paths.append(want)
                 texts.append(text or "")
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(paths, pa.string()), pa.array(same, pa.bool_()), pa.array(texts, pa.string())], names=["page_id", "host", "path", "consensus", "text"])

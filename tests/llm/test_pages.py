@@ -54,3 +54,13 @@ def test_scan_follows_implied_ends():
     assert html_paths.scan(html, "body/div") == "one\ntwo\na\nb\nc\nd"
     assert html_paths.scan("<div>a<!-- x --><style>b</style>c</div>", "div") == "ac"
     assert html_paths.scan("<div>a</div>", "p") is None
+
+
+def test_all_containers_of_the_winning_path_give_text(spark):
+    part = lambda k: f"<div class='post-{k}'><h2>Part {k}</h2><p>{BODY.format(k)}</div>"
+    row = lambda k: f"<tr><td class='c'>{BODY.format(k)}<td class='c'>{BODY.format(k + 10)}"
+    pages = [("http://a.example/", "<body><nav>Home</nav>" + "<hr>".join(map(part, range(4))) + "<footer>end</footer></body>"), ("http://b.example/", f"<body><table>{row(0)}{row(1)}</table></body>")]
+    got = {r["host"]: r for r in html_paths.extract(spark.createDataFrame([(k, *p) for k, p in enumerate(pages)], "page_id bigint, url string, html string")).collect()}
+    assert got["a.example"]["path"] == "body/div.post-#" and got["a.example"]["consensus"]
+    assert got["a.example"]["text"] == "\n".join(f"Part {k}\n{BODY.format(k)}" for k in range(4))
+    assert got["b.example"]["text"] == "\n".join(BODY.format(k) for k in (0, 10, 1, 11))
