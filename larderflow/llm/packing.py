@@ -320,7 +320,7 @@ def _paths(table: pa.Table) -> pa.Table:
     return pa.table({n: pa.array(c, t) for n, c, t in zip(("cell", "at", "path", "step"), cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))})
 
 
-def pack(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, hashes: int = HASHES, neighbours: int = NEIGHBOURS, lane: int = LANE) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, hashes: int = HASHES, neighbours: int = NEIGHBOURS, lane: int = LANE, slots: DataFrame | None = None) -> DataFrame:
     """Rows (window_id, pos, doc_id, doc_from, n_tokens): n_tokens words of the document from its word doc_from on stand at `pos` of the window.
 
     Documents are nodes by their sets of shingles (equal ones stand together) and linked to the neighbours of highest Jaccard similarity (see `nearest`). The trees that
@@ -328,6 +328,8 @@ def pack(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, hashes:
     and each lane's documents, path by path, fill windows of `window` tokens without a gap; only a lane's last window may be short. Every
     word of every document is in one window; a document that crosses a window's end goes on in the next.
 
+    With `slots`, rows (doc_id, slot), a lane's paths stand in the order of the earliest slot among their documents, so windows by number follow the schedule.
+
     Null and empty texts have no words and no rows. Null doc_ids, repeated rows and rows of one doc_id with other texts are packed like any other. An empty table
     gives an empty result; columns other than doc_id, text and lang aren't read.
     """
@@ -350,7 +352,12 @@ def pack(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, hashes:
     d = d.join(p, d["node"] == p["at"], "left").withColumn("cell", F.coalesce("cell", "node"))
     # a cell's documents share a lane, whatever their languages
     d = d.withColumn("lane", F.pmod(F.xxhash64("cell"), F.lit(lanes)))
-    w = Window.partitionBy("lane").orderBy(F.col("lang").asc_nulls_first(), "cell", F.col("path").asc_nulls_first(), "step", "node", F.col("doc_id").asc_nulls_first(), "n")
+    place = []
+    if slots is not None:
+        first = small(written(slots.groupBy(F.col("doc_id").alias("_id")).agg(F.min("slot").alias("_slot")), "places"))
+        d = d.join(first, d["doc_id"].eqNullSafe(first["_id"]), "left").withColumn("place", F.min("_slot").over(Window.partitionBy("cell", "path")))
+        place = ["place", "cell", "path"]
+    w = Window.partitionBy("lane").orderBy(*place, F.col("lang").asc_nulls_first(), "cell", F.col("path").asc_nulls_first(), "step", "node", F.col("doc_id").asc_nulls_first(), "n")
     d = d.withColumn("start", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     d = d.withColumn("k", F.explode(F.sequence(F.expr(f"start div {window}"), F.expr(f"(start + n - 1) div {window}"))))
     begin = F.greatest(F.col("start"), F.col("k") * window)

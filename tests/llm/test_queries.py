@@ -2,6 +2,7 @@
 
 import collections
 import os
+import random
 import re
 
 import duckdb
@@ -10,7 +11,7 @@ import pytest
 import corpus_pipeline
 from larderflow.llm import queries
 
-from .conftest import DOCS, corpus, frame, odd_rows
+from .conftest import DOCS, corpus, frame, odd_rows, word
 from .test_docs import brute_groups, brute_perplexity, train_ids
 
 SF = "/root/testdata/sf0.001"
@@ -86,6 +87,19 @@ def test_pipeline_stages(spark, folder):
     assert sorted(map(repr, corpus_pipeline.run(spark, folder).collect())) == sorted(map(repr, windows.collect()))
 
 
+def test_weights_reach_the_windows(spark, tmp_path, monkeypatch):
+    r = random.Random(2)
+    rows = [(i, " ".join(word(r) + str(r.randint(0, 99)) for _ in range(120)), "en", "ab"[i % 2], 1) for i in range(200)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for first in (0, 1):
+        monkeypatch.setattr(corpus_pipeline, "WEIGHTS", {"ab"[first]: 9, "ba"[first]: 1})
+        at = sorted((x["window_id"], x["pos"], x["doc_id"]) for x in corpus_pipeline.run(spark, str(tmp_path)).collect() if x["doc_from"] == 0)
+        assert sorted(i for *_, i in at) == list(range(200))
+        # nine in ten of the first half are of the heavy source, less what paths of several documents bring along
+        assert sum(i % 2 == first for *_, i in at[:100]) > 75
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
