@@ -16,7 +16,7 @@ FILTER_BYTES = 64_000_000
 #: Words and pairs, the most frequent of each shard, whose values go to all tasks: a fixed number whatever the model's size. They are most of a text and aren't sent.
 HOT_WORDS, HOT_PAIRS = 65_536, 1_000_000
 #: A language's limit on log perplexity: its HIGH quantile over held-out trusted texts, and MARGIN times as far again as that lies from the median.
-HIGH, MARGIN = 0.99, 1.0
+HIGH, MARGIN = 0.99, 0.0
 #: Words that a text's score is drawn to its language's median with, so that a few words alone don't condemn it.
 PRIOR_WORDS = 5
 #: Of 16 parts of the trusted texts (by md5 of doc_id), so many train the model; limits come from the others.

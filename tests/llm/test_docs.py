@@ -94,6 +94,19 @@ def test_quality_tells_junk_from_prose(spark):
     assert len(kept) >= 0.97 * len(base)
 
 
+def test_ceiling_is_the_quantile_of_held_out_trusted_text(spark, docs, labels):
+    good = {r["doc_id"] for r in kn_quality.trusted(labels).selectExpr("_good as doc_id").collect()} - train_ids(labels)
+    by = collections.defaultdict(list)
+    ceiling = {}
+    for r in kn_quality.classify(docs, labels).collect():
+        ceiling[r["lang"]] = math.log(r["ceiling"])
+        if r["doc_id"] in good:
+            by[r["lang"]].append(math.log(r["perplexity"]))
+    assert len(by) == 2
+    for lang, x in by.items():
+        assert abs(ceiling[lang] - np.quantile(x, kn_quality.HIGH)) < 2e-3
+
+
 def test_quality_without_trusted_text_or_rows(spark, odd, empty, labels):
     none = labels.where("quality > 5")
     got = kn_quality.classify(odd, none).collect()
