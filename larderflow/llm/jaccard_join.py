@@ -22,6 +22,8 @@ HOT_IN_BATCH = 4
 HASHES, LARGE, CENTRES = 4, 8, 8
 #: Texts of large groups whose group is told to all tasks, at most; it only saves work, so those of the largest groups come first.
 LABELS = 500_000
+#: Prefix elements of a shard, on average; low bits of an element that aren't sent for verification, and the lowest bit of a frequent one's rank.
+SHARD, CUT, RANK_BIT = 1_500_000, 16, 40
 _U = np.uint64
 _ODD = [_U(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -56,7 +58,7 @@ def ordered_sets(column: pa.Array, n: int, hot: tuple[np.ndarray, np.ndarray]) -
         keys, rank = hot
         if len(keys) and len(g):
             p = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-            g = np.where(keys[p] == g, (_U(1) << _U(63)) | rank[p].astype(_U), g)
+            g = np.where(keys[p] == g, (_U(1) << _U(63)) | rank[p].astype(_U) << _U(RANK_BIT), g)
         order = np.lexsort((g, doc))
         g, doc = g[order], doc[order]
         new = np.ones(len(g), dtype=bool)
@@ -75,17 +77,18 @@ def signatures(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, n: int, least: int) -> DataFrame:
-    """Rows (doc_id, sig, m) of all texts that have words, m being min-hashes, and (key, n) of n-grams that many texts of a batch share."""
+    """Rows (doc_id, sig, m, z) of all texts that have words, m being min-hashes and z the set's size, and (key, n) of n-grams that many texts of a batch share."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).cast(pa.int64())
-            keep, sigs, seen, least_of = [], [], [], []
+            keep, sigs, seen, least_of, sizes = [], [], [], [], []
             # the hash order here; the signatures are those of the unordered sets
             for i, g, bounds in ordered_sets(batch.column(1), n, NO_HOT):
                 has = np.flatnonzero(np.diff(bounds) > 0)
                 keep.append(i + has)
                 sigs.append(signatures(g, bounds)[has])
+                sizes.append(np.diff(bounds)[has])
                 least_of.append(np.stack([np.minimum.reduceat(g * a, bounds[:-1][has]) if len(has) else g[:0] for a in _ODD[:HASHES]], axis=1))
                 k, c = np.unique(g, return_counts=True)
                 seen.append((k[c > 1], c[c > 1]))
@@ -99,11 +102,11 @@ def _scan(docs: DataFrame, n: int, least: int) -> DataFrame:
             none = pa.nulls(len(u), pa.int64())
             gone = pa.nulls(len(rows), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([a, none]), pa.concat_arrays([pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)), none]), pa.concat_arrays([gone, pa.array(u.astype(np.int64))]), pa.concat_arrays([gone, pa.array(total)]), pa.concat_arrays([pa.array([x.tobytes() for y in least_of for x in y], pa.binary()), pa.nulls(len(u), pa.binary())])],
-                names=["doc_id", "sig", "key", "n", "m"],
+                [pa.concat_arrays([a, none]), pa.concat_arrays([pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)), none]), pa.concat_arrays([gone, pa.array(u.astype(np.int64))]), pa.concat_arrays([gone, pa.array(total)]), pa.concat_arrays([pa.array([x.tobytes() for y in least_of for x in y], pa.binary()), pa.nulls(len(u), pa.binary())]), pa.concat_arrays([pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int64)), none])],
+                names=["doc_id", "sig", "key", "n", "m", "z"],
             )
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(trimmed(run), "doc_id bigint, sig bigint, key bigint, n bigint, m binary")
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(trimmed(run), "doc_id bigint, sig bigint, key bigint, n bigint, m binary, z bigint")
 
 
 def prefix_length(size: np.ndarray, t: float) -> np.ndarray:
@@ -119,58 +122,54 @@ def need(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
 def _prefixes(docs: DataFrame, n: int, t: float, hot, labels, shards: int) -> DataFrame:
     """Rows (shard, data): prefix elements of the sets of a batch, packed by shard of the element."""
 
-    def blobs(kk, ss, zz, qq, ll, known, group) -> pa.RecordBatch:
-        k, s, z, q256, last = np.concatenate(kk), np.concatenate(ss), np.concatenate(zz).astype(np.int32), np.concatenate(qq), np.concatenate(ll)
+    def blobs(kk, ww, qq, sig, size, last, known, group) -> pa.RecordBatch:
+        k, w, q256, sig = np.concatenate(kk), np.concatenate(ww), np.concatenate(qq), np.concatenate(sig)
+        size, last = np.concatenate(size).astype(np.int32), np.concatenate(last)
+        # a set that occurs twice in the batch is sent once
+        _, first, which = np.unique(sig, return_index=True, return_inverse=True)
+        once = first[which[w]] == w
+        k, w, q256 = k[once], w[once], q256[once]
         m = mix(k)
         shard = (m % _U(shards)).astype(np.int64)
-        m = m >> _U(16)
-        order = np.lexsort((m, shard))
-        m, s, z, shard, q256, last = m[order], s[order], z[order], shard[order], q256[order], last[order]
+        m = m >> _U(32)  # elements that are alike in these bits only add candidates
+        order = np.argsort((shard.astype(_U) << _U(32)) | m)
+        m, w, shard, q256 = m[order], w[order], shard[order], q256[order]
         cuts = np.searchsorted(shard, np.arange(shards + 1))
         out = []
         for q in range(shards):
-            a, e = cuts[q], cuts[q + 1]
-            if a == e:
+            part = slice(cuts[q], cuts[q + 1])
+            if part.start == part.stop:
                 continue
-            u, first, which = np.unique(s[a:e], return_index=True, return_inverse=True)
-            idx = which.astype(np.uint16 if len(u) < 65536 else np.uint32)
-            # a set that occurs twice in the batch counts once
-            fresh = np.ones(e - a, dtype=bool)
-            o2 = np.lexsort((idx, m[a:e]))
-            mm, ii = m[a:e][o2], idx[o2]
-            fresh[1:] = (mm[1:] != mm[:-1]) | (ii[1:] != ii[:-1])
-            mm, ii, rest = mm[fresh], ii[fresh], q256[a:e][o2][fresh]
+            u, first, idx = np.unique(sig[w[part]], return_index=True, return_inverse=True)
+            of = w[part][first]
             at = np.minimum(np.searchsorted(known, u), max(len(known) - 1, 0))
             label = np.where(known[at] == u, group[at], 0) if len(known) else np.zeros(len(u))
-            out.append((q, packed(np.diff(mm, prepend=_U(0)), ii.astype(np.uint32), rest, np.diff(u, prepend=0), z[a:e][first], last[a:e][first], label.astype(np.uint32))))
+            out.append((q, packed(np.diff(m[part], prepend=_U(0)).astype(np.uint32), idx.astype(np.uint32), q256[part], np.diff(u, prepend=0), size[of], last[of], label.astype(np.uint32))))
         return pa.RecordBatch.from_arrays([pa.array([q for q, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["shard", "data"])
 
     def run(batches):
         keys, (known, group) = hot.value, labels.value
-        kk, ss, zz, qq, ll = [], [], [], [], []
-        held = 0
+        held: list[tuple] = []
+        elements = sets = 0
         for batch in batches:
             for _, g, bounds in ordered_sets(batch.column(0), n, keys):
                 sig, size = signatures_of(g, bounds, keys), np.diff(bounds)
                 p = np.where(size > 0, prefix_length(size, t), 0)
                 first = np.cumsum(p) - p
                 at = np.arange(int(p.sum())) - np.repeat(first - bounds[:-1], p)
-                kk.append(g[at])
-                ss.append(np.repeat(sig, p))
-                zz.append(np.repeat(size, p))
                 # what the set has behind the element, in 256ths of its size, and where its prefix ends
                 left = np.repeat(bounds[1:], p) - at - 1
-                qq.append((left * 256 // np.maximum(zz[-1], 1)).astype(np.uint8))
+                behind = (left * 256 // np.maximum(np.repeat(size, p), 1)).astype(np.uint8)
                 end = np.zeros(len(p), dtype=_U)
                 end[p > 0] = g[(bounds[:-1] + p - 1)[p > 0]] >> _U(48)
-                ll.append(np.repeat(end.astype(np.uint16), p))
-                held += len(at)
-                if held > 1_000_000:
-                    yield blobs(kk, ss, zz, qq, ll, known, group)
-                    kk, ss, zz, qq, ll = [], [], [], [], []
-                    held = 0
-        if held:
-            yield blobs(kk, ss, zz, qq, ll, known, group)
+                held.append((g[at], np.repeat(np.arange(sets, sets + len(p)), p), behind, sig, size, end.astype(np.uint16)))
+                elements += len(at)
+                sets += len(p)
+                if elements > 1_000_000:
+                    yield blobs(*zip(*held), known, group)
+                    held, elements, sets = [], 0, 0
+        if elements:
+            yield blobs(*zip(*held), known, group)
 
     return docs.select("text").where("doc_id is not null and text is not null").mapInArrow(trimmed(run), "shard int, data binary")
 
@@ -182,35 +181,35 @@ def signatures_of(g: np.ndarray, bounds: np.ndarray, hot: tuple[np.ndarray, np.n
         back = np.empty(len(keys), dtype=_U)
         back[rank] = keys
         is_hot = (g >> _U(63)) > 0
-        g = np.where(is_hot, back[np.where(is_hot, g & _U((1 << 63) - 1), _U(0)).astype(np.int64)], g)
+        g = np.where(is_hot, back[np.where(is_hot, g & _U((1 << 63) - 1), _U(0)).astype(np.int64) >> RANK_BIT], g)
     return signatures(g, bounds)
 
 
-def _pairs(t: float, shards: int):
+def _pairs(t: float, shards: int, pair_shards: int):
     """Of one shard of elements: packed counts of the common elements of each pair of sets that may be similar enough, by shard of the pair."""
 
     def run(table: pa.Table) -> pa.Table:
-        ks, ss, qs, us, zs, ls, gs = [], [], [], [], [], [], []
+        ks, ws, qs, us, zs, ls, gs, at = [], [], [], [], [], [], [], 0
         for data in table["data"].to_pylist():
-            k, i, q, u, z, last, label = unpacked(data, _U, np.uint32, np.uint8, np.int64, np.int32, np.uint16, np.uint32)
-            u = np.cumsum(u)
-            ks.append(np.cumsum(k, dtype=_U))
-            ss.append(u[i])
+            k, i, q, u, z, last, label = unpacked(data, np.uint32, np.uint32, np.uint8, np.int64, np.int32, np.uint16, np.uint32)
+            ks.append(np.cumsum(k, dtype=np.uint32))
+            ws.append(i.astype(np.int64) + at)
             qs.append(q)
-            us.append(u)
+            us.append(np.cumsum(u))
             zs.append(z)
             ls.append(last)
             gs.append(label)
-        k, s, rest = np.concatenate(ks), np.concatenate(ss), np.concatenate(qs).astype(np.int64)
-        u, first = np.unique(np.concatenate(us), return_index=True)
+            at += len(u)
+        u, first, which = np.unique(np.concatenate(us), return_index=True, return_inverse=True)
         size, ends = np.concatenate(zs)[first].astype(np.int64), np.concatenate(ls)[first]
         label = np.concatenate(gs)[first].astype(np.int64)
-        s = np.searchsorted(u, s)
+        # a set that several batches have sent counts once
+        w = np.concatenate(ws)
+        once = first[which[w]] == w
+        k, s, rest = np.concatenate(ks)[once], which[w[once]], np.concatenate(qs)[once].astype(np.int64)
+        del ks, ws, qs, us, zs, ls, gs, w, once, which
         order = np.lexsort((s, size[s], k))  # by size in each element's list
         k, s, rest = k[order], s[order], rest[order]
-        new = np.ones(len(k), dtype=bool)
-        new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
-        k, s, rest = k[new], s[new], rest[new]
         z = size[s]
         before = z - 1 - rest * z // 256  # at most so much is before the element, and behind it
         rest = np.minimum((rest + 1) * z // 256 + 1, z - 1)
@@ -235,12 +234,12 @@ def _pairs(t: float, shards: int):
         at = 0
         while at < len(has):
             base = total[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(total, base + 4_000_000, "right")))
+            to = max(at + 1, int(np.searchsorted(total, base + 2_000_000, "right")))
             h = has[at:to]
             a = np.repeat(h, n[h])
             b = np.arange(len(a)) - np.repeat(np.cumsum(n[h]) - n[h], n[h]) + lo[a]
             b = np.where(every[a], b, single[np.minimum(b, max(len(single) - 1, 0))] if len(single) else b)
-            other = (mine[a] == 0) | (mine[a] != mine[b])
+            other = ((mine[a] == 0) | (mine[a] != mine[b])) & (s[a] != s[b])
             # sets that stand too differently around a common element can't be similar
             other &= np.minimum(before[a], before[b]) + 1 + np.minimum(rest[a], rest[b]) >= need(z[a], z[b], t)
             a, b = a[other], b[other]
@@ -256,11 +255,11 @@ def _pairs(t: float, shards: int):
         share = -(-np.maximum(need(size[a], size[b], t) - case, 1) // shards)
         some = count >= share
         a, b, count, share, least = a[some], b[some], count[some], share[some], np.minimum(least, case)[some]
-        pair = (mix(u[a].astype(_U) ^ mix(u[b].astype(_U))) % _U(shards)).astype(np.int64)
+        pair = (mix(u[a].astype(_U) ^ mix(u[b].astype(_U))) % _U(pair_shards)).astype(np.int64)
         order = np.argsort(pair, kind="stable")
-        cuts = np.searchsorted(pair[order], np.arange(shards + 1))
+        cuts = np.searchsorted(pair[order], np.arange(pair_shards + 1))
         out = []
-        for r in range(shards):
+        for r in range(pair_shards):
             o = order[cuts[r] : cuts[r + 1]]
             if not len(o):
                 continue
@@ -396,7 +395,7 @@ def _sets(docs: DataFrame, n: int, hot) -> DataFrame:
                     if bounds[q] < bounds[q + 1] and v not in seen:
                         seen.add(v)
                         sigs.append(v)
-                        data.append(packed(np.diff(g[bounds[q] : bounds[q + 1]], prepend=_U(0))))
+                        data.append(packed(np.diff(g[bounds[q] : bounds[q + 1]] >> _U(CUT), prepend=_U(0))))
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(data, pa.binary())], names=["sig", "data"])
 
     return docs.select("text").where("doc_id is not null and text is not null").mapInArrow(trimmed(run), "sig bigint, data binary")
@@ -455,7 +454,7 @@ def _similar(docs: DataFrame, pairs: DataFrame, n: int, t: float, hot, shards: i
     return near.groupBy("task").applyInArrow(_verify(t), "a bigint, b bigint")
 
 
-def groups(docs: DataFrame, n: int = N, t: float = THRESHOLD, hot: int = HOT, hot_in_batch: int = HOT_IN_BATCH, large: int = LARGE) -> DataFrame:
+def groups(docs: DataFrame, n: int = N, t: float = THRESHOLD, hot: int = HOT, hot_in_batch: int = HOT_IN_BATCH, large: int = LARGE, shard: int = SHARD) -> DataFrame:
     """Rows (doc_id, group_id, size) for every document that is in a group of near copies; group_id is the group's lowest doc_id.
 
     Two documents are near copies if the Jaccard similarity of their sets of word n-grams (lower case, runs of letters, digits and _) is t at
@@ -489,8 +488,11 @@ def groups(docs: DataFrame, n: int = N, t: float = THRESHOLD, hot: int = HOT, ho
     label = np.unique(known["root"].to_numpy(dtype=np.int64), return_inverse=True)[1] + 1
     labels = spark.sparkContext.broadcast((known["node"].to_numpy(dtype=np.int64), label))
 
-    pairs = _prefixes(docs, n, t, ranks, labels, shards).repartition(shards, "shard").groupBy("shard").applyInArrow(_pairs(t, shards), "shard int, data binary")
-    cand = written(pairs.groupBy("shard").applyInArrow(_enough(t, shards), "a bigint, b bigint"), "pairs")
+    # so many shards that each has about `shard` elements, however the session shuffles: fewer would not fit, more would split what a pair has in common
+    elements = scan.where("sig is not null").groupBy("sig").agg(F.first("z").alias("z")).agg(F.sum(F.expr(f"z - ceil({t} * z) + 1"))).first()[0] or 0
+    lists = max(1, -(-int(elements) // shard))
+    pairs = _prefixes(docs, n, t, ranks, labels, lists).repartition(lists, "shard").groupBy("shard").applyInArrow(_pairs(t, lists, max(lists, shards)), "shard int, data binary")
+    cand = written(pairs.groupBy("shard").applyInArrow(_enough(t, lists), "a bigint, b bigint"), "pairs")
     edges = first.union(_similar(docs, cand, n, t, ranks, shards))
     root = components(edges, "groups")
     # groups of signatures, then of documents; equal sets and equal ids link too
