@@ -55,16 +55,24 @@ def generated(n: int = GENERATED, seed: int = SEED, words: list[str] = ()) -> tu
     return rand, ordinary
 
 
+def _contexts(b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of strings one after the other, of lengths n: the number of each character with the two before it."""
+    k = np.arange(len(b)) - np.repeat(np.cumsum(n) - n, n)
+    c = _CLASS[b]
+    p1 = np.where(k > 0, np.concatenate([[66], c[:-1]]), 66)
+    p2 = np.where(k > 1, np.concatenate([[66, 66], c[:-2]])[: len(c)], 66)
+    return (p2 * _N + p1) * _N + c
+
+
 class Model:
     """Log-likelihood ratio of order-2 character chains, added-k smoothed."""
 
     def __init__(self, rand: list[str], ordinary: list[str], smooth: float = 0.05):
         tables = []
         for sample in (rand, ordinary):
-            c = np.zeros((_N, _N, _N))
-            for s in sample:
-                x = np.concatenate([[66, 66], _CLASS[list(s.encode())]])
-                np.add.at(c, (x[:-2], x[1:-1], x[2:]), 1)
+            n = np.array([len(s.encode()) for s in sample], dtype=np.int64)
+            at = _contexts(np.frombuffer("".join(sample).encode(), dtype=np.uint8), n)
+            c = np.bincount(at, minlength=_N**3).reshape(_N, _N, _N).astype(np.float64)
             # a context seen seldom leans on the shorter one
             pair = c.sum(0) + smooth
             pair /= pair.sum(1, keepdims=True)
@@ -77,12 +85,8 @@ class Model:
         if not len(n):
             return np.zeros(0)
         first = np.cumsum(n) - n
-        k = np.arange(int(n.sum())) - np.repeat(first, n)
-        at = np.repeat(start, n) + k
-        c = _CLASS[b[at]]
-        p1 = np.where(k > 0, np.concatenate([[66], c[:-1]]), 66)
-        p2 = np.where(k > 1, np.concatenate([[66, 66], c[:-2]])[: len(c)], 66)
-        return np.add.reduceat(self.table[(p2 * _N + p1) * _N + c], first)
+        at = np.repeat(start - first, n) + np.arange(int(n.sum()))
+        return np.add.reduceat(self.table[_contexts(b[at], n)], first)
 
     def score(self, s: str) -> float:
         b = np.frombuffer(s.encode(), dtype=np.uint8)
@@ -90,15 +94,16 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame | None, texts: int = TRAIN_TEXTS, seed: int = SEED) -> Model:
-    """Models from labelled samples: generated random strings against generated identifiers and the words of trusted texts (quality 1 in `labels`)."""
+    """Models from labelled samples: generated random strings against generated identifiers, made of the words of trusted texts (quality 1 in `labels`, `texts` of them at most), and
+    those words of 8 letters or more themselves."""
     every: list[str] = []
     if labels is not None:
         good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.md5(F.col("doc_id").cast("string"))).limit(texts)
         d = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(good), "doc_id", "left_semi")
         words = d.select(F.explode(F.array_distinct(F.expr("regexp_extract_all(text, '[A-Za-z]{3,}', 0)"))).alias("w")).distinct()
         every = sorted((w for (w,) in words.collect()), key=lambda w: hashlib.md5(w.encode()).digest())
-    rand, ordinary = generated(seed=seed, words=[w for w in every if len(w) < 12][:5000])
-    longer = [w for w in every if len(w) >= 8][: 2 * GENERATED]
+    rand, ordinary = generated(seed=seed, words=[w for w in every if len(w) < 12])
+    longer = [w for w in every if len(w) >= 8]
     return Model(rand, ordinary + longer + [w.upper() for w in longer])
 
 
