@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, parts, small, written
-from .vectors import codebook, rows, unpack, width
+from .vectors import cells_at_most, codebook, rows, unpack, width
 
 #: Least cosine of near duplicates; recall aimed at; vectors of a cell on average; Lloyd's rounds.
 THRESHOLD, RECALL, PER_CELL, ROUNDS = 0.95, 0.99, 16, 5
@@ -135,7 +135,7 @@ def groups(embeddings: DataFrame, t: float = THRESHOLD, recall: float = RECALL,
     n = distinct.count()
     if not n:
         return spark.createDataFrame([], "vec_id bigint, group_id bigint, size bigint")
-    k = max(1, min(4096, int((n / per_cell) ** 0.5)))
+    k = max(1, min(cells_at_most(dims), int((n / per_cell) ** 0.5)))
     books = tuple(codebook(distinct, dims, p, k, rounds) for p in (slice(0, dims // 2), slice(dims // 2, dims)))
     visits = distinct.mapInArrow(_visits(dims, spark.sparkContext.broadcast(books), reach(t, recall, dims)), "cell bigint, home boolean, node bigint, data binary")
     visits = visits.withColumn("task", F.pmod(F.xxhash64("cell"), F.lit(parts(spark) * 4)))

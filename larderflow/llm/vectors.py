@@ -8,6 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Bytes of a codebook, which goes to all tasks; with more vectors than that serves, cells hold more.
+BOOK_BYTES = 64_000_000
+
+
+def cells_at_most(dims: int) -> int:
+    return max(1, BOOK_BYTES // (4 * dims))
+
+
 def width(df: DataFrame, column: str) -> int:
     """The most frequent length of the vectors (the greater of a tie); 0 if there are none."""
     r = df.where(F.col(column).isNotNull()).groupBy(F.size(column).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
@@ -63,17 +71,14 @@ def codebook(vectors: DataFrame, dims: int, part: slice, k: int, rounds: int, se
                     own = nearest(x, c)
                     np.add.at(total, own, x)
                     n += np.bincount(own, minlength=len(c))
-            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["g", "s", "n"])
-
-        def add(table: pa.Table) -> pa.Table:
-            s = sum(np.frombuffer(x, dtype=np.float64) for x in table["s"].to_pylist())
-            n = sum(np.frombuffer(x, dtype=np.int64) for x in table["n"].to_pylist())
-            return pa.table({"g": pa.array([0]), "s": pa.array([s.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary())})
+            has = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(list(total[has]), pa.list_(pa.float64())), pa.array(n[has])], names=["c", "s", "n"])
 
-        got = vectors.select("data").mapInArrow(sums, "g bigint, s binary, n binary").groupBy("g").applyInArrow(add, "g bigint, s binary, n binary").first()
-        if got is None:
+        # by centre, so that no task takes the sums of all
+        each = vectors.select("data").mapInArrow(sums, "c bigint, s array<double>, n bigint")
+        means = each.groupBy("c").agg(*[F.sum(F.col("s")[d]).alias(f"s{d}") for d in range(centres.shape[1])], F.sum("n").alias("n")).toPandas()
+        if not len(means):
             return centres
-        s = np.frombuffer(bytes(got["s"])).reshape(centres.shape)
-        n = np.frombuffer(bytes(got["n"]), dtype=np.int64)
-        centres = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], centres).astype(np.float32)
+        centres = centres.copy()
+        centres[means["c"].to_numpy()] = means[[f"s{d}" for d in range(centres.shape[1])]].to_numpy() / means[["n"]].to_numpy()
     return centres

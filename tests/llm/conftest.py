@@ -4,7 +4,7 @@ import pytest
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Names that operators use inside; columns of these names must not disturb them.
-CLASHING = ("_rank", "_n", "_h", "rank", "node", "root", "sig", "key", "slot", "pos", "task", "_id", "_at", "_gone", "_bad", "_twice", "_good", "shard", "k", "_x", "words", "lane", "id", "data")
+CLASHING = ("_rank", "_n", "_h", "rank", "node", "root", "sig", "key", "slot", "pos", "task", "_id", "_at", "_gone", "_bad", "_twice", "_good", "shard", "k", "_x", "words", "lane", "id", "data", "path", "part", "place", "tongue", "bucket", "df")
 
 
 def word(r):
