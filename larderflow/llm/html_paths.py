@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import small, written
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+#: A comment, a declaration, or a tag with quoted attributes; and a tag as far as the next bracket, for pages in which a quote doesn't end.
+_TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_LOOSE = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>", re.S)
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,34 +37,90 @@ def label(tag: str, attrs: str) -> str:
     return tag
 
 
+#: The path of the whole page, a container outside all others.
+ROOT = "/"
+#: Containers further out get nothing more of a text, as its share has been halved so often.
+_OUTWARD = 64
+
+
+class _Paths:
+    """Paths as numbers, so that deep nesting takes no more than one entry for each element."""
+
+    def __init__(self):
+        self.up, self.name, self.of = [-1], [ROOT], {}
+
+    def child(self, at: int, label_: str) -> int:
+        k = self.of.get((at, label_))
+        if k is None:
+            k = self.of[at, label_] = len(self.up)
+            self.up.append(at)
+            self.name.append(label_)
+        return k
+
+    def text(self, at: int) -> str:
+        out = []
+        while at > 0:
+            out.append(self.name[at])
+            at = self.up[at]
+        return "/".join(reversed(out)) or ROOT
+
+
+def _further(want: str, matched: int, label_: str) -> int:
+    """How much of the wanted path is matched by one more element; -1 if it leaves it."""
+    if matched < 0 or (matched and want[matched : matched + 1] != "/"):
+        return -1
+    start = matched + 1 if matched else 0
+    return start + len(label_) if want.startswith(label_, start) else -1
+
+
 def scan(page: str, want: str | None = None, every: bool = False):
-    """Without `want`: {path: score} of the page's containers. With it: the text of the first element with that path, or of `every` one, or None.
+    """Without `want`: scores of the page's containers by number of their path, and the paths. With it: the text of the first element with that path, or of `every` one, or None.
 
-    A text counts for its nearest container as its length, less twice what stands in links, and half of that for each container further out. Texts in scripts, styles and
-    navigation don't count. Unclosed paragraphs, list items and cells end where the next begins, other open elements where an outer one is closed.
+    A text counts for its nearest container as its length, less twice what stands in links, and half of that for each container further out, the page itself last. Texts in scripts, styles
+    and navigation don't count. Unclosed paragraphs, list items and cells end where the next begins, other open elements where an outer one is closed. Where a quote in a
+    tag doesn't end before the page does, tags end at the next bracket from there on. Time and memory grow in proportion to the page, whatever its nesting.
     """
-    stack: list[tuple] = []  # (tag, path, skip, link, containers outside in)
-    scores: dict[str, float] = {}
+    paths = _Paths()
+    root = ("", 0, False, False, (0, None), 0)
+    stack: list[tuple] = [root]  # (tag, path, skip, link, (container, outer ones), how much of `want` matches)
+    opened: dict[str, int] = {}
+    scores: dict[int, float] = {}
     out: list[str] = []
-    found = False
-    depth = -1  # of the wanted element
-    pos, n = 0, len(page)
-    path, skip, link, boxes = "", False, False, ()
-    while pos < n:
-        m = _TOKEN.search(page, pos)
-        stop = m.start() if m else n
-        if stop > pos and not skip and (depth >= 0 if want is not None else boxes):
-            t = page[pos:stop]
-            if want is not None:
+    whole = want == ROOT
+    found, depth = whole, 0 if whole else -1  # depth: of the wanted element
+    token, pos, n = _TOKEN, 0, len(page)
+
+    def cut(k: int) -> None:
+        for x in stack[k:]:
+            opened[x[0]] -= 1
+        del stack[k:]
+
+    def text(t: str) -> None:
+        _, _, skip, link, box, _ = stack[-1]
+        if not t or skip:
+            return
+        if want is not None:
+            if depth >= 0:
                 out.append(t)
-            else:
-                size = len(_SPACE.sub(" ", t).strip())
-                if size:
-                    v = -2.0 * size if link else float(size)
-                    for box in reversed(boxes):
-                        scores[box] = scores.get(box, 0.0) + v
-                        v /= 2
-        if not m:
+            return
+        size = len(_SPACE.sub(" ", t).strip())
+        v, k = -2.0 * size if link else float(size), 0
+        while size and box is not None and k < _OUTWARD:
+            scores[box[0]] = scores.get(box[0], 0.0) + v
+            v, k, box = v / 2, k + 1, box[1]
+
+    while pos < n:
+        at = page.find("<", pos)
+        m = token.match(page, at) if at >= 0 else None
+        while at >= 0 and m is None:
+            if token is _TOKEN and page[at + 1 : at + 2].isalpha() | page.startswith("</", at):
+                token = _LOOSE  # a quote that doesn't end, or a bracket that is missing
+                m = token.match(page, at)
+                continue
+            at = page.find("<", at + 1)
+            m = token.match(page, at) if at >= 0 else None
+        text(page[pos : at if at >= 0 else n])
+        if m is None:
             break
         pos = m.end()
         tag = m[2]
@@ -71,20 +128,19 @@ def scan(page: str, want: str | None = None, every: bool = False):
             continue
         tag = tag.lower()
         if m[1]:
+            if not opened.get(tag):
+                continue
             k = len(stack) - 1
-            while k >= 0 and stack[k][0] != tag:
+            while stack[k][0] != tag:
                 k -= 1
-            if k < 0:
-                continue
             if depth >= 0 and tag in _BLOCK:
                 out.append("\n")
-            if 0 <= depth and k <= depth:
+            if not whole and 0 <= depth and k <= depth:
                 found, depth = True, -1
                 if not every:
                     break
                 out.append("\n")
-            del stack[k:]
-            _, path, skip, link, boxes = stack[-1] if stack else ("", "", False, False, ())
+            cut(k)
             continue
         if depth >= 0 and tag in _BLOCK:
             out.append("\n")
@@ -95,35 +151,36 @@ def scan(page: str, want: str | None = None, every: bool = False):
             pos = e.end() if e else n
             continue
         ends = _IMPLIED.get(tag) or ({"p"} if tag in _NOT_IN_P else ())
-        closed = False
-        while stack and stack[-1][0] in ends:
-            if depth == len(stack) - 1:
-                closed = True
-            stack.pop()
+        k = len(stack)
+        while stack[k - 1][0] in ends:
+            k -= 1
         # an unclosed inline element doesn't keep a paragraph open
-        if "p" in ends and any(x[0] == "p" for x in stack[-3:]):
-            k = max(i for i, x in enumerate(stack) if x[0] == "p")
-            if all(x[0] not in _BLOCK for x in stack[k + 1 :]):
-                closed |= 0 <= k <= depth
-                del stack[k:]
-        if closed:
+        if "p" in ends:
+            for i in range(k - 1, max(k - 4, 0), -1):
+                if stack[i][0] == "p":
+                    k = i
+                    break
+                if stack[i][0] in _BLOCK:
+                    break
+        if not whole and k <= depth:
             found, depth = True, -1
             if not every:
                 break
             out.append("\n")
-        _, path, skip, link, boxes = stack[-1] if stack else ("", "", False, False, ())
+        cut(k)
+        _, path, skip, link, box, matched = stack[-1]
         name = label(tag, m[3])
-        path = f"{path}/{name}" if path else name
         skip, link = skip or tag in _SKIP, link or tag == "a"
-        if tag in _CONTAINER:
-            boxes = (*boxes, path)
-        stack.append((tag, path, skip, link, boxes))
-        if want is not None and depth < 0 and path == want:
-            depth = len(stack) - 1
-            skip = False
-            stack[-1] = (tag, path, False, link, boxes)
+        if want is None:
+            path = paths.child(path, name)
+            if tag in _CONTAINER:
+                box = (path, box)
+        elif not whole and (matched := _further(want, matched if len(stack) > 1 else 0, name)) == len(want) and depth < 0:
+            depth, skip = len(stack), False
+        stack.append((tag, path, skip, link, box, matched))
+        opened[tag] = opened.get(tag, 0) + 1
     if want is None:
-        return scores
+        return scores, paths
     if depth < 0 and not found:
         return None
     lines = (_SPACE.sub(" ", x).strip() for x in _html.unescape("".join(out)).split("\n"))
@@ -131,12 +188,12 @@ def scan(page: str, want: str | None = None, every: bool = False):
 
 
 def best(page: str | None) -> tuple[str | None, float]:
-    """Path and score of the page's best container; ties go to the path that comes first in the page."""
-    scores = scan(page or "")
+    """Path and score of the page's best container; ties go to the path that comes first in the page; None where no score is over 0."""
+    scores, paths = scan(page or "")
     if not scores:
         return None, 0.0
     path = max(scores, key=scores.get)
-    return (path, scores[path]) if scores[path] > 0 else (None, 0.0)
+    return (paths.text(path), scores[path]) if scores[path] > 0 else (None, 0.0)
 
 
 def host() -> F.Column:
@@ -164,9 +221,9 @@ def winners(v: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """Rows (page_id, host, path, consensus, text): the text of the host's winning container, of each element where its path repeats; a page without it gives its own best
-    container (consensus false), and one without any text in containers gives a null path and an empty text.
+    container (consensus false), which is the whole page ('/') where no container has more text outside links than in them. A page without text gives a null path and an empty text.
 
-    Pages vote in one pass and are read again in the second; the winning paths are broadcast while they are few, else joined by a shuffle. A null or empty
+    A very long or deeply nested page is read whole. Pages vote in one pass and are read again in the second; the winning paths are broadcast while they are few, else joined by a shuffle. A null or empty
     page has an empty text; null urls share the host ''; repeated rows each vote and stay; an empty table gives an empty result; other columns aren't read.
     """
     win = small(written(winners(votes(pages)), "paths"))
@@ -179,9 +236,9 @@ def extract(pages: DataFrame) -> DataFrame:
                 text = scan(page, want, every=True) if want else None
                 same.append(bool(text))
                 if not text:
-                    want, _ = best(page)
-                    text = scan(page, want, every=True) if want else ""
-                paths.append(want)
+                    want = best(page)[0] or ROOT
+                    text = scan(page, want, every=True) or scan(page, want := ROOT)
+                paths.append(want if text else None)
                 texts.append(text or "")
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(paths, pa.string()), pa.array(same, pa.bool_()), pa.array(texts, pa.string())], names=["page_id", "host", "path", "consensus", "text"])
 

@@ -1,6 +1,10 @@
 """Consensus extraction of pages."""
 
 import collections
+import random
+import re
+import time
+from html.parser import HTMLParser
 
 from larderflow.llm import html_paths
 
@@ -11,17 +15,87 @@ def page(k, box="div class='post-{k} main'", noise=""):
     return f"<html><head><title>t</title><script>var x = '<p>no</p>';</script></head><body><nav><ul><li><a href='/'>Home</a><li><a>More</a></ul></nav>{noise}<{box.format(k=k)}><h1>T {k}</h1><p>{BODY.format(k)}<p>Second &amp; last<br>line</{box.split()[0]}><footer>Contact and imprint</footer></body></html>"
 
 
+class Tree(HTMLParser):
+    """An own scorer over the standard parser's events, for pages whose elements are all closed or end with their parent."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.open, self.scores = [], collections.defaultdict(float)
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("br", "hr", "img"):
+            return
+        names = (dict(attrs).get("class") or "").split()
+        self.open.append((tag, tag + (f".{re.sub(r'[0-9]+', '#', names[0].lower())}" if names else "")))
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        tags = [t for t, _ in self.open]
+        if set(tags) & {"script", "style", "nav", "aside", "footer", "form", "head", "header", "button", "select"}:
+            return
+        v = len(" ".join(data.split())) * (-2 if "a" in tags else 1)
+        for k in reversed([k for k, t in enumerate(tags) if t in ("body", "div", "article", "main", "section", "td")]):
+            self.scores["/".join(name for _, name in self.open[: k + 1])] += v
+            v /= 2
+        self.scores["/"] += v
+
+    def best(self):
+        path = max(self.scores, key=self.scores.get, default=None)
+        return (path, self.scores[path]) if path and self.scores[path] > 0 else (None, 0.0)
+
+
 def brute(pages):
     """Votes counted in plain Python."""
     by = collections.defaultdict(lambda: collections.defaultdict(lambda: [0, 0.0]))
     for host, html in pages:
-        path, score = html_paths.best(html)
+        path, score = Tree(html).best()
         if path:
             by[host][path][0] += 1
             by[host][path][1] += score
     return {h: min(p, key=lambda x: (-p[x][0], -p[x][1], x)) for h, p in by.items()}
 
 
+def test_scores_are_those_of_another_parser():
+    r = random.Random(5)
+
+    def part(depth):
+        if not depth or r.random() < 0.2:
+            return "words " * r.randint(1, 9)
+        tag = r.choice(["div", "section", "b", "a", "nav", "article class='x-%d y'" % r.randint(1, 9), "div class=K", "span"])
+        return f"<{tag}>" + "".join(part(depth - 1) for _ in range(r.randint(1, 3))) + f"</{tag.split()[0]}>"
+
+    for _ in range(60):
+        html = f"<html><head><title>no</title></head><body>{part(5)}<!-- no --><script>no</script>{part(3)}</body></html>"
+        path, score = html_paths.best(html)
+        own = Tree(html)
+        assert abs(score - own.best()[1]) < 1e-6 and (path is None) == (own.best()[0] is None)
+        assert path is None or abs(own.scores[path] - score) < 1e-6
+
+
+def test_long_odd_pages_take_time_in_proportion():
+    deep = "<div class=x>" * 80_000 + "deep"
+    open_quotes = '<a "x ' * 170_000
+    ends = "<div>" * 40_000 + "</p></span>" * 40_000 + "<p><b>" * 60_000
+    for page in (deep, open_quotes, ends, "<div>" + open_quotes + ">text", "<" * 1_000_000, "<!--" * 200_000, "</" * 300_000):
+        began = time.monotonic()
+        path, _ = html_paths.best(page)
+        html_paths.scan(page, path or "/", every=True)
+        assert time.monotonic() - began < 20
+    assert html_paths.best(deep)[0].count("/") == 79_999 and html_paths.scan(deep, html_paths.best(deep)[0]) == "deep"
+
+
+def test_pages_without_a_container_give_their_text():
+    assert html_paths.best("<p>bare <b>text</b>")[0] == "/" and html_paths.scan("<p>bare <b>text</b><nav>no</nav><ul><li>x", "/") == "bare text\nx"
+    assert html_paths.scan("<body><div><a>only</a> <a>links</a></div></body>", "/") == "only links"
+    assert html_paths.scan('<div title="a > b">c</div>', "div") == "c" and html_paths.scan("<div class='w-1/2'><p>c</div>", "div.w-#/#") == "c"
+
+
 def test_consensus_and_odd_pages(spark):
     rows = [(k, f"http://user@A.example:80/{k}", page(k)) for k in range(6)]
     # a page of the host whose advertisement is longer than its text: only the vote finds the text
@@ -37,6 +111,7 @@ def test_consensus_and_odd_pages(spark):
     assert by[6]["path"] == "html/body/div.post-#" and by[0]["host"] == "a.example"
     assert by[9]["text"] == by[10]["text"] == "" and by[9]["path"] is None
     assert by[11]["text"] == "deep" and by[12]["text"].startswith("long long") and len(by[12]["text"]) > 900_000
+    assert by[None]["text"] == "bare text" and by[None]["path"] == "/"
     assert by[8]["host"] == "" and by[8]["text"] == text(8)
     want = brute([(r["host"], h) for r, h in ((by[i], h) for i, _, h in rows if i is not None and h)] )
     win = {r["_host"]: r["_path"] for r in html_paths.winners(html_paths.votes(df)).collect()}
