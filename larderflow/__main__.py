@@ -8,7 +8,6 @@ import sys
 from .plans.config import load
 from .plans.importer import ImportPlan, frontmatter
 from .session import session
-from .sources.transport import Transport
 
 
 def main(args: list[str] | None = None) -> int:
@@ -41,7 +40,7 @@ def main(args: list[str] | None = None) -> int:
         plan.provider(a.provider)
     if a.only:
         plan.extract_only()
-    df = plan.build(Transport(timeout=settings.timeout, attempts=settings.retry_attempts if settings.fallback_enabled else 1, delay_ms=settings.retry_delay_ms))
+    df = plan.build(settings.transport())
     row = (frontmatter(df, raw_title=True) if a.only else df).first()
     if row["error"] is not None:
         print(f"{row['error']['kind']}: {row['error']['message']}", file=sys.stderr)

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_U32 = 4294967295
-
+from .text import let as _let
 
-def _let(x: Column, then: Callable[[Column], Column]) -> Column:
-    """x, computed once, passed on: without it each use would copy the whole expression of x into the plan."""
-    return F.element_at(F.transform(F.array(x), then), 1)
+_U32 = 4294967295
 
 
 def _plural(n: Column, unit: str) -> Column:
@@ -27,13 +22,22 @@ def _whole(s: Column) -> Column:
 
 def _join(a: Column, b: Column) -> Column:
     """Both with a space between; an empty one has none."""
-    return F.array_join(F.filter(F.array(a, b), lambda x: x != ""), " ")
+    return F.concat(a, F.when((a != "") & (b != ""), " ").otherwise(""), b)
 
 
 def _clock(minutes: Column) -> Column:
     """Minutes as hours and minutes, without what is zero."""
     h, m = F.floor(minutes / 60).cast("bigint"), minutes % 60
-    return _join(F.when(minutes >= 60, _plural(h, "hour")).otherwise(""), F.when(m > 0, _plural(m, "minute")).otherwise(""))
+    between = F.when((minutes >= 60) & (m > 0), " ").otherwise("")
+    return F.concat(F.when(minutes >= 60, _plural(h, "hour")).otherwise(""), between, F.when(m > 0, _plural(m, "minute")).otherwise(""))
+
+
+def _is_one_unit(v: Column, unit: str) -> Column:
+    return F.rlike(v, F.lit(f"^PT[0-9]{{1,9}}{r'([.]0)?' if unit == 'S' else ''}{unit}$"))
+
+
+def _one_unit(v: Column, unit: str) -> Column:
+    return F.substring_index(F.substr(v, F.lit(3), F.length(v) - 3), ".", 1).try_cast("bigint")
 
 
 def duration_phrase(value: Column | str) -> Column:
@@ -41,12 +45,22 @@ def duration_phrase(value: Column | str) -> Column:
     what isn't understood stays as it is, without PT. It follows the established behaviour to the letter, oddities too: seconds displace what came before them, hours
     that aren't whole count as 0, minutes from 60 on are added to hours in words. Minutes before hours stay as they are, with PT."""
     v = F.col(value) if isinstance(value, str) else value
+    hours, minutes, seconds = (_one_unit(v, u) for u in "HMS")
+    seconds = F.round(seconds / 60).cast("bigint")
 
     def rest(d: Column) -> Column:
         places = F.struct(F.instr(d, "H").alias("h"), F.instr(d, "M").alias("m"), F.instr(d, "S").alias("s"), (F.length(d) - F.length(F.regexp_extract(d, "([^HM]*)$", 1))).alias("last"))
         return _let(places, lambda p: _phrase(d, p))
 
-    return F.when(F.startswith(v, F.lit("PT")), _let(F.substring(v, 3, 2**31 - 1), rest)).otherwise(v)
+    # the usual forms, of one unit, without binding anything: these stay in generated code
+    return (
+        F.when(~F.startswith(v, F.lit("PT")), v)
+        .when(_is_one_unit(v, "M"), F.when(minutes == 0, "0 minutes").otherwise(_clock(minutes)))
+        .when(_is_one_unit(v, "H"), _plural(hours, "hour"))
+        .when(_is_one_unit(v, "S") & (seconds > 0), _clock(seconds))
+        .when(F.rlike(v, F.lit("^PT[0-9]+-[0-9]+M$")), F.concat(F.substr(v, F.lit(3), F.length(v) - 3), F.lit(" minutes")))
+        .otherwise(_let(F.substring(v, 3, 2**31 - 1), rest))
+    )
 
 
 def _phrase(d: Column, p: Column) -> Column:
@@ -71,4 +85,13 @@ def duration_clean(value: Column | str) -> Column:
     part = lambda k: F.coalesce(F.regexp_extract(v, form, k).try_cast("double"), F.lit(0.0))
     total = F.round(part(1) * 60 + part(2) + part(3) / 60).cast("bigint")
     known = F.rlike(v, F.lit(form)) & (F.length(v) > 2)
-    return F.when(known, _let(total, lambda t: F.when(t > 0, _clock(t)).otherwise("0 minutes"))).otherwise(duration_phrase(v))
+    hours, minutes, seconds = (_one_unit(v, u) for u in "HMS")
+    seconds = F.round(seconds / 60).cast("bigint")
+    return (
+        F.when(~F.startswith(v, F.lit("PT")), v)
+        .when(_is_one_unit(v, "M"), F.when(minutes == 0, "0 minutes").otherwise(_clock(minutes)))
+        .when(_is_one_unit(v, "H"), F.when(hours == 0, "0 minutes").otherwise(_plural(hours, "hour")))
+        .when(_is_one_unit(v, "S"), F.when(seconds == 0, "0 minutes").otherwise(_clock(seconds)))
+        .when(known, _let(total, lambda t: F.when(t > 0, _clock(t)).otherwise("0 minutes")))
+        .otherwise(duration_phrase(v))
+    )

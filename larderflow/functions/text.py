@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_NOT_BLANK = r"[\t-\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+def let(x: Column, then: Callable[[Column], Column]) -> Column:
+    """x, computed once, passed on: without it each use would copy the whole expression of x into the plan."""
+    return F.element_at(F.transform(F.array(x), then), 1)
+
+
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -22,8 +30,8 @@ def trim_start(x: Column | str) -> Column:
 
 
 def sanitize_name(x: Column | str) -> Column:
-    """Runs of white space as one space, none at the ends."""
-    return F.regexp_replace(trim_space(x), f"{_SPACE}+", " ")
+    """Runs of white space as one space, none at the ends. Single spaces, most of all, aren't replaced."""
+    return F.btrim(F.regexp_replace(_c(x), f"{_SPACE}{{2,}}|{_NOT_BLANK}", " "), F.lit(" "))
 
 
 def clean_diet(x: Column | str) -> Column:
@@ -74,8 +82,13 @@ def yaml_scalar(x: Column) -> Column:
 
 def last_by_key(entries: Column) -> Column:
     """A repeated key keeps its first place and takes its last value."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    return F.transform(keys, lambda k: F.struct(k.alias("k"), F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"].alias("v")))
+
+    def of(all_: Column) -> Column:
+        keys = F.transform(all_, lambda e: e["k"])
+        last = F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("k"), F.element_at(F.filter(all_, lambda e: e["k"] == k), -1)["v"].alias("v")))
+        return F.when(F.size(F.array_distinct(keys)) == F.size(all_), all_).otherwise(last)
+
+    return let(entries, of)
 
 
 _NESTED = r"""^(\n  [^\s:#'"\[\]{},&*!|>%@`-][^:#\n]*: [^\s:#'"\[\]{},&*!|>%@`-][^:#\n]*)+$"""
@@ -92,16 +105,13 @@ def metadata_yaml(entries: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(last_by_key(good), line), ""), F.lit(""))
 
 
-_FRONT = r"(?s)^---\n(.*?)\n---\n(.*)$"
-
-
 def frontmatter_split(text: Column) -> Column:
     """struct(entries, body): lines 'key: value' between '---' marks, and what follows; without marks all is body."""
-    has = F.rlike(text, F.lit(_FRONT))
-    lines = F.filter(F.split(F.regexp_extract(text, _FRONT, 1), "\n"), lambda s: F.contains(s, F.lit(": ")))
+    end = F.when(F.startswith(text, F.lit("---\n")), F.locate("\n---\n", text, 5)).otherwise(0)
+    lines = F.filter(F.split(F.substr(text, F.lit(5), end - 5), "\n", -1), lambda s: F.contains(s, F.lit(": ")))
     entry = lambda s: F.struct(F.substring_index(s, ": ", 1).alias("k"), F.substr(s, F.instr(s, ": ") + 2).alias("v"))
     none = F.array().cast("array<struct<k:string,v:string>>")
-    return F.struct(F.when(has, last_by_key(F.transform(lines, entry))).otherwise(none).alias("entries"), F.when(has, F.regexp_extract(text, _FRONT, 2)).otherwise(text).alias("body"))
+    return F.struct(F.when(end > 0, last_by_key(F.transform(lines, entry))).otherwise(none).alias("entries"), F.when(end > 0, F.substr(text, end + 5)).otherwise(text).alias("body"))
 
 
 def entry_value(entries: Column, key: str) -> Column:
@@ -110,10 +120,13 @@ def entry_value(entries: Column, key: str) -> Column:
 
 def text_components(text: Column) -> Column:
     """A text with or without front matter as struct(text, metadata, name): the title is the name, other lines are the metadata."""
-    s = frontmatter_split(text)
-    rest = F.filter(s["entries"], lambda e: e["k"] != "title")
-    lines = F.array_join(F.transform(rest, lambda e: F.concat(e["k"], F.lit(": "), e["v"])), "\n")
-    return F.struct(s["body"].alias("text"), lines.alias("metadata"), F.coalesce(entry_value(s["entries"], "title"), F.lit("")).alias("name"))
+
+    def parts(s: Column) -> Column:
+        rest = F.filter(s["entries"], lambda e: e["k"] != "title")
+        lines = F.array_join(F.transform(rest, lambda e: F.concat(e["k"], F.lit(": "), e["v"])), "\n")
+        return F.struct(s["body"].alias("text"), lines.alias("metadata"), F.coalesce(entry_value(s["entries"], "title"), F.lit("")).alias("name"))
+
+    return let(frontmatter_split(text), parts)
 
 
 def assemble(content: Column, name: Column, metadata: Column, raw_title: bool = False) -> Column:

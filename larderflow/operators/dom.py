@@ -88,6 +88,13 @@ class _Builder(HTMLParser):
         else:
             c.append(data)
 
+    def parse_html_declaration(self, i):
+        """Declarations and marked sections, known or not, end at the next '>' and hold nothing."""
+        if self.rawdata.startswith("<!--", i):
+            return self.parse_comment(i)
+        end = self.rawdata.find(">", i + 2)
+        return -1 if end < 0 else end + 1
+
 
 def parse(page: str) -> Node:
     """The page's tree. Not done: moving misplaced table content, and re-opening inline elements that are closed out of order."""
@@ -128,24 +135,27 @@ def unescape_twice(s: str) -> str:
     return html.unescape(html.unescape(s)) if "&" in s else s
 
 
-def _block_text(n: Node, out: list[str]) -> None:
-    def last() -> str:
-        return out[-1][-1:] if out else ""
+def _block_text(root: Node, out: list[str]) -> None:
+    def line() -> None:
+        if out and out[-1][-1:] != "\n":
+            out.append("\n")
 
-    for c in n.children:
-        if isinstance(c, str):
+    stack: list = list(reversed(root.children))  # None: a block ends
+    while stack:
+        c = stack.pop()
+        if c is None:
+            line()
+        elif isinstance(c, str):
             t = c.strip()
             if t:
-                if out and last() not in "\n " and t[0] not in ".,!?:;)":
+                if out and out[-1][-1:] not in "\n " and t[0] not in ".,!?:;)":
                     out.append(" ")
                 out.append(t)
-            continue
-        block = c.tag in _BLOCK
-        if block and out and last() != "\n":
-            out.append("\n")
-        _block_text(c, out)
-        if block and out and last() != "\n":
-            out.append("\n")
+        else:
+            if c.tag in _BLOCK:
+                line()
+                stack.append(None)
+            stack += reversed(c.children)
 
 
 def strip_tags(s: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,32 +20,40 @@ _ENTRIES = "array<struct<k:string,v:string>>"
 
 
 def _run(page: str | None, url: str | None, names: tuple[str, ...], first_only: bool, strict: bool) -> dict:
+    """What each extractor reads, and under `failure` why one couldn't: a page that can't be read is its own row's error, never the job's."""
     out: dict = {}
     if page is None:
         return out
-    root = dom.parse(page)
+    failure = None
+    try:
+        root = dom.parse(page)
+    except Exception as e:  # noqa: BLE001
+        return {"failure": f"{type(e).__name__}: {e}"}
     for n in names:
-        if n == "jsonld":
-            got = jsonld.extract(root, url or "", strict) if "ld+json" in page else None
-        elif n == "microdata":
-            got = microdata.extract(root, url or "") if "itemscope" in page.lower() else None
-        else:
-            got = html_class.extract(root, url or "")
+        try:
+            if n == "jsonld":
+                got = jsonld.extract(root, url or "", strict) if "ld+json" in page else None
+            elif n == "microdata":
+                got = microdata.extract(root, url or "") if "itemscope" in page.lower() else None
+            else:
+                got = html_class.extract(root, url or "")
+        except Exception as e:  # noqa: BLE001
+            got, failure = None, failure or f"{n}: {type(e).__name__}: {e}"
         out[n] = got
         if got is not None and first_only:
-            break
-    return out
+            return out
+    return out | {"failure": failure}
 
 
 def fields(names: tuple[str, ...] = EXTRACTORS, first_only: bool = True, strict: bool = False):
-    """An Arrow UDF (html, url) that parses a page once and gives what the extractors read, in order, up to the first that succeeds."""
-    schema = T.StructType([T.StructField(n, FIELDS) for n in names])
+    """An Arrow UDF (html, url) that parses a page once and gives what the extractors read, in order, up to the first that succeeds; `failure` if one broke and none succeeded."""
+    schema = T.StructType([*(T.StructField(n, FIELDS) for n in names), T.StructField("failure", T.StringType())])
 
     @F.pandas_udf(schema)
     def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for pages, urls in batches:
             rows = [_run(p, u, names, first_only, strict) for p, u in zip(pages, urls)]
-            yield pd.DataFrame({n: [r.get(n) for r in rows] for n in names}, columns=list(names))
+            yield pd.DataFrame({n: [r.get(n) for r in rows] for n in (*names, "failure")}, columns=[*names, "failure"])
 
     return read
 
@@ -62,13 +71,14 @@ def recipe(f: Column) -> Column:
     return F.when(f.isNotNull(), F.struct(*[f[c].alias(c) for c in RECIPE.fieldNames()[:5]], meta.alias("metadata")))
 
 
-def with_recipes(pages: DataFrame, names: tuple[str, ...] = EXTRACTORS, strict: bool = False, html: str = "html", url: str = "url") -> DataFrame:
-    """The pages with `recipe` (null where no extractor succeeds) and `extractor`, the one that did."""
+def with_recipes(pages: DataFrame, names: tuple[str, ...] = EXTRACTORS, strict: bool = False, html: str = "html", url: str = "url", failure: str | None = None) -> DataFrame:
+    """The pages with `recipe` (null where no extractor succeeds) and `extractor`, the one that did; with `failure` a column of that name says why a page couldn't be read."""
     cheap = F.col(html).isNotNull()
     d = pages.withColumn("_f", F.when(cheap, fields(names, True, strict)(F.col(html), F.col(url))))
     got = [F.col("_f")[n] for n in names]
     label = F.coalesce(*[F.when(g.isNotNull(), n) for g, n in zip(got, names)])
-    return d.withColumns({"extractor": label, "recipe": recipe(F.coalesce(*got))}).drop("_f")
+    more = {failure: F.when(label.isNull(), F.col("_f")["failure"])} if failure else {}
+    return d.withColumns({"extractor": label, "recipe": recipe(F.coalesce(*got)), **more}).drop("_f")
 
 
 def extract_jsonld(pages: DataFrame, **how) -> DataFrame:
@@ -109,11 +119,34 @@ def body_text(s: pd.Series) -> pd.Series:
     return s.map(lambda x: dom.body_text(dom.parse(x)), na_action="ignore")
 
 
+#: Comments, scripts and styles as a whole, a tag with its attributes, or a heading whose text has neither tags nor entities.
+_UP_TO_HEADING = re.compile(r"""<!--.*?-->|<(script|style)\b[^<>"']*>.*?</\1\s*>|<h([12])(?:\s[^<>"']*(?:"[^"]*"[^<>"']*|'[^']*'[^<>"']*)*)?>([^<&]*)(</h\2\s*>)?|<[!/a-z][^<>"']*(?:"[^"]*"[^<>"']*|'[^']*'[^<>"']*)*>""", re.S | re.I)
+_RAW = re.compile(r"<(title|textarea|xmp|iframe|noscript|noembed|noframes|plaintext|template)\b", re.I)
+
+
+def _plain_heading(page: str) -> str | None:
+    """The heading of a page that needn't be parsed for it; None if it must be."""
+    at = 0
+    for m in _UP_TO_HEADING.finditer(page):
+        if page.find("<", at, m.start()) >= 0:
+            return None  # something between that isn't understood
+        at = m.end()
+        if m[2]:
+            return m[3].strip() if m[4] else None
+        if m[0][1:2] != "!" and _RAW.match(m[0]):
+            end = page.find("<", at)
+            if end < 0 or page[end : end + 2] != "</":
+                return None
+    return None
+
+
 @F.pandas_udf(T.StringType())
 def heading(s: pd.Series) -> pd.Series:
-    """Text of the first h1 or h2, '' without one."""
+    """Text of the first h1 or h2, '' without one. Most pages are only scanned up to it; what the scan doesn't understand is parsed."""
 
     def one(x: str) -> str:
+        if (plain := _plain_heading(x)) is not None:
+            return plain
         n = dom.parse(x).first(dom.tag("h1", "h2"))
         return n.text() if n is not None else ""
 

@@ -6,6 +6,7 @@ import json
 import re
 
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{},:]|[^\s\[\]{},:"]+', re.S)
+_ESCAPED_SURROGATE = re.compile(r"\\u[dD][89a-fA-F]")
 _CLEAN = ((",]", "]"), (",}", "}"), (",,", ","), (",:,", ":"), (":,", ":"), (",:", ":"))
 
 
@@ -35,14 +36,17 @@ def repair(text: str, strict_compat: bool = False) -> str:
 
 
 def load(text: str, strict_compat: bool = False):
-    """The value, or None: as it is if it can be read so, else repaired. Numbers that aren't JSON (NaN) are refused."""
+    """The value, or None: as it is if it can be read so, else repaired. Numbers that aren't JSON (NaN) and lone surrogates, which no text can hold, are refused."""
 
     def no(x: str):
         raise ValueError(x)
 
     for s in ([] if strict_compat else [text]) + [repair(text, strict_compat)]:
         try:
-            return json.loads(s, parse_constant=no)
+            value = json.loads(s, parse_constant=no)
+            if _ESCAPED_SURROGATE.search(s):
+                json.dumps(value, ensure_ascii=False).encode()  # a UnicodeEncodeError is a ValueError
+            return value
         except (ValueError, RecursionError):
             continue
     return None

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import assemble, joined, metadata_yaml
+from ..functions.text import assemble, joined, let, metadata_yaml
 
 PROMPT = """You turn recipes into plain-text markup.
 Write the steps in {{LANGUAGE}}, one paragraph for each. Inside the steps mark what is used:
@@ -37,14 +37,17 @@ UNKNOWN_LANGUAGE = "the original language"
 
 def detect_language(text: Column) -> Column:
     """English name of the text's language by its frequent words; a fixed phrase if it has none. Ties go to the order of STOP_WORDS."""
-    words = F.split(F.lower(text), r"[^\p{L}]+")
+    every = {w for s in STOP_WORDS.values() for w in s.split()}
 
-    def score(k: int, lang: str, frequent: list[str]) -> Column:
-        return F.struct(F.size(F.filter(words, lambda w: w.isin(*frequent))).alias("n"), F.lit(-k).alias("o"), F.lit(lang).alias("l"))
+    def score(words: Column, k: int, lang: str) -> Column:
+        return F.struct(F.size(F.filter(words, lambda w: w.isin(*STOP_WORDS[lang].split()))).alias("n"), F.lit(-k).alias("o"), F.lit(lang).alias("l"))
 
-    scores = [score(k, lang, s.split()) for k, (lang, s) in enumerate(STOP_WORDS.items())]
-    best = F.greatest(*scores)
-    return F.when(best["n"] > 0, best["l"]).otherwise(UNKNOWN_LANGUAGE)
+    def best(words: Column) -> Column:
+        scores = [score(words, k, lang) for k, lang in enumerate(STOP_WORDS)]
+        return let(F.greatest(*scores), lambda b: F.when(b["n"] > 0, b["l"]).otherwise(UNKNOWN_LANGUAGE))
+
+    # split once, and only frequent words are looked at again
+    return let(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w.isin(*every)), best)
 
 
 def prompt(text: Column, language: Column | None = None, template: str = PROMPT) -> Column:
@@ -184,21 +187,27 @@ def extraction_request(text: Column, model: str = "gpt-4o-mini") -> Column:
 
 def extraction_components(payload: Column, source: Column) -> Column:
     """struct(components, error) of the JSON that the model gave."""
-    v = F.try_parse_json(payload)
-    kind = lambda p: F.schema_of_variant(F.try_variant_get(v, p, "variant"))
-    text = lambda k: F.when(kind(f"$.{k}") == "STRING", F.try_variant_get(v, f"$.{k}", "string"))
-    none = F.array().cast("array<string>")
+    return let(F.try_parse_json(payload), lambda v: _extracted(v, source))
+
+
+def _extracted(v: Column, source: Column) -> Column:
+    string = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
+    text = lambda k: string(F.try_variant_get(v, f"$.{k}", "variant"))
 
-    def items(k: str) -> Column:
-        a = F.try_variant_get(v, f"$.{k}", "array<variant>")
-        return F.coalesce(F.transform(F.filter(a, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string")), none)
+    def items(k: str, by: str) -> Column:
+        # what isn't a string is null, which joining leaves out
+        return F.coalesce(F.array_join(F.transform(F.try_variant_get(v, f"$.{k}", "array<variant>"), string), by), F.lit(""))
 
     entry = lambda k, x: F.struct(F.lit(k).alias("k"), x.alias("v"))
     meta = F.filter(F.array(entry("source", source), *[entry(k, text(k)) for k in ("servings", "prep_time", "cook_time", "total_time")]), lambda e: (F.coalesce(e["v"], F.lit("")) != "") | (e["k"] == "source"))
-    body = F.concat(joined(items("ingredients"), "\n"), F.lit("\n\n"), joined(items("instructions"), " "))
-    error = F.when(v.isNull(), F.lit("the answer isn't JSON")).when(F.coalesce(text("error"), F.lit("")) != "", text("error"))
+    body = F.concat(items("ingredients", "\n"), F.lit("\n\n"), items("instructions", " "))
     parts = F.struct(body.alias("text"), metadata_yaml(meta).alias("metadata"), F.coalesce(text("title"), F.lit("")).alias("name"))
-    return F.struct(F.when(error.isNull(), parts).alias("components"), F.when(error.isNotNull(), F.struct(F.lit("extraction").alias("kind"), error.alias("message"))).alias("error"))
+
+    def both(error: Column) -> Column:
+        error = F.when(error != "", error)
+        return F.struct(F.when(error.isNull(), parts).alias("components"), F.when(error.isNotNull(), F.struct(F.lit("extraction").alias("kind"), error.alias("message"))).alias("error"))
+
+    return let(F.coalesce(F.when(v.isNull(), F.lit("the answer isn't JSON")).otherwise(text("error")), F.lit("")), both)
 
 
 def to_markup(df: DataFrame, calls, providers: list[Provider]) -> DataFrame:

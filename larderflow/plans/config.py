@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from ..operators.model_calls import Provider, provider
+from ..sources.transport import Transport
 
 PREFIX = "LARDERFLOW"
 
@@ -25,6 +26,10 @@ class Settings:
     browser_url: str | None = None
     browser_domains: list[str] = field(default_factory=list)
 
+    def transport(self) -> Transport:
+        """HTTP with these settings' timeout, and their retries where fallback is on."""
+        return Transport(timeout=self.timeout, attempts=self.retry_attempts if self.fallback_enabled else 1, delay_ms=self.retry_delay_ms)
+
 
 def _typed(s: str) -> Any:
     """A variable's text as a boolean, a number or a text."""

@@ -23,10 +23,10 @@ def _error(kind: str, message) -> F.Column:
 
 def pages_to_recipes(pages: DataFrame, extractors: tuple[str, ...] = EXTRACTORS, calls: Transport | None = None) -> DataFrame:
     """Adds `extractor`, `components` and `error` to pages (url, html, perhaps fetch_error). Where no extractor succeeds and there is a transport for a
-    model, the model reads the page's text."""
-    d = with_recipes(pages, extractors).withColumn("components", components(F.col("recipe"))).drop("recipe")
+    model, the model reads the page's text. A page that can't be read has an error of kind 'parse'; other rows go on."""
+    d = with_recipes(pages, extractors, failure="_broken").withColumn("components", components(F.col("recipe"))).drop("recipe")
     why = F.col("fetch_error") if "fetch_error" in d.columns else F.lit(None).cast("string")
-    d = d.withColumn("error", F.when(F.col("components").isNull(), F.when(why.isNotNull(), _error("fetch", why)).otherwise(_error("no_extractor", F.lit("no recipe found")))))
+    d = d.withColumn("error", F.when(F.col("components").isNull(), F.when(why.isNotNull(), _error("fetch", why)).when(F.col("_broken").isNotNull(), _error("parse", F.col("_broken"))).otherwise(_error("no_extractor", F.lit("no recipe found"))))).drop("_broken")
     if calls is None:
         return d
     d = d.withColumn("_t", F.when(F.col("components").isNull() & F.col("html").isNotNull(), body_text(F.when(F.col("components").isNull(), F.col("html")))))
@@ -146,7 +146,7 @@ class ImportPlan:
         """The lazy result: `components` and `error`, and without extract_only `content` and `conversion`."""
         if self.kind is None:
             raise ValueError("no source: give a url, a text or images")
-        calls = calls or Transport(timeout=self.settings.timeout)
+        calls = calls or self.settings.transport()
         if self.kind == "url":
             d = urls_to_recipes(self.spark.createDataFrame([(u,) for u in self.value], "url string"), calls, self.settings, by_model)
         elif self.kind == "text":

@@ -6,6 +6,8 @@ out straight from the base columns.
 
 from __future__ import annotations
 
+import base64
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +18,12 @@ from .functions.hosts import in_domains, url_host
 from .functions.text import assemble, base64_text, clean_diet, components_text, entry_value, frontmatter_split, full_text, metadata_yaml, sanitize_name, text_components
 from .operators.extract import body_text, decoded, heading, jsonld_scripts, with_recipes
 from .operators.model_calls import PROMPT, STOP_WORDS, UNKNOWN_LANGUAGE, detect_language, extraction_components, prompt, provider
-from .plans.importer import frontmatter, pages_to_recipes
+from .plans.config import Settings, chain
+from .plans.importer import frontmatter, images_to_recipes, pages_to_recipes, texts_to_recipes
 from .schema import RECIPE
 from .sources.images import merge, ocr_request, ocr_text, raw_components
 from .sources.pages import with_route
+from .sources.transport import Transport
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -96,7 +100,8 @@ def frontmatter_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with front matter, and one without."""
     t = F.concat(F.lit("---\ntitle: Order "), "o_orderkey", F.lit("\nstatus: "), "o_orderstatus", F.lit("\nno entry\npriority: "), "o_orderpriority", F.lit("\n---\n\ntotal "), "o_custkey")
     d = table(spark, sf_dir, "orders").withColumn("t", t)
-    c, s = text_components(F.col("t")), frontmatter_split(F.col("t"))
+    d = d.withColumns({"c": text_components(F.col("t")), "s": frontmatter_split(F.col("t"))})
+    c, s = F.col("c"), F.col("s")
     bare = text_components(F.concat(F.lit("no marks "), "o_orderkey"))
     return d.select("o_orderkey", c["name"].alias("name"), c["metadata"].alias("metadata"), c["text"].alias("body"), entry_value(s["entries"], "priority").alias("priority"), bare["text"].alias("plain"))
 
@@ -379,7 +384,92 @@ def recipe_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("s_suppkey", components_text(F.col("r.ingredients"), F.col("r.instructions")).alias("text"), full_text(F.col("r")).alias("whole"))
 
 
-@query()
+_NL = "chr(10)"
+
+
+@query(f"""SELECT p_partkey, p_name AS name, CASE p_partkey % 8 WHEN 0 THEN 'description: ' || p_brand || ' & more' || {_NL} || 'image: i.png' || {_NL} WHEN 1 THEN 'description: ' || p_type || {_NL} || 'image: u.png' || {_NL} WHEN 2 THEN 'image: a.png' || {_NL} WHEN 3 THEN 'image: c.png' || {_NL} ELSE '' END
+ || 'source: u' || {_NL} || CASE p_partkey % 8 WHEN 2 THEN 'servings: ' || p_size || ' servings' || {_NL} WHEN 3 THEN 'author: ' || p_brand || ', B' || {_NL} WHEN 4 THEN 'prep time: 20 minutes' || {_NL} || 'cook time: 5 minutes' || {_NL} WHEN 6 THEN 'cuisine: It, Fr' || {_NL} || 'tags: x, y' || {_NL} ELSE '' END AS metadata,
+ CASE p_partkey % 8 WHEN 5 THEN 'a ' || p_size || {_NL} WHEN 7 THEN p_size || ' g salt' || {_NL} ELSE '' END AS text FROM part""")
+def jsonld_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions, images, authors, yields and times of all shapes; blank items and missing parts; a headline for a name."""
+    k, lit = F.col("p_partkey") % 8, F.lit
+    size = F.col("p_size").cast("string")
+    more = (
+        F.when(k == 0, F.concat(lit('"description":"<b>'), "p_brand", lit('</b> &amp;amp; more","image":"i.png"'))).when(k == 1, F.concat(lit('"description":{"text":"'), "p_type", lit('"},"image":{"url":"u.png"}')))
+        .when(k == 2, F.concat(lit('"image":["a.png","b.png"],"recipeYield":["'), size, lit('","'), size, lit(' servings"]'))).when(k == 3, F.concat(lit('"image":[{"url":"c.png"}],"author":[{"name":"'), "p_brand", lit('"},{"@id":"#x"},{"name":"B"}]')))
+        .when(k == 4, '"prepTime":{"minValue":"PT10M","maxValue":"PT20M"},"cookTime":{"minValue":"PT5M"}').when(k == 5, F.concat(lit('"recipeIngredient":["a '), size, lit('"," ",""],"recipeInstructions":[]')))
+        .when(k == 6, '"keywords":"x, y","recipeCuisine":["It","Fr"],"recipeCategory":""').otherwise(F.concat(lit('"recipeIngredient":[{"name":"salt","amount":" '), size, lit(' g "},{"name":" "}]')))
+    )
+    s = F.concat(lit('{"@type":"Recipe",'), F.when(k == 7, '"headline":"').otherwise('"name":"'), "p_name", lit('",'), more, lit("}"))
+    d = table(spark, sf_dir, "part").select("p_partkey", lit("u").alias("url"), page(s).alias("html"))
+    return _parts(d, "p_partkey").select("p_partkey", "name", "metadata", "text")
+
+
+@query(f"SELECT p_partkey, '## ' || p_brand || {_NL} || {_NL} || p_name || {_NL} || {_NL} || p_type || {_NL} || {_NL} || {_NL} || '## Second' || {_NL} || {_NL} || 'Serve ' || p_size || '.' AS text FROM part")
+def jsonld_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several sections, each with its header and steps."""
+    step = lambda c: F.struct(F.lit("HowToStep").alias("@type"), c.alias("text"))
+    section = lambda name, *steps: F.struct(F.lit("HowToSection").alias("@type"), name.alias("name"), F.array(*map(step, steps)).alias("itemListElement"))
+    both = F.array(section(F.concat("p_brand", F.lit(":")), F.col("p_name"), F.col("p_type")), section(F.lit("Second"), F.concat(F.lit("Serve "), F.col("p_size").cast("string"), F.lit("."))))
+    s = F.to_json(F.struct(F.lit("Recipe").alias("@type"), both.alias("recipeInstructions")))
+    d = table(spark, sf_dir, "part").select("p_partkey", F.lit("u").alias("url"), page(s).alias("html"))
+    return _parts(d, "p_partkey").select("p_partkey", "text")
+
+
+@query(f"""SELECT c_custkey, 'html_class' AS extractor, CASE WHEN c_custkey % 3 = 2 THEN 'Dish' ELSE c_name END AS name, 'description: of ' || c_mktsegment || {_NL} || CASE WHEN c_custkey % 3 = 1 THEN 'prep_time: 5 min' || {_NL} ELSE '' END || 'source_url: u' || {_NL} AS metadata,
+ 'one of ' || c_custkey || {_NL} || {_NL} || 'Stir.' AS text FROM customer""")
+def html_class_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and descriptions by parts of class names, too long a match for a title, and plug-ins of other families."""
+    k = F.col("c_custkey") % 3
+    title = F.when(k == 2, F.repeat("c_name", 400)).otherwise(F.col("c_name"))
+    family = F.when(k == 1, "mv-create").otherwise("structured")
+    h = F.concat(
+        F.lit('<h2> Dish </h2><div class="page heading-big">'), title, F.lit('</div><p class="big-intro">of '), "c_mktsegment", F.lit("</p>"), F.when(k == 1, '<i class="mv-create-time-prep">5 min</i>').otherwise(""), F.lit('<div class="'), family,
+        F.lit('-ingredients"><ul><li>one of '), F.col("c_custkey").cast("string"), F.lit('</li></ul></div><div class="'), family, F.lit('-instructions"><ol><li>Stir.</li></ol></div>'),
+    )
+    return _parts(table(spark, sf_dir, "customer").select("c_custkey", F.lit("u").alias("url"), h.alias("html")), "c_custkey")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 > 0 THEN s_name END AS name, CASE s_suppkey % 4 WHEN 0 THEN 'no_extractor' END AS error FROM supplier")
+def broken_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lone surrogate, a text of 3,000 nested tags, unknown marked sections and an end in mid-tag are their own rows' affair."""
+    k = F.col("s_suppkey") % 4
+    name = F.concat(F.when(k == 1, F.repeat(F.lit("<b>"), 3000)).otherwise(""), F.col("s_name"), F.when(k == 0, "\\ud83d").otherwise(""))
+    p = page(F.concat(F.lit('{"@type":"Recipe","name":"'), name, F.lit('"}')))
+    h = F.when(k == 2, F.concat(F.lit("<![if x]><![foo[x]]>"), p)).when(k == 3, F.concat(p, F.lit('<!-- <![ <a b="'))).when(k == 0, F.regexp_replace(p, "<h1>.*</h1>", "")).otherwise(p)
+    d = pages_to_recipes(table(spark, sf_dir, "supplier").select("s_suppkey", F.lit("u").alias("url"), h.alias("html")))
+    return d.select("s_suppkey", F.col("components.name").alias("name"), F.col("error.kind").alias("error"))
+
+
+@query("SELECT doc_id, text, '' AS metadata, '' AS name FROM documents")
+def inline_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts without front matter."""
+    return texts_to_recipes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "components.*")
+
+
+def _echo(method: str, url: str, headers: dict, body: str | None, timeout: float) -> tuple[int, str]:
+    """Stands for the OCR service: the picture's bytes are its text."""
+    image = json.loads(body)["requests"][0]["image"]["content"]
+    return 200, json.dumps({"responses": [{"fullTextAnnotation": {"text": base64.b64decode(image).decode()}}]})
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS record_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text, 'source: ' || string_agg('base64-image', ', ' ORDER BY turn) AS metadata FROM conversations GROUP BY conv_id""")
+def inline_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """base64 images of a record through a stub of the service."""
+    d = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("record_id"), F.col("turn").alias("pos"), F.lit("base64-image").alias("source"), base64_text(F.encode("text", "utf-8")).alias("data"))
+    return images_to_recipes(d, Transport(_echo)).select("record_id", "components.text", "components.metadata")
+
+
+@query("""SELECT * FROM (VALUES (0, 0, 'anthropic', 'm-2', 2000), (0, 1, 'ollama', 'l', 2000), (1, 0, 'open_ai', 'given', 4000), (1, 1, 'anthropic', 'm-2', 2000), (1, 2, 'ollama', 'l', 2000), (2, 0, 'anthropic', 'given', 2000)) AS t(setting, place, provider, model, max_tokens)""")
+def provider_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The caller before the settings before the defaults, and the order of fallbacks."""
+    on = Settings(default_provider="anthropic", providers={"anthropic": {"model": "m-2"}, "ollama": {"model": "l"}}, fallback_enabled=True, fallback_order=["anthropic", "ollama"])
+    off = Settings(default_provider="anthropic", providers=on.providers)
+    chains = [chain(on), chain(on, "open_ai", "given"), chain(off, None, "given")]
+    return spark.createDataFrame([(k, i, p.name, p.model, p.max_tokens) for k, c in enumerate(chains) for i, p in enumerate(c)], "setting int, place int, provider string, model string, max_tokens int")
+
+
+@query("SELECT page_id, CAST(NULL AS VARCHAR) AS extractor, CAST(NULL AS VARCHAR) AS name, 'no_extractor' AS error FROM pages")
 def page_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain over the driver's pages."""
     d = pages_to_recipes(table(spark, sf_dir, "pages"))

@@ -45,20 +45,20 @@ class Transport:
                 return None
             names = KEY_VARIABLES.get(provider or "", [])
             h = headers(os.environ.get(names[0]) if names else None)
-            began = time.monotonic()
             for k in range(max(1, attempts)):
-                status, text, error = None, None, None
+                status, text, error, began = None, None, None, time.monotonic()
                 try:
                     status, text = call(method, u, h, body, timeout)
                     if method == "GET" and not 200 <= status < 300:
                         error = f"status {status}"
                 except Exception as e:  # noqa: BLE001 - any failure of a call is the row's own
                     error = f"{type(e).__name__}: {e}"
+                took = time.monotonic() - began  # of the last call, without earlier ones and the waits between
                 if error is None and (status or 0) < 500:
                     break
                 if k + 1 < attempts:
                     time.sleep(delay * 2**k / 1000)
-            return {"status": status, "body": text, "error": error, "latency_ms": int((time.monotonic() - began) * 1000)}
+            return {"status": status, "body": text, "error": error, "latency_ms": int(took * 1000)}
 
         if method == "GET":
 

@@ -157,7 +157,7 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     from larderflow import __main__ as cli
 
     monkeypatch.setattr(cli, "session", lambda master: spark)
-    monkeypatch.setattr(cli, "Transport", lambda **k: CALLS)
+    monkeypatch.setattr("larderflow.plans.config.Transport", lambda **k: CALLS)
     assert cli.main(["http://good.com/", "--extract-only"]) == 0
     assert capsys.readouterr().out == "---\ntitle: Stew\nsource: http://good.com/\n---\n\nStir.\n"
     (tmp_path / "t.txt").write_text("---\ntitle: T\n---\nx")
