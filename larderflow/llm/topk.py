@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts, written
-from .vectors import codebook, nearest, rows, unpack, width
+from .common import parts, small, written
+from .vectors import cells_at_most, codebook, nearest, rows, unpack, width
 
-#: Neighbours of a query; vectors of a block, whose lists are sorted; digits of a score.
-K, BLOCK, DIGITS = 10, 2048, 9
+#: Neighbours of a query; ids divisible by this are queries; vectors of a block, whose lists are sorted; queries of a group, on average; digits of a score.
+K, EVERY, BLOCK, GROUP, DIGITS = 10, 100, 2048, 1024, 9
 #: Shares of the lists that are read before the bound is checked again.
 DEPTHS = (1 / 32, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 3 / 4, 1.0)
 
@@ -123,48 +123,62 @@ def _blocks(dims: int, size: int):
 ROW = "query bigint, id bigint, score double"
 
 
-def _inside(dims: int, k: int):
-    """Map: the best within each block, and the block with the kth score of each of its rows."""
+def _inside(dims: int, k: int, every: int):
+    """Map: of each block that holds queries, these with their kth score in the block, and their best there: one row of each kind."""
 
     def run(batches):
         for batch in batches:
-            for b, ids, data in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            for ids, data in zip(*(batch.column(c).to_pylist() for c in (1, 2))):
                 ids, x = np.frombuffer(ids, dtype=np.int64), unpack([data], dims)
-                lists = Lists(ids, x)
-                r, c, s, _ = threshold_search(x, lists, k, np.full(len(x), -np.inf), np.arange(len(x)))
-                keep, kth = _best(r, ids[c], s, len(x), k)
-                yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([ids.tobytes()], pa.binary()), pa.array([data], pa.binary()), pa.array([kth.tobytes()], pa.binary()), pa.array([ids[r[keep]].tobytes()], pa.binary()), pa.array([ids[c[keep]].tobytes()], pa.binary()), pa.array([np.round(s[keep], DIGITS).tobytes()], pa.binary())], names=["block", "ids", "data", "kth", "q", "n", "s"])
+                own = np.flatnonzero(ids % every == 0)
+                if not len(own):
+                    continue
+                r, c, s, _ = threshold_search(x[own], Lists(ids, x), k, np.full(len(own), -np.inf), own)
+                keep, kth = _best(r, ids[c], s, len(own), k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own][r[keep]]), pa.array(ids[c[keep]]), pa.array(np.round(s[keep], DIGITS)), pa.nulls(len(keep), pa.binary()), pa.nulls(len(keep), pa.float64())], names=["query", "id", "score", "data", "kth"])
+                none = pa.nulls(len(own), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), none, pa.nulls(len(own), pa.float64()), pa.array([v.tobytes() for v in x[own]], pa.binary()), pa.array(kth)], names=["query", "id", "score", "data", "kth"])
 
     return run
 
 
+def _packed(table: pa.Table) -> pa.Table:
+    """Of the queries of one group: their ids, vectors and floors as one row."""
+    ids = table["query"].to_numpy()
+    return pa.table({"qi": pa.array([ids.tobytes()], pa.binary()), "qx": pa.array([b"".join(table["data"].to_pylist())], pa.binary()), "kth": pa.array([table["kth"].to_numpy().astype(np.float64).tobytes()], pa.binary())})
+
+
 def _across(dims: int, k: int):
-    """Map: for the rows of one block as queries, what another block has that isn't under their kth score so far."""
+    """Map: for a group of queries, what a block has that isn't under their kth score so far. Queries whose floor is over all that the block's extremes allow are left out, a block's lists
+    are sorted once for the groups that follow each other, and a query's own block is left out, as it has been searched."""
 
     def run(batches):
+        last, lists = None, None
         for batch in batches:
-            for qi, qx, kth, ids, data in zip(*(batch.column(c).to_pylist() for c in range(5))):
-                qi, ids = np.frombuffer(qi, dtype=np.int64), np.frombuffer(ids, dtype=np.int64)
-                q, x = unpack([qx], dims), unpack([data], dims)
-                r, c, s, _ = threshold_search(q, Lists(ids, x), k, np.frombuffer(kth))
-                keep, _ = _best(r, ids[c], s, len(q), k)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[r[keep]]), pa.array(ids[c[keep]]), pa.array(np.round(s[keep], DIGITS))], names=["query", "id", "score"])
+            for block, ids, data, qi, qx, kth in zip(*(batch.column(c).to_pylist() for c in range(6))):
+                qi, q, kth = np.frombuffer(qi, dtype=np.int64), unpack([qx], dims), np.frombuffer(kth)
+                if block != last:
+                    last, at, x = block, np.frombuffer(ids, dtype=np.int64), unpack([data], dims)
+                    high, low, lists = x.max(0).astype(np.float64), x.min(0).astype(np.float64), None
+                e = q.astype(np.float64)
+                most = np.where(e > 0, e * high, e * low).sum(1)
+                go = np.flatnonzero((most + 2e-6 * np.abs(e).sum(1) * np.abs(x).max(initial=0) >= kth - 10.0**-DIGITS) & ~np.isin(qi, at))
+                if not len(go):
+                    continue
+                lists = lists or Lists(at, x)
+                r, c, s, _ = threshold_search(q[go], lists, k, kth[go])
+                keep, _ = _best(r, at[c], s, len(go), k)
+                yield pa.RecordBatch.from_arrays([pa.array(qi[go][r[keep]]), pa.array(at[c[keep]]), pa.array(np.round(s[keep], DIGITS))], names=["query", "id", "score"])
 
     return run
 
 
-def _flat(batches):
-    for batch in batches:
-        for q, n, s in zip(*(batch.column(c).to_pylist() for c in range(3))):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(q, dtype=np.int64)), pa.array(np.frombuffer(n, dtype=np.int64)), pa.array(np.frombuffer(s))], names=["query", "id", "score"])
-
-
-def search(embeddings: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
-    """Rows (vec_id, rank, neighbour_id, score): for every embedding the k others of highest inner product; exact.
+def search(embeddings: DataFrame, k: int = K, block: int = BLOCK, every: int = EVERY) -> DataFrame:
+    """Rows (vec_id, rank, neighbour_id, score): for every embedding whose id is divisible by `every`, the k others of highest inner product among all embeddings; exact.
 
     Scores are rounded to DIGITS decimals; of equal scores the lower id comes first. Rows are put into blocks of like vectors (one k-means pass), each with a sorted list for
-    every dimension. A block answers its own rows first, which gives them a floor; then every block meets every other one, and the threshold algorithm
-    (see `threshold_search`) leaves a query's lists as soon as its bound is under its kth score. Where the vectors give it no hold, that takes quadratic work, as any exact search.
+    every dimension. A block answers its own queries first, which gives them a floor; then groups of queries meet the blocks, and the threshold algorithm
+    (see `threshold_search`) leaves a query's lists as soon as its bound is under its kth score. A block whose extremes can't reach a query's floor isn't searched for it.
 
     Null ids, null or non-finite vectors and vectors of another length than most are neither queries nor answers; a table of n rows has n - 1 neighbours at most. Of rows with
     the same vec_id one is taken (the first by its bytes). An empty table gives an empty result; other columns aren't read.
@@ -176,7 +190,7 @@ def search(embeddings: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
     v = rows(embeddings, "vec_id", "embedding", dims, False)
     v = written(v.groupBy("id").agg(F.min("data").alias("data")), "vectors")
     n = v.count()
-    cells = max(1, min(4096, n // block))
+    cells = max(1, min(cells_at_most(dims), n // block))
     centres = spark.sparkContext.broadcast(codebook(v, dims, slice(0, dims), cells, 3 if cells > 1 else 0))
 
     def place(batches):
@@ -187,12 +201,15 @@ def search(embeddings: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
 
     placed = v.mapInArrow(place, "cell bigint, id bigint, data binary")
     placed = placed.repartitionByRange(max(1, min(parts(spark), n // block + 1)), "cell", "id").sortWithinPartitions("cell", "id")
-    blocks = placed.mapInArrow(_blocks(dims, block), "block bigint, ids binary, data binary")
-    inside = written(written(blocks, "blocks").mapInArrow(_inside(dims, k), "block bigint, ids binary, data binary, kth binary, q binary, n binary, s binary"), "inside")
-    a = inside.select(F.col("block").alias("qb"), F.col("ids").alias("qi"), F.col("data").alias("qx"), "kth")
-    b = inside.select("block", "ids", "data").repartition(max(1, min(parts(spark), n // block + 1)), "block")
-    pairs = a.crossJoin(b).where("qb <> block").select("qi", "qx", "kth", "ids", "data")
-    found = pairs.mapInArrow(_across(dims, k), ROW).union(inside.select("q", "n", "s").mapInArrow(_flat, ROW))
+    blocks = written(placed.mapInArrow(_blocks(dims, block), "block bigint, ids binary, data binary"), "blocks")
+    inside = written(blocks.mapInArrow(_inside(dims, k, every), f"{ROW}, data binary, kth double"), "inside")
+    asked = inside.where("kth is not null")
+    groups = max(1, -(-asked.count() // GROUP))
+    asked = asked.withColumn("g", F.pmod(F.xxhash64("query"), F.lit(groups))).groupBy("g").applyInArrow(_packed, "qi binary, qx binary, kth binary")
+    asked = written(asked, "queries")
+    # the stated query set against all rows, in blocks: each block meets each group of queries
+    pairs = blocks.repartition(max(1, min(parts(spark), n // block + 1)), "block").crossJoin(small(asked, groups * GROUP)).select("block", "ids", "data", "qi", "qx", "kth")
+    found = pairs.mapInArrow(_across(dims, k), ROW).union(inside.where("kth is null").select("query", "id", "score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     best = found.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
     return best.select(F.col("query").alias("vec_id"), "rank", F.col("id").alias("neighbour_id"), "score")
@@ -200,7 +217,7 @@ def search(embeddings: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
 
 SQL = f"""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-p AS (SELECT a.vec_id, b.vec_id AS neighbour_id, round(list_inner_product(a.e, b.e), {DIGITS}) AS score FROM v a, v b WHERE a.vec_id <> b.vec_id)
+p AS (SELECT a.vec_id, b.vec_id AS neighbour_id, round(list_inner_product(a.e, b.e), {DIGITS}) AS score FROM v a, v b WHERE a.vec_id % {EVERY} = 0 AND a.vec_id <> b.vec_id)
 SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbour_id) AS rank, neighbour_id, score FROM p
 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbour_id) <= {K}
 """

@@ -88,15 +88,18 @@ def test_topk_is_exact(spark, block):
     x = planted(200)
     x[50] = 0  # a query that scores all alike
     odd = [r for r in ODD if r[0] != 9001]
-    got = topk.search(frame(spark, x, odd + [(7, x[7].tolist(), 0)]), k=5, block=block).collect()
+    df = frame(spark, x, odd + [(7, x[7].tolist(), 0)])
+    got = topk.search(df, k=5, block=block, every=1).collect()
     assert {(r["vec_id"], r["rank"], r["neighbour_id"]) for r in got} == brute_topk(x, 5)
+    some = topk.search(df, k=5, block=block, every=50).collect()
+    assert {(r["vec_id"], r["rank"], r["neighbour_id"]) for r in some} == {t for t in brute_topk(x, 5) if t[0] % 50 == 0} and len(some) == 20
     assert max(collections.Counter((r["vec_id"], r["rank"]) for r in got).values()) == 1
 
 
 def test_topk_of_little(spark):
     assert topk.search(frame(spark, np.zeros((0, 4), np.float32))).collect() == []
     x = np.eye(3, dtype=np.float32)
-    assert {(r["vec_id"], r["rank"], r["neighbour_id"]) for r in topk.search(frame(spark, x)).collect()} == brute_topk(x, 2)
+    assert {(r["vec_id"], r["rank"], r["neighbour_id"]) for r in topk.search(frame(spark, x), every=1).collect()} == brute_topk(x, 2)
 
 
 def test_threshold_stops_early_where_it_can():
