@@ -117,8 +117,9 @@ def with_rank(df: DataFrame, group: str, h: str, ties: list[str], bucket_digits:
     offsets = counts.withColumn("_before", F.sum("_c").over(w) - F.col("_c")).withColumn("_n", F.sum("_c").over(Window.partitionBy("_g"))).drop("_c")
     own = Window.partitionBy(group, "_b").orderBy(h, *ties)
     ranked = b.withColumn("_r", F.row_number().over(own) - 1)
+    offsets = small(written(offsets, "offsets"))
     on = ranked[group].eqNullSafe(offsets["_g"]) & (ranked["_b"] == offsets["_bb"])
-    return ranked.join(small(offsets), on).withColumn("_rank", F.col("_before") + F.col("_r")).drop("_g", "_bb", "_b", "_r", "_before")
+    return ranked.join(offsets, on).withColumn("_rank", F.col("_before") + F.col("_r")).drop("_g", "_bb", "_b", "_r", "_before")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:

@@ -202,17 +202,19 @@ def _pairs(t: float, shards: int, pair_shards: int):
             at += len(u)
         u, first, which = np.unique(np.concatenate(us), return_index=True, return_inverse=True)
         size, ends = np.concatenate(zs)[first].astype(np.int64), np.concatenate(ls)[first]
-        label = np.concatenate(gs)[first].astype(np.int64)
+        label = np.concatenate(gs)[first].astype(np.int32)
         # a set that several batches have sent counts once
         w = np.concatenate(ws)
         once = first[which[w]] == w
-        k, s, rest = np.concatenate(ks)[once], which[w[once]], np.concatenate(qs)[once].astype(np.int64)
+        k, s, rest = np.concatenate(ks)[once], which[w[once]].astype(np.int32), np.concatenate(qs)[once].astype(np.int32)
         del ks, ws, qs, us, zs, ls, gs, w, once, which
         order = np.lexsort((s, size[s], k))  # by size in each element's list
         k, s, rest = k[order], s[order], rest[order]
-        z = size[s]
-        before = z - 1 - rest * z // 256  # at most so much is before the element, and behind it
-        rest = np.minimum((rest + 1) * z // 256 + 1, z - 1)
+        del order
+        z = size[s].astype(np.int32)
+        # at most so much is before the element, and behind it
+        before = (z - 1 - rest.astype(np.int64) * z // 256).astype(np.int32)
+        rest = np.minimum((rest.astype(np.int64) + 1) * z // 256 + 1, z - 1).astype(np.int32)
         head = np.ones(len(k), dtype=bool)
         head[1:] = k[1:] != k[:-1]
         start = np.flatnonzero(head)
@@ -222,19 +224,20 @@ def _pairs(t: float, shards: int, pair_shards: int):
         reach = np.minimum(_last_fit(z, start, stop, t), end)
         mine = label[s]
         free = mine == 0
-        mixed = np.repeat(np.minimum.reduceat(np.where(free, 1 << 40, mine), start) != np.maximum.reduceat(mine, start), stop - start) if len(start) else free
+        mixed = np.repeat(np.minimum.reduceat(np.where(free, (1 << 31) - 1, mine), start) != np.maximum.reduceat(mine, start), stop - start) if len(start) else free
         single = np.flatnonzero(free)
         every = free | mixed  # lists in which several large groups meet are taken whole
         lo = np.where(every, np.arange(len(k)) + 1, np.searchsorted(single, np.arange(len(k)), "right"))
         hi = np.where(every, reach, np.searchsorted(single, reach, "left"))
         n = hi - lo
-        key, count, least = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        del reach, end, hi, mixed, free
+        key, count, least = np.zeros(0, _U), np.zeros(0, np.int32), np.zeros(0, np.int32)
         has = np.flatnonzero(n > 0)
         total = np.cumsum(n[has])
         at = 0
         while at < len(has):
             base = total[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(total, base + 2_000_000, "right")))
+            to = max(at + 1, int(np.searchsorted(total, base + 1_000_000, "right")))
             h = has[at:to]
             a = np.repeat(h, n[h])
             b = np.arange(len(a)) - np.repeat(np.cumsum(n[h]) - n[h], n[h]) + lo[a]
@@ -245,8 +248,9 @@ def _pairs(t: float, shards: int, pair_shards: int):
             a, b = a[other], b[other]
             p, q = s[a], s[b]
             v = (np.minimum(p, q).astype(_U) << _U(32)) | np.maximum(p, q).astype(_U)
-            key, count, least = _by_pair(np.concatenate([key, v]), np.concatenate([count, np.ones(len(v), np.int64)]), np.concatenate([least, np.minimum(rest[a], rest[b])]))
+            key, count, least = _by_pair(np.concatenate([key, v]), np.concatenate([count, np.ones(len(v), np.int32)]), np.concatenate([least, np.minimum(rest[a], rest[b])]))
             at = to
+        del k, s, rest, z, before, lo, n, mine, single, every
         a, b = (key >> _U(32)).astype(np.int64), (key & _U(0xFFFFFFFF)).astype(np.int64)
         # behind the prefix that ends first (either, if that can't be told) its set has all that is common beyond what is counted
         behind = size - prefix_length(size, t)

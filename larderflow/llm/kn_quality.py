@@ -303,7 +303,7 @@ def _hot(found: np.ndarray, at: np.ndarray, hot: tuple[np.ndarray, np.ndarray],
 
 
 def _requests(shards: int, filters, hots):
-    """Map: of a batch, the pairs and words that the model may have, packed by shard (kind 1), but for hot ones, and to target -1 what is known of each text without asking:
+    """Map: of a batch, the pairs and words that the model may have, packed by shard (kind 1), but for hot ones, and to a target below 0, as many as there are shards, what is known of each text without asking:
     its words, how many of them the model may have, and the sum of the hot values (kind: minus the number of questions, less 1)."""
 
     def run(batches):
@@ -356,7 +356,7 @@ def _requests(shards: int, filters, hots):
                     at = np.flatnonzero(head)
                     times = np.diff(np.append(at, len(vv))).astype(np.uint32)
                     rows.append((q, packed(np.array([n], np.int64), np.diff(vv[at], prepend=_U(0)), _step(vv[at], dd[at].astype(np.uint32)), times, np.diff(key[b], prepend=_U(0)), _step(key[b], db[b].astype(np.uint32)))))
-            t = [-1] + [q for q, _ in rows]
+            t = [-1 - digest % shards] + [q for q, _ in rows]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(t, pa.int32()), pa.array([digest] * len(t), pa.int64()), pa.array([-len(rows) - 1] + [1] * len(rows), pa.int32()), pa.array([sink.getvalue().to_pybytes()] + [d for _, d in rows], pa.binary())], names=["target", "batch", "kind", "data"]
             )

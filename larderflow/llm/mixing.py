@@ -85,7 +85,7 @@ def schedule(blocks: dict, weights: dict, period: int = PERIOD) -> list[tuple]:
     return rows
 
 
-def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, temperature: float = TEMPERATURE, period: int = PERIOD, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, temperature: float = TEMPERATURE, period: int = PERIOD, seed: int = SEED, together: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
     """Rows (doc_id, source, phase, slot, pos): `slot` is the place of the document's block in the mixture, `pos` its own place in the block.
 
     Documents of a source are shuffled by a seeded hash of doc_id and cut into blocks; the schedule depends only on the counts of the
@@ -93,10 +93,10 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, temper
     target weights by source (a source without one gets 1, a weight must be positive); without it they follow the counts to the power `temperature`.
 
     No document is dropped: when a source runs out (a new phase), the others share its place. The last block of a source may
-    be shorter. Null sources are one source; repeated rows keep their count; an empty table gives an empty result. Other columns aren't read.
+    be shorter. With `together`, what is shuffled are the groups of rows alike in these columns, whose rows follow each other by `order`, and all columns of `docs` stay. Null sources are one source; repeated rows keep their count; an empty table gives an empty result. Other columns aren't read.
     """
     spark = docs.sparkSession
-    d = docs.select("doc_id", "source")
+    d = docs.select("doc_id", "source") if together is None else docs
     counts = {r["source"]: r["count"] for r in d.groupBy("source").count().collect()}
     if weights is None:
         target = {s: n**temperature for s, n in counts.items()}
@@ -106,11 +106,11 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, temper
         raise ValueError("target weights must be positive")
     rows = schedule({s: -(-n // block) for s, n in counts.items()}, target, period)
     plan = spark.createDataFrame(rows, "_s string, phase int, _k0 bigint, _k1 bigint, _t0 bigint, _whole bigint, _share bigint, _j bigint, _x bigint")
-    r = with_rank(d.withColumn("_h", seeded(seed, "doc_id")), "source", "_h", ["doc_id"]).withColumn("_k", F.expr(f"_rank div {block}"))
+    r = with_rank(d.withColumn("_h", seeded(seed, *(together or ["doc_id"]))), "source", "_h", [*(order or []), "doc_id"]).withColumn("_k", F.expr(f"_rank div {block}"))
     spans = plan.where("_j = 0").select("_s", "phase", "_k0", "_k1", "_t0", "_whole", "_share")
     r = r.join(small(spans, len(rows)), r["source"].eqNullSafe(F.col("_s")) & (F.col("_k") >= F.col("_k0")) & (F.col("_k") < F.col("_k1"))).drop("_s")
     r = r.withColumn("_m", F.expr("(_k - _k0) % _share"))
     cells = plan.select("_s", F.col("phase").alias("_p"), "_j", "_x")
     r = r.join(small(cells, len(rows)), r["source"].eqNullSafe(F.col("_s")) & (F.col("phase") == F.col("_p")) & (F.col("_m") == F.col("_j")))
     slot = F.expr("_t0 + (_k - _k0) div _share * _whole + _x")
-    return r.select("doc_id", "source", "phase", slot.alias("slot"), F.expr(f"_rank % {block}").cast("bigint").alias("pos"))
+    return r.select(*d.columns, "phase", slot.alias("slot"), F.expr(f"_rank % {block}").cast("bigint").alias("pos"))

@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, parts, small, written
+from .common import components, small, written
 from .vectors import cells_at_most, codebook, rows, unpack, width
 
 #: Least cosine of near duplicates; recall aimed at; vectors of a cell on average; Lloyd's rounds.
 THRESHOLD, RECALL, PER_CELL, ROUNDS = 0.95, 0.99, 16, 5
+#: Bytes of vectors that meet in a task, about.
+GROUP_BYTES = 64_000_000
 
 
 def reach(t: float, recall: float, dims: int) -> float:
@@ -55,8 +57,8 @@ def traverse(a: np.ndarray, b: np.ndarray, limit: float) -> list[tuple[int, int]
     return out
 
 
-def _visits(dims: int, books, limit: float):
-    """Map: each vector's own cell (home) and the other cells that it visits."""
+def _visits(dims: int, books, limit: float, split: int):
+    """Map: each vector once for every group of cells that it visits (those of one centre of the first book, in `split` parts), with these cells and its own one (home) if it is among them."""
 
     def run(batches):
         for batch in batches:
@@ -67,47 +69,57 @@ def _visits(dims: int, books, limit: float):
                 x = unpack(data[s : s + 500], dims)
                 h = dims // 2
                 (o1, h1), (o2, h2) = costs(x[:, :h], c1), costs(x[:, h:], c2)
-                cell, home, who = [], [], []
+                group, cells, home, who = [], [], [], []
                 for r in range(len(x)):
+                    own = int(o1[r, 0]) * len(c2) + int(o2[r, 0])
+                    by: dict[int, list[int]] = {}
                     for i, j in traverse(h1[r], h2[r], limit):
-                        cell.append(int(o1[r, i]) * len(c2) + int(o2[r, j]))
-                        home.append(i == 0 and j == 0)
+                        p, q = int(o1[r, i]), int(o2[r, j])
+                        by.setdefault(p * split + q % split, []).append(p * len(c2) + q)
+                    for g, c in by.items():
+                        group.append(g)
+                        cells.append(np.array(c, dtype=np.int64).tobytes())
+                        home.append(own if own in c else -1)
                         who.append(s + r)
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(home, pa.bool_()), pa.array([node[w] for w in who], pa.int64()), pa.array([data[w] for w in who], pa.binary())], names=["cell", "home", "node", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(cells, pa.binary()), pa.array(home, pa.int64()), pa.array([node[w] for w in who], pa.int64()), pa.array([data[w] for w in who], pa.binary())], names=["task", "cells", "home", "node", "data"])
 
     return run
 
 
 def _verify(dims: int, t: float):
-    """Of some cells: pairs of a vector at home and another there with cosine t at least, as many as join what belongs together."""
+    """Of a group of cells: pairs of a vector at home and another in its cell with cosine t at least, as many as join what belongs together."""
 
     def run(table: pa.Table) -> pa.Table:
-        cell, home, node = (table[c].to_numpy(zero_copy_only=False) for c in ("cell", "home", "node"))
-        x = unpack(table["data"].to_pylist(), dims)
-        order = np.lexsort((node, ~home.astype(bool), cell))
-        cell, home, node, x = cell[order], home[order].astype(bool), node[order], x[order]
+        cells = [np.frombuffer(c, dtype=np.int64) for c in table["cells"].to_pylist()]
+        who = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+        cell, node = np.concatenate(cells), table["node"].to_numpy()
+        home = cell == table["home"].to_numpy()[who]
+        every = unpack(table["data"].to_pylist(), dims)
+        order = np.lexsort((node[who], ~home, cell))
+        cell, home, who = cell[order], home[order], who[order]
         start = np.flatnonzero(np.diff(cell, prepend=cell[:1] - 1))
         A, B = [], []
         for s, e in zip(start.tolist(), np.append(start[1:], len(cell)).tolist()):
             m = int(home[s:e].sum())
             if not m or e - s < 2:
                 continue
+            x, own = every[who[s:e]], node[who[s:e]]
             group = np.arange(e - s)
             step = max(1, 4_000_000 // (e - s))
             for i in range(0, m, step):
-                near = x[s + i : s + min(i + step, m)] @ x[s:e].T >= t - 1e-6
+                near = x[i : min(i + step, m)] @ x.T >= t - 1e-6
                 for k in np.flatnonzero(near.sum(1) > 1):
                     hit = np.flatnonzero(near[k])
                     # the float64 check decides at the edge
-                    exact = x[s + hit].astype(np.float64) @ x[s + i + k].astype(np.float64) >= t
+                    exact = x[hit].astype(np.float64) @ x[i + k].astype(np.float64) >= t
                     hit = hit[exact]
                     labels, first = np.unique(group[hit], return_index=True)
                     me = group[i + k]
                     if len(labels) > 1 or (len(labels) == 1 and labels[0] != me):
                         for q in hit[first].tolist():
                             if group[q] != me:
-                                A.append(node[s + i + k])
-                                B.append(node[s + q])
+                                A.append(own[i + k])
+                                B.append(own[q])
                         group[np.isin(group, np.append(labels, me))] = min(int(labels[0]), int(me))
         return pa.table({"a": pa.array(A, pa.int64()), "b": pa.array(B, pa.int64())})
 
@@ -137,8 +149,9 @@ def groups(embeddings: DataFrame, t: float = THRESHOLD, recall: float = RECALL,
         return spark.createDataFrame([], "vec_id bigint, group_id bigint, size bigint")
     k = max(1, min(cells_at_most(dims), int((n / per_cell) ** 0.5)))
     books = tuple(codebook(distinct, dims, p, k, rounds) for p in (slice(0, dims // 2), slice(dims // 2, dims)))
-    visits = distinct.mapInArrow(_visits(dims, spark.sparkContext.broadcast(books), reach(t, recall, dims)), "cell bigint, home boolean, node bigint, data binary")
-    visits = visits.withColumn("task", F.pmod(F.xxhash64("cell"), F.lit(parts(spark) * 4)))
+    # so many parts that a group's vectors, with visitors from some neighbouring centres, keep to GROUP_BYTES
+    split = max(1, -(-n * 4 * dims * 9 // (k * GROUP_BYTES)))
+    visits = distinct.mapInArrow(_visits(dims, spark.sparkContext.broadcast(books), reach(t, recall, dims), split), "task bigint, cells binary, home bigint, node bigint, data binary")
     edges = visits.groupBy("task").applyInArrow(_verify(dims, t), "a bigint, b bigint")
     root = components(edges, "near")
     s = v.join(small(root), v["node"] == root["node"], "left").select(F.col("id").alias("vec_id"), F.coalesce(root["root"], v["node"]).alias("root")).distinct()
@@ -151,11 +164,24 @@ def groups(embeddings: DataFrame, t: float = THRESHOLD, recall: float = RECALL,
     return s.join(g, "root").select("vec_id", "group_id", "size")
 
 
-#: All pairs by brute force, then components.
-SQL = f"""
-WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+def with_copies(embeddings: DataFrame) -> DataFrame:
+    """The embeddings and a near copy of each, its coordinates stretched by turns, under vec_id + 10^9: a table with pairs to find."""
+    near = F.transform("embedding", lambda v, i: (v.cast("double") * (1 + (i % 3) * 0.1)).cast("float"))
+    return embeddings.select("vec_id", "embedding").union(embeddings.select((F.col("vec_id") + 10**9).alias("vec_id"), near))
+
+
+def _sql(table: str) -> str:
+    """All pairs by brute force, then components."""
+    return f"""
+WITH RECURSIVE v AS ({table}),
 p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
 r AS (SELECT DISTINCT a, a AS b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
 g AS (SELECT a AS vec_id, min(b) AS group_id FROM r GROUP BY a)
 SELECT vec_id, group_id, count(*) OVER (PARTITION BY group_id) AS size FROM g
 """
+
+
+SQL = _sql("SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings")
+#: Of `with_copies`.
+COPIES_SQL = _sql("""SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings UNION ALL
+ SELECT vec_id + 1000000000, CAST(list_transform(range(1, len(embedding) + 1), lambda i: CAST(CAST(embedding[i] AS DOUBLE) * (1 + ((i - 1) % 3) * 0.1::DOUBLE) AS FLOAT)) AS DOUBLE[]) FROM embeddings""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ BUCKETS, ROUGH, DIMS = 8192, 128, 16
 NEIGHBOURS = 4
 #: The index of vectors: vectors of a cell on average, cells that a vector is compared with, rows that the cells' centres are fitted on at most, and Lloyd's rounds.
 CELL, VISITS, SAMPLE, ROUNDS = 2048, 12, 262_144, 5
+#: Cells up to which so many visits keep the recall, and visits added for each time that they double beyond.
+FEW_CELLS, MORE_VISITS = 128, 6
 #: Levels of paths: those of documents, then those of paths.
 LEVELS = 2
 #: Tokens of a lane, the stretch whose windows are filled one after the other, on average; documents with the same words of which one lane takes so many.
@@ -42,7 +45,7 @@ def word_weights(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def texts(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, lang, n, node): words, and a number for them whatever their order (null for a text without words); and rows (bucket, df): texts of a task with a word of that bucket."""
+    """Rows (doc_id, lang, source, n, node): words, and a number for them whatever their order (null for a text without words); and rows (bucket, df): texts of a task with a word of that bucket."""
 
     def run(batches):
         df = np.zeros(BUCKETS, dtype=np.int64)
@@ -53,12 +56,15 @@ def texts(docs: DataFrame) -> DataFrame:
                 n[i:j], node[i:j], _, bucket, _ = word_weights(b[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 df += np.bincount(bucket, minlength=BUCKETS)
             gone = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n), pa.array(node, mask=n == 0), gone, gone], names=["doc_id", "lang", "n", "node", "bucket", "df"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), batch.column(3), pa.array(n), pa.array(node, mask=n == 0), gone, gone], names=names)
         has = np.flatnonzero(df)
         gone = pa.nulls(len(has), pa.int64())
-        yield pa.RecordBatch.from_arrays([gone, pa.nulls(len(has), pa.string()), gone, gone, pa.array(has), pa.array(df[has])], names=["doc_id", "lang", "n", "node", "bucket", "df"])
+        none = pa.nulls(len(has), pa.string())
+        yield pa.RecordBatch.from_arrays([gone, none, none, gone, gone, pa.array(has), pa.array(df[has])], names=names)
 
-    return docs.select("doc_id", "text", "lang").mapInArrow(trimmed(run), "doc_id bigint, lang string, n bigint, node bigint, bucket bigint, df bigint")
+    names = ["doc_id", "lang", "source", "n", "node", "bucket", "df"]
+    source = F.col("source") if "source" in docs.columns else F.lit(None)
+    return docs.select("doc_id", "text", "lang", source.cast("string").alias("source")).mapInArrow(trimmed(run), "doc_id bigint, lang string, source string, n bigint, node bigint, bucket bigint, df bigint")
 
 
 def signs() -> np.ndarray:
@@ -121,7 +127,7 @@ def basis(rough: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     total = np.triu(total) + np.triu(total, 1).T
     n = max(total[-1, -1], 1)
     mean = total[-1, :-1] / n
-    directions = np.linalg.eigh(total[:-1, :-1] / n - np.outer(mean, mean))[1][:, ::-1][:, :DIMS]
+    directions = np.linalg.eigh(np.round(total[:-1, :-1] / n - np.outer(mean, mean), 9))[1][:, ::-1][:, :DIMS]
     directions = directions * np.sign(directions[np.abs(directions).argmax(0), np.arange(DIMS)])
     return mean, directions
 
@@ -292,11 +298,12 @@ def nearest(vecs: DataFrame, n: int, neighbours: int = NEIGHBOURS, cell: int = C
     """Rows (a, b, sim, r) of the nearest-neighbour graph of n written vectors by cosine: r is 1 for a's nearest.
 
     An inverted file: every vector lies in the cell of its nearest centre (fitted on a bounded sample, see `centres_of`) and is compared with all of its own cell, then with all of
-    the nearest cells, `visits` in all, as far as a better neighbour can be there. So work by vector doesn't grow with the table until the centres, which go to all tasks, are as many as
-    may (`cells_at_most`). Recall against brute force is tested to be 0.9 at least.
+    the nearest cells, as far as a better neighbour can be there: `visits` in all, and MORE_VISITS for each doubling of the cells beyond FEW_CELLS. So work by vector grows with the
+    logarithm of the table until the centres, which go to all tasks, are as many as may (`cells_at_most`). Recall against brute force is tested to be 0.9 at least.
     """
     spark = vecs.sparkSession
     cells = max(1, min(cells_at_most(DIMS), n // cell))
+    visits += int(MORE_VISITS * max(0.0, np.log2(cells / FEW_CELLS)))
     centres = spark.sparkContext.broadcast(centres_of(vecs, cells, sample, ROUNDS))
 
     def place(batches):
@@ -391,7 +398,7 @@ def paths(edges: DataFrame, levels: int = LEVELS) -> DataFrame:
     return out
 
 
-def pack(docs: DataFrame, window: int = WINDOW, neighbours: int = NEIGHBOURS, lane: int = LANE, cell: int = CELL, slots: DataFrame | None = None, copies: int = COPIES) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, neighbours: int = NEIGHBOURS, lane: int = LANE, cell: int = CELL, copies: int = COPIES, mixed: Callable[..., DataFrame] | None = None) -> DataFrame:
     """Rows (window_id, pos, doc_id, doc_from, n_tokens): n_tokens words of the document from its word doc_from on stand at `pos` of the window.
 
     Documents are nodes by their words (those with the same words stand together) and linked to the neighbours of highest cosine of their vectors (see `vectors` and `nearest`). Paths are
@@ -399,13 +406,14 @@ def pack(docs: DataFrame, window: int = WINDOW, neighbours: int = NEIGHBOURS, la
     windows of `window` tokens without a gap; only a lane's last window may be short. Every word of every document is in one window; a document that crosses a window's end goes on in
     the next. Documents with the same words, if over `copies`, are spread over as many lanes as keep to that number.
 
-    With `slots`, rows (doc_id, slot), a lane's paths stand in the order of the earliest slot among their documents, so windows by number follow the schedule.
+    With `mixed`, a function like `mixing.mix`, each source's part of a path is put into the mixture as a whole, and lanes stand in the order of its slots, so windows by number follow the
+    schedule document by document.
 
     Null and empty texts have no words and no rows. A very long text is one node and goes on through as many windows as it takes. Null doc_ids, repeated rows and rows of one doc_id with other
-    texts are packed like any other. Ties in similarity are told apart by hashes. An empty table gives an empty result; columns other than doc_id, text and lang aren't read.
+    texts are packed like any other. Ties in similarity are told apart by hashes. An empty table gives an empty result; columns other than doc_id, text and lang (with `mixed` source) aren't read.
     """
     every = written(texts(docs), "texts")
-    d = every.where("n > 0").select("doc_id", "lang", "n", "node")
+    d = every.where("n > 0").select("doc_id", "lang", "source", "n", "node")
     total, rows = d.agg(F.sum("n"), F.count(F.lit(1))).first()
     vecs = vectors(docs, every.where("bucket is not null"), rows)
     graph = nearest(vecs, vecs.count(), neighbours, cell)
@@ -417,15 +425,15 @@ def pack(docs: DataFrame, window: int = WINDOW, neighbours: int = NEIGHBOURS, la
     d = d.join(p, d["node"] == p["at"], "left").withColumn("path", F.coalesce("path", "node"))
     crowd = small(written(d.groupBy(F.col("node").alias("_node")).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > copies), "crowds"))
     d = d.join(crowd, d["node"] == crowd["_node"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.expr(f"_c div {copies} + 1")), F.lit(0)))
-    d = d.withColumn("lane", F.pmod(F.xxhash64("path", "part"), F.lit(lanes)))
-    of = Window.partitionBy("path", "part")
-    place = []
-    if slots is not None:
-        first = small(written(slots.groupBy(F.col("doc_id").alias("_id")).agg(F.min("slot").alias("_slot")), "slots"))
-        d = d.join(first, d["doc_id"].eqNullSafe(first["_id"]), "left").withColumn("place", F.min("_slot").over(of))
-        place = ["place"]
-    d = d.withColumn("tongue", F.min("lang").over(of))
-    w = Window.partitionBy("lane").orderBy(*place, F.col("tongue").asc_nulls_first(), "path", *steps, "node", F.col("doc_id").asc_nulls_first(), "n")
+    unit = ["path", "part"] + (["source"] if mixed else [])
+    d = d.withColumn("lane", F.pmod(F.xxhash64(*unit), F.lit(lanes))).drop("at", "_node", "_c")
+    if mixed:
+        d = mixed(d, together=unit, order=[*steps, "node", "n"])
+        order = [F.col("slot"), F.col("pos")]
+    else:
+        d = d.withColumn("tongue", F.min("lang").over(Window.partitionBy(*unit)))
+        order = [F.col("tongue").asc_nulls_first(), F.col("path"), *map(F.col, steps), F.col("node")]
+    w = Window.partitionBy("lane").orderBy(*order, F.col("doc_id").asc_nulls_first(), "n")
     d = d.withColumn("start", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     d = d.withColumn("k", F.explode(F.sequence(F.expr(f"start div {window}"), F.expr(f"(start + n - 1) div {window}"))))
     begin = F.greatest(F.col("start"), F.col("k") * window)

@@ -22,6 +22,11 @@ def op3_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.groups(table(spark, sf_dir, "embeddings"))
 
 
+def near_embeddings_of_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3 over all embeddings and a near copy of each, as the given tables may hold none."""
+    return near_vectors.groups(near_vectors.with_copies(table(spark, sf_dir, "embeddings")))
+
+
 def op4_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_paths.extract(table(spark, sf_dir, "pages"))
 
@@ -52,8 +57,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith(("op", "near_embeddings")) and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_embeddings": near_vectors.SQL, "op7_threshold_topk": topk.SQL, "op10_sharding": sharding.SQL}
+    return {"op3_near_embeddings": near_vectors.SQL, "near_embeddings_of_copies": near_vectors.COPIES_SQL, "op7_threshold_topk": topk.SQL, "op10_sharding": sharding.SQL}

@@ -19,7 +19,7 @@ TABLES = ("documents", "embeddings", "pages", "labels")
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(m[1]) for n in queries.queries() if (m := re.match(r"op(\d+)_", n))) == list(range(1, 11))
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -96,8 +96,10 @@ def test_weights_reach_the_windows(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(corpus_pipeline, "WEIGHTS", {"ab"[first]: 9, "ba"[first]: 1})
         at = sorted((x["window_id"], x["pos"], x["doc_id"]) for x in corpus_pipeline.run(spark, str(tmp_path)).collect() if x["doc_from"] == 0)
         assert sorted(i for *_, i in at) == list(range(200))
-        # nine in ten of the first half are of the heavy source, less what paths of several documents bring along
-        assert sum(i % 2 == first for *_, i in at[:100]) > 75
+        # nine in ten of the first half are of the heavy source, give or take a block of the schedule and a path's documents
+        assert 80 <= sum(i % 2 == first for *_, i in at[:100]) <= 98
+        source = [i % 2 for *_, i in at]
+        assert sum(a == b for a, b in zip(source, source[1:])) > 120  # related documents of a source follow each other
 
 
 def test_pipeline_of_nothing(spark, tmp_path):
