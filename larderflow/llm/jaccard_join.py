@@ -22,6 +22,8 @@ HOT_IN_BATCH = 4
 HASHES, LARGE, CENTRES = 4, 8, 8
 #: Texts of large groups whose group is told to all tasks, at most; it only saves work, so those of the largest groups come first.
 LABELS = 500_000
+#: Sets of a block: larger components and large groups meet block by block, so that no task holds more than two of them.
+BLOCK = 1024
 #: Prefix elements of a shard, on average; low bits of an element that aren't sent for verification, and the lowest bit of a frequent one's rank.
 SHARD, CUT, RANK_BIT = 1_500_000, 16, 40
 _U = np.uint64
@@ -405,30 +407,70 @@ def _sets(docs: DataFrame, n: int, hot) -> DataFrame:
     return docs.select("text").where("doc_id is not null and text is not null").mapInArrow(trimmed(run), "sig bigint, data binary")
 
 
-def _verify(t: float):
-    """Of some candidate components, given their sets (data) and their candidate pairs (other): pairs that are similar enough, as many as join the groups."""
+def _links_within(sig: list[int], side: list[int], sets: list[np.ndarray], t: float) -> np.ndarray:
+    """How many others each set is similar enough to: in a block (all sides 2), or between two blocks (sides 0 and 1). Overlaps of all are a product of 0-1 matrices, some elements at a time."""
+    size = np.array([len(x) for x in sets])
+    _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    # an element of one set alone is in no overlap
+    shared = np.cumsum(times > 1) - 1
+    of = times[col] > 1
+    row, col = row[of], shared[col[of]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    left, right = (np.flatnonzero(np.isin(side, x)) for x in ((0, 2), (1, 2)))
+    common = np.zeros((len(left), len(right)), dtype=np.float32)
+    width = 4096
+    for c in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+        i, j = np.searchsorted(col, (c, c + width))
+        m = np.zeros((len(sets), width), dtype=np.float32)
+        m[row[i:j], col[i:j] - c] = 1
+        common += m[left] @ m[right].T
+    common = common.astype(np.int64)
+    near = common / (size[left][:, None] + size[right][None] - common) >= t - 1e-12
+    near &= np.array(sig)[left][:, None] != np.array(sig)[right][None]
+    out = np.zeros(len(sets), dtype=np.int64)
+    out[left] += near.sum(1)
+    if side[0] != 2:
+        out[right] += near.sum(0)
+    return out
+
+
+def _verify(t: float, every: bool):
+    """Of some parts, given their sets (data) and their candidate pairs (other): pairs (a, b) that are similar enough, all, or as many as join the groups; and of blocks of large groups
+    (sets with a side), links of each set (a) to others there."""
 
     def run(table: pa.Table) -> pa.Table:
         sets: dict[int, dict[int, np.ndarray]] = {}
+        sides: dict[int, dict[int, int]] = {}
         pairs: dict[int, list[tuple[int, int]]] = {}
-        for root, sig, data, other in zip(table["root"].to_pylist(), table["sig"].to_pylist(), table["data"], table["other"].to_pylist()):
+        for part, sig, data, other, side in zip(table["part"].to_pylist(), table["sig"].to_pylist(), table["data"], table["other"].to_pylist(), table["side"].to_pylist()):
             if other is not None:
-                pairs.setdefault(root, []).append((sig, other))
-            elif sig not in (g := sets.setdefault(root, {})):
+                pairs.setdefault(part, []).append((sig, other))
+            elif sig not in (g := sets.setdefault(part, {})):
                 g[sig] = np.cumsum(unpacked(data.as_py(), _U)[0], dtype=_U)
-        a, b = [], []
-        for root, g in sets.items():
+                if side is not None:
+                    sides.setdefault(part, {})[sig] = side
+        a, b, links = [], [], []
+        for part, g in sets.items():
             sig = list(g)
+            if part in sides:
+                n = _links_within(sig, [sides[part][v] for v in sig], list(g.values()), t)
+                a += sig
+                b += [None] * len(sig)
+                links += n.tolist()
+                continue
             place = {v: i for i, v in enumerate(sig)}
             partners: dict[int, set[int]] = {}
-            for x, y in pairs.get(root, ()):
+            for x, y in pairs.get(part, ()):
                 i, j = place[x], place[y]
                 partners.setdefault(i, set()).add(j)
                 partners.setdefault(j, set()).add(i)
-            for i, j, _ in trie_join(list(g.values()), t, Union(len(sig)), partners):
+            for i, j, _ in trie_join(list(g.values()), t, None if every else Union(len(sig)), partners):
                 a.append(sig[i])
                 b.append(sig[j])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                links.append(1)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array(links, pa.int64())})
 
     return trimmed(run)
 
@@ -447,19 +489,32 @@ def _stars(scan: DataFrame, large: int) -> DataFrame:
     return pairs.where(same >= 2).select(F.least("a.sig", "sig").alias("a"), F.greatest("a.sig", "sig").alias("b")).distinct()
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, n: int, t: float, hot, shards: int) -> DataFrame:
-    """Of written candidate pairs (a, b), those that are similar enough, as many as join the groups: the sets of a component meet in one task."""
+def _similar(docs: DataFrame, pairs: DataFrame, n: int, t: float, hot, shards: int, block: int, every: bool = False, crowds: DataFrame | None = None) -> DataFrame:
+    """Of written candidate pairs (a, b), those that are similar enough (b and links 1): all, or as many as join the groups. The sets of a component meet in one task; those of a component of
+    over `block` sets in one for each two blocks that have a pair. With `crowds`, rows (node, root) of large groups, also links of each set (a, b null) to others of its group, in parts."""
     comp = components(pairs, "candidates")
-    member = small(written(comp.union(comp.select("root", "root")).distinct(), "members"))
+    member = written(comp.union(comp.select("root", "root")).distinct(), "members")
+    split = lambda m: m.join(small(m.groupBy("root").agg(F.expr(f"(count(1) - 1) div {block} + 1").alias("blocks"))), "root")
+    own = lambda c: F.pmod(F.xxhash64(c), "blocks")
+    part = lambda x, y: F.xxhash64("root", F.least(x, y), F.greatest(x, y))
+    of = small(split(member).select(F.col("node").alias("a"), "root", "blocks"))
+    tied = written(pairs.join(of, "a").select("a", "b", F.when(F.col("blocks") == 1, F.col("root")).otherwise(part(own("a"), own("b"))).alias("part")), "tied")
+    need_ = tied.select("part", F.col("a").alias("node")).union(tied.select("part", "b")).distinct().withColumn("side", F.lit(None).cast("int"))
+    if crowds is not None:
+        sent = split(crowds).withColumn("_own", own("node")).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        side = F.when(F.col("_own") == F.col("_other"), 2).otherwise((F.col("_own") > F.col("_other")).cast("int"))
+        need_ = need_.union(sent.select(F.xxhash64(F.lit("crowd"), part("_own", "_other")), "node", side))
+    need_ = small(written(need_, "needed"))
     sets = _sets(docs, n, hot)
-    near = sets.join(member, sets["sig"] == member["node"]).select("root", "sig", "data", F.lit(None).cast("bigint").alias("other"))
-    tied = pairs.join(member, pairs["a"] == member["node"]).select("root", F.col("a").alias("sig"), F.lit(None).cast("binary").alias("data"), F.col("b").alias("other"))
-    near = near.union(tied).withColumn("task", F.pmod(F.xxhash64("root"), F.lit(shards * 4)).cast("int"))
-    return near.groupBy("task").applyInArrow(_verify(t), "a bigint, b bigint")
+    near = sets.join(need_, sets["sig"] == need_["node"]).select("part", "sig", "data", F.lit(None).cast("bigint").alias("other"), "side")
+    near = near.union(tied.select("part", "a", F.lit(None).cast("binary"), "b", F.lit(None).cast("int")))
+    near = near.withColumn("task", F.pmod(F.xxhash64("part"), F.lit(shards * 4)).cast("int"))
+    return near.groupBy("task").applyInArrow(_verify(t, every), "a bigint, b bigint, links bigint")
 
 
-def groups(docs: DataFrame, n: int = N, t: float = THRESHOLD, hot: int = HOT, hot_in_batch: int = HOT_IN_BATCH, large: int = LARGE, shard: int = SHARD) -> DataFrame:
-    """Rows (doc_id, group_id, size) for every document that is in a group of near copies; group_id is the group's lowest doc_id.
+def groups(docs: DataFrame, n: int = N, t: float = THRESHOLD, hot: int = HOT, hot_in_batch: int = HOT_IN_BATCH, large: int = LARGE, shard: int = SHARD, block: int = BLOCK, links: bool = True) -> DataFrame:
+    """Rows (doc_id, group_id, size, links) for every document that is in a group of near copies; group_id is the group's lowest doc_id, links the number of other sets that its own is
+    similar to (equal sets are one, so a document with exact copies alone has none; without `links` the column isn't made, which saves work).
 
     Two documents are near copies if the Jaccard similarity of their sets of word n-grams (lower case, runs of letters, digits and _) is t at
     least; groups are the connected components. The result is exact:
@@ -468,10 +523,11 @@ def groups(docs: DataFrame, n: int = N, t: float = THRESHOLD, hot: int = HOT, ho
     2. texts that share a min-hash with many others are compared with a few of them, which finds most of each large group without its square of pairs;
     3. each set sends its prefix in that order, packed, to the elements' shards, where lists of one element give pairs (but for those
        that a large group already links), with length bounds; common prefix elements are added up over the shards, and pairs that can't reach t any more go;
-    4. sets of a candidate component meet in one task and are joined by a prefix tree (see `trie_join`).
+    4. sets of a candidate component meet (in blocks, if they are many) and are joined by a prefix tree (see `trie_join`);
+    5. links inside a large group are counted there block by block, as all of its pairs are looked at and a tree would prune little.
 
     Texts that are null or have no word are in no group; null doc_ids neither. Rows of the same doc_id are one document as to identity (each of their texts
-    counts). A text of fewer than n words has one n-gram of all. An empty table gives an empty result; columns other than doc_id and text aren't read.
+    counts, and links are added up). A text of fewer than n words has one n-gram of all. A very long text is one set like any other. An empty table gives an empty result; columns other than doc_id and text aren't read.
     """
     spark = docs.sparkSession
     shards = parts(spark)
@@ -484,11 +540,12 @@ def groups(docs: DataFrame, n: int = N, t: float = THRESHOLD, hot: int = HOT, ho
 
     keep: list[DataFrame] = []
     with scratch(keep):
-        first = written(_similar(docs, written(_stars(scan, large), "stars"), n, t, ranks, shards), "first")
+        first = written(_similar(docs, written(_stars(scan, large), "stars"), n, t, ranks, shards, block).select("a", "b"), "first")
         keep.append(first)
     big = components(first, "large")
     sizes = big.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("c")).where(F.col("c") >= large)
-    known = big.union(big.select("root", "root")).distinct().join(small(sizes), "root").orderBy(F.desc("c"), "root", "node").limit(LABELS).select("node", "root").toPandas().sort_values("node")
+    crowds = written(big.union(big.select("root", "root")).distinct().join(small(sizes), "root").orderBy(F.desc("c"), "root", "node").limit(LABELS).select("node", "root"), "known")
+    known = crowds.toPandas().sort_values("node")
     label = np.unique(known["root"].to_numpy(dtype=np.int64), return_inverse=True)[1] + 1
     labels = spark.sparkContext.broadcast((known["node"].to_numpy(dtype=np.int64), label))
 
@@ -497,18 +554,47 @@ def groups(docs: DataFrame, n: int = N, t: float = THRESHOLD, hot: int = HOT, ho
     lists = max(1, -(-int(elements) // shard))
     pairs = _prefixes(docs, n, t, ranks, labels, lists).repartition(lists, "shard").groupBy("shard").applyInArrow(_pairs(t, lists, max(lists, shards)), "shard int, data binary")
     cand = written(pairs.groupBy("shard").applyInArrow(_enough(t, lists), "a bigint, b bigint"), "pairs")
-    edges = first.union(_similar(docs, cand, n, t, ranks, shards))
-    root = components(edges, "groups")
+    found = written(_similar(docs, cand, n, t, ranks, shards, block, links, crowds if links else None), "found")
+    near = found.where("b is not null").select("a", "b")
+    root = components(first.union(near), "groups")
     # groups of signatures, then of documents; equal sets and equal ids link too
-    s = sig.join(small(root), sig["sig"] == root["node"], "left").select("doc_id", F.coalesce("root", "sig").alias("root"))
-    s = written(s.distinct(), "linked")
+    s = sig.join(small(root), sig["sig"] == root["node"], "left").select("doc_id", "sig", F.coalesce("root", "sig").alias("root"))
+    out = ["doc_id", "group_id", "size"]
+    if links:
+        degree = found.select(F.col("a").alias("_sig"), "links").union(near.select("b", F.lit(1).cast("bigint"))).groupBy("_sig").agg(F.sum("links").alias("links"))
+        degree = small(written(degree, "degrees"))
+        s = s.join(degree, s["sig"] == degree["_sig"], "left").select("doc_id", "root", F.coalesce("links", F.lit(0)).alias("links"))
+        out.append("links")
+    else:
+        s = s.select("doc_id", "root", F.lit(0).cast("bigint").alias("links"))
+    s = written(s, "linked")
     if not s.groupBy("doc_id").count().where("count > 1").isEmpty():
         # one doc_id with several texts: link its groups
         tied = s.groupBy("doc_id").agg(F.min("root").alias("m")).join(s, "doc_id").select(F.col("root").alias("a"), F.col("m").alias("b"))
         again = components(tied, "tied")
-        s = s.join(small(again), s["root"] == again["node"], "left").select("doc_id", F.coalesce(again["root"], s["root"]).alias("root")).distinct()
+        s = s.join(small(again), s["root"] == again["node"], "left").select("doc_id", F.coalesce(again["root"], s["root"]).alias("root"), "links")
+        s = s.groupBy("doc_id").agg(F.min("root").alias("root"), F.sum("links").alias("links"))
     g = s.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    return s.join(g, "root").select("doc_id", "group_id", "size")
+    return s.join(g, "root").select(*out)
+
+
+#: The same by brute force: pairs of different sets with an n-gram in common, and components by recursion.
+SQL = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z_\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS g FROM t WHERE len(w) > 0),
+u AS (SELECT g, len(g) AS n, row_number() OVER (ORDER BY g) AS k FROM (SELECT DISTINCT g FROM s)),
+m AS (SELECT doc_id, k FROM s JOIN u USING (g)),
+e AS (SELECT k, n, unnest(g) AS x FROM u),
+p AS (SELECT a.k AS a, b.k AS b FROM e a JOIN e b ON a.x = b.x AND a.k < b.k AND a.n >= {THRESHOLD} * b.n AND b.n >= {THRESHOLD} * a.n GROUP BY a.k, b.k, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= {THRESHOLD} - 1e-12),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+d AS (SELECT a AS k, count(*) AS links FROM l GROUP BY a),
+c AS (SELECT a, b FROM l UNION SELECT x.k, y.k FROM m x JOIN m y USING (doc_id) WHERE x.k <> y.k),
+r AS (SELECT k AS a, k AS b FROM u UNION SELECT r.a, c.b FROM r JOIN c ON r.b = c.a),
+f AS (SELECT a AS k, min(b) AS root FROM r GROUP BY a),
+o AS (SELECT doc_id, min(root) AS root, CAST(sum(coalesce(links, 0)) AS BIGINT) AS links FROM m JOIN f USING (k) LEFT JOIN d USING (k) GROUP BY doc_id),
+z AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY root) AS group_id, count(*) OVER (PARTITION BY root) AS size, links FROM o)
+SELECT * FROM z WHERE size > 1
+"""
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
@@ -516,7 +602,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     cols = docs.columns
     keep: list[DataFrame] = []
     with scratch(keep):
-        drop = written(groups(docs, **how).where("doc_id <> group_id").select(F.col("doc_id").alias("_gone")), "copies")
+        drop = written(groups(docs, links=False, **how).where("doc_id <> group_id").select(F.col("doc_id").alias("_gone")), "copies")
         keep.append(drop)
     kept = docs.join(small(drop), docs["doc_id"] == drop["_gone"], "left_anti")
     twice = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")), "twice")

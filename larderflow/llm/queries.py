@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_embeddings": near_vectors.SQL, "near_embeddings_of_copies": near_vectors.COPIES_SQL, "op7_threshold_topk": topk.SQL, "op10_sharding": sharding.SQL}
+    return {"op3_near_embeddings": near_vectors.SQL, "near_embeddings_of_copies": near_vectors.COPIES_SQL, "op6_ngram_jaccard": jaccard_join.SQL, "op7_threshold_topk": topk.SQL, "op10_sharding": sharding.SQL}

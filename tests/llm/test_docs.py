@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 
 from larderflow.llm import jaccard_join, kn_quality, mixing, packing, secret_scan, sharding, simple8b
 
-from .conftest import corpus, frame, odd_rows, word
+from .conftest import corpus, edit, frame, odd_rows, text, word
 
 
 def rows(df):
@@ -265,15 +265,24 @@ def brute_groups(pairs, n, t):
     by = collections.defaultdict(set)
     for i, _ in sets:
         by[find(i)].add(i)
-    return {(i, min(g), len(g)) for g in by.values() if len(g) > 1 for i in g}
-
-
-@pytest.mark.parametrize(("n", "t", "large", "shard"), [(2, 0.6, 3, 900), (1, 0.8, 16, 1_500_000), (3, 0.5, 2, 200)])
-def test_jaccard_groups_are_exact(spark, odd, docs, n, t, large, shard):
-    df = odd.select("doc_id", "text").unionByName(docs.selectExpr("doc_id + 100 as doc_id", "text"))
+    different = {frozenset(s) for _, s in sets}
+    links = {s: sum(s != x and len(s & x) >= t * len(s | x) - 1e-12 for x in different) for s in different}
+    of = collections.defaultdict(set)
+    for i, s in sets:
+        of[i].add(frozenset(s))
+    return {(i, min(g), len(g), sum(links[s] for s in of[i])) for g in by.values() if len(g) > 1 for i in g}
+
+
+@pytest.mark.parametrize(("n", "t", "large", "shard", "block"), [(2, 0.6, 3, 900, 4), (1, 0.8, 16, 1_500_000, 1024), (3, 0.5, 2, 200, 1)])
+def test_jaccard_groups_are_exact(spark, odd, docs, n, t, large, shard, block):
+    """With a group of many near copies, the links inside which are counted by block."""
+    r = random.Random(3)
+    first = text(r, 80)
+    many = spark.createDataFrame([(2000 + k, edit(r, first, 0.05 + 0.01 * (k % 6))) for k in range(40)], "doc_id bigint, text string")
+    df = odd.select("doc_id", "text").unionByName(docs.selectExpr("doc_id + 100 as doc_id", "text")).unionByName(many)
     want = brute_groups(rows(df), n, t)
-    assert {tuple(r) for r in jaccard_join.groups(df, n, t, hot_in_batch=2, large=large, shard=shard).collect()} == want
-    assert len(want) > 20
+    assert {tuple(r) for r in jaccard_join.groups(df, n, t, hot_in_batch=2, large=large, shard=shard, block=block).collect()} == want
+    assert len(want) > 20 and max(links for *_, links in want) > 10
 
 
 def test_one_of_each_group_stays(spark, odd, empty):
@@ -282,7 +291,7 @@ def test_one_of_each_group_stays(spark, odd, empty):
     assert kept.columns == odd.columns
     ids = collections.Counter(r["doc_id"] for r in kept.collect())
     every = {r["doc_id"] for r in odd.collect()}
-    assert set(ids) == every - {i for i, g, _ in want if i != g}
+    assert set(ids) == every - {i for i, g, *_ in want if i != g}
     assert ids[None] == 2 and all(c == 1 for i, c in ids.items() if i is not None)
     assert rows(jaccard_join.groups(empty)) == [] and rows(jaccard_join.keep_one(empty)) == []
 
