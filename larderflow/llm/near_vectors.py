@@ -87,7 +87,8 @@ def _visits(dims: int, books, limit: float, split: int):
 
 
 def _verify(dims: int, t: float):
-    """Of a group of cells: pairs of a vector at home and another in its cell with cosine t at least, as many as join what belongs together."""
+    """Of a group of cells: pairs of a vector at home and another in its cell with cosine t at least, as many as join what belongs together; and for each vector at home
+    the number (links, b null) of others there with that cosine."""
 
     def run(table: pa.Table) -> pa.Table:
         cells = [np.frombuffer(c, dtype=np.int64) for c in table["cells"].to_pylist()]
@@ -98,7 +99,7 @@ def _verify(dims: int, t: float):
         order = np.lexsort((node[who], ~home, cell))
         cell, home, who = cell[order], home[order], who[order]
         start = np.flatnonzero(np.diff(cell, prepend=cell[:1] - 1))
-        A, B = [], []
+        A, B, C, L = [], [], [], []
         for s, e in zip(start.tolist(), np.append(start[1:], len(cell)).tolist()):
             m = int(home[s:e].sum())
             if not m or e - s < 2:
@@ -113,6 +114,9 @@ def _verify(dims: int, t: float):
                     # the float64 check decides at the edge
                     exact = x[hit].astype(np.float64) @ x[i + k].astype(np.float64) >= t
                     hit = hit[exact]
+                    if len(hit) > 1:
+                        C.append(own[i + k])
+                        L.append(len(hit) - 1)
                     labels, first = np.unique(group[hit], return_index=True)
                     me = group[i + k]
                     if len(labels) > 1 or (len(labels) == 1 and labels[0] != me):
@@ -121,47 +125,51 @@ def _verify(dims: int, t: float):
                                 A.append(own[i + k])
                                 B.append(own[q])
                         group[np.isin(group, np.append(labels, me))] = min(int(labels[0]), int(me))
-        return pa.table({"a": pa.array(A, pa.int64()), "b": pa.array(B, pa.int64())})
+        return pa.table({"a": pa.array(A + C, pa.int64()), "b": pa.array(B + [None] * len(C), pa.int64()), "links": pa.array([None] * len(A) + L, pa.int64())})
 
     return run
 
 
 def groups(embeddings: DataFrame, t: float = THRESHOLD, recall: float = RECALL, per_cell: int = PER_CELL, rounds: int = ROUNDS) -> DataFrame:
-    """Rows (vec_id, group_id, size) for each embedding in a group of near duplicates; group_id is the group's lowest vec_id. Groups are the connected
-    components of pairs with cosine t at least.
+    """Rows (vec_id, group_id, size, links) for each embedding in a group of near duplicates; group_id is the group's lowest vec_id. Groups are the connected
+    components of pairs with cosine t at least; links is the number of other vectors, equal ones counted once, that have that cosine with it.
 
     Each half of the dimensions has its own codebook, trained on all rows; their product is a grid with about `per_cell` vectors a cell. Every vector is put into its cell and
     as a query visits further cells by the multi-sequence algorithm, as far as the target recall asks (see `reach`); what meets is verified by its cosine. Equal
-    vectors are one vector until the end, and in a cell only so many pairs are kept as join its groups, so large groups don't grow quadratically.
+    vectors are one vector until the end, and in a cell only so many pairs are kept as join its groups; a vector's links are counted in its own cell, which all that may be near it visit.
 
-    Null ids, null, zero or non-finite vectors, and vectors of another length than most, are in no group. Rows of one vec_id are one (each of their vectors counts). An
+    Null ids, null, zero or non-finite vectors, and vectors of another length than most, are in no group. Rows of one vec_id are one (each of their vectors counts, and links are added up). An
     empty table gives an empty result; columns other than vec_id and embedding aren't read. Vectors need two dimensions at least.
     """
     spark = embeddings.sparkSession
     dims = width(embeddings, "embedding")
     if dims < 2:
-        return spark.createDataFrame([], "vec_id bigint, group_id bigint, size bigint")
+        return spark.createDataFrame([], "vec_id bigint, group_id bigint, size bigint, links bigint")
     v = written(rows(embeddings, "vec_id", "embedding", dims, True).withColumn("node", F.xxhash64("data")), "vectors")
     distinct = v.groupBy("node").agg(F.first("data").alias("data")).select(F.col("node").alias("id"), "data")
     distinct = written(distinct, "distinct")
     n = distinct.count()
     if not n:
-        return spark.createDataFrame([], "vec_id bigint, group_id bigint, size bigint")
+        return spark.createDataFrame([], "vec_id bigint, group_id bigint, size bigint, links bigint")
     k = max(1, min(cells_at_most(dims), int((n / per_cell) ** 0.5)))
     books = tuple(codebook(distinct, dims, p, k, rounds) for p in (slice(0, dims // 2), slice(dims // 2, dims)))
     # so many parts that a group's vectors, with visitors from some neighbouring centres, keep to GROUP_BYTES
     split = max(1, -(-n * 4 * dims * 9 // (k * GROUP_BYTES)))
     visits = distinct.mapInArrow(_visits(dims, spark.sparkContext.broadcast(books), reach(t, recall, dims), split), "task bigint, cells binary, home bigint, node bigint, data binary")
-    edges = visits.groupBy("task").applyInArrow(_verify(dims, t), "a bigint, b bigint")
-    root = components(edges, "near")
-    s = v.join(small(root), v["node"] == root["node"], "left").select(F.col("id").alias("vec_id"), F.coalesce(root["root"], v["node"]).alias("root")).distinct()
+    found = written(visits.groupBy("task").applyInArrow(_verify(dims, t), "a bigint, b bigint, links bigint"), "found")
+    root = components(found.where("b is not null"), "near")
+    links = found.where("b is null").select(F.col("a").alias("_node"), F.col("links"))
+    s = v.select("id", "node").distinct().join(small(root), v["node"] == root["node"], "left")
+    s = s.select("id", v["node"], F.coalesce(root["root"], v["node"]).alias("root"))
+    s = s.join(small(links), s["node"] == links["_node"], "left").select(F.col("id").alias("vec_id"), "root", F.coalesce("links", F.lit(0)).alias("links"))
     s = written(s, "linked")
     tied = s.groupBy("vec_id").agg(F.min("root").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
     if not tied.isEmpty():
         again = components(tied.join(s, "vec_id").select(F.col("root").alias("a"), F.col("m").alias("b")), "tied")
-        s = s.join(small(again), s["root"] == again["node"], "left").select("vec_id", F.coalesce(again["root"], s["root"]).alias("root")).distinct()
+        s = s.join(small(again), s["root"] == again["node"], "left").select("vec_id", F.coalesce(again["root"], s["root"]).alias("root"), "links")
+        s = s.groupBy("vec_id").agg(F.min("root").alias("root"), F.sum("links").alias("links"))
     g = s.groupBy("root").agg(F.min("vec_id").alias("group_id"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    return s.join(g, "root").select("vec_id", "group_id", "size")
+    return s.join(g, "root").select("vec_id", "group_id", "size", "links")
 
 
 def with_copies(embeddings: DataFrame) -> DataFrame:
@@ -174,10 +182,11 @@ def _sql(table: str) -> str:
     """All pairs by brute force, then components."""
     return f"""
 WITH RECURSIVE v AS ({table}),
-p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.e AS x, b.e AS y FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
 r AS (SELECT DISTINCT a, a AS b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
-g AS (SELECT a AS vec_id, min(b) AS group_id FROM r GROUP BY a)
-SELECT vec_id, group_id, count(*) OVER (PARTITION BY group_id) AS size FROM g
+g AS (SELECT a AS vec_id, min(b) AS group_id FROM r GROUP BY a),
+l AS (SELECT a AS vec_id, count(DISTINCT y) FILTER (x <> y) AS links FROM p GROUP BY a)
+SELECT vec_id, group_id, count(*) OVER (PARTITION BY group_id) AS size, links FROM g JOIN l USING (vec_id)
 """
 
 

@@ -41,7 +41,8 @@ def brute_groups(x, t):
             break
         label = new
     n = np.bincount(label, minlength=len(x))
-    return {(i, int(g), int(n[g])) for i, g in enumerate(label) if n[g] > 1}, near
+    links = near[:, np.unique(x, axis=0, return_index=True)[1]].sum(1) - 1
+    return {(i, int(g), int(n[g]), int(links[i])) for i, g in enumerate(label) if n[g] > 1}, near
 
 
 @pytest.mark.parametrize("recall", [0.99, 1.0])
@@ -52,12 +53,14 @@ def test_near_groups(spark, recall):
     want, near = brute_groups(x, near_vectors.THRESHOLD)
     if recall == 1:
         assert got == want
-    root = {i: g for i, g, _ in got}
+    root = {i: g for i, g, *_ in got}
+    every = sum(links for *_, links in want)
+    assert 0.9 * every <= sum(links for *_, links in got) <= every
     i, j = np.nonzero(np.triu(near, 1))
     found = [root.get(a, -1) == root.get(b, -2) for a, b in zip(i.tolist(), j.tolist())]
     assert len(found) > 300 and np.mean(found) >= 0.9
     # nothing is grouped that isn't connected
-    true = {i: g for i, g, _ in want}
+    true = {i: g for i, g, *_ in want}
     assert all(true.get(i) == true.get(g) for i, g in root.items())
 
 
