@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, mix, packed, parts, scratch, slices, small, span_hashes, trimmed, unpacked, utf8, word_spans, written
+from .common import BROADCAST_ROWS, components, mix, packed, parts, scratch, slices, small, span_hashes, trimmed, unpacked, utf8, word_spans, written
 
 #: Words of an n-gram, and the least Jaccard similarity of a pair.
 N, THRESHOLD = 2, 0.6
@@ -22,8 +22,8 @@ HOT_IN_BATCH = 4
 HASHES, LARGE, CENTRES = 4, 8, 8
 #: Texts of large groups whose group is told to all tasks, at most; it only saves work, so those of the largest groups come first.
 LABELS = 500_000
-#: Sets of a block: larger components and large groups meet block by block, so that no task holds more than two of them.
-BLOCK = 1024
+#: Sets of a block of a large group, whose blocks meet two by two; components of over WIDE blocks meet in this way too, in blocks of so many times the size.
+BLOCK, WIDE = 1024, 8
 #: Prefix elements of a shard, on average; low bits of an element that aren't sent for verification, and the lowest bit of a frequent one's rank.
 SHARD, CUT, RANK_BIT = 1_500_000, 16, 40
 _U = np.uint64
@@ -489,22 +489,26 @@ def _stars(scan: DataFrame, large: int) -> DataFrame:
     return pairs.where(same >= 2).select(F.least("a.sig", "sig").alias("a"), F.greatest("a.sig", "sig").alias("b")).distinct()
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, n: int, t: float, hot, shards: int, block: int, every: bool = False, crowds: DataFrame | None = None) -> DataFrame:
+def _similar(docs: DataFrame, sig: DataFrame, pairs: DataFrame, n: int, t: float, hot, shards: int, block: int, every: bool = False, crowds: DataFrame | None = None) -> DataFrame:
     """Of written candidate pairs (a, b), those that are similar enough (b and links 1): all, or as many as join the groups. The sets of a component meet in one task; those of a component of
-    over `block` sets in one for each two blocks that have a pair. With `crowds`, rows (node, root) of large groups, also links of each set (a, b null) to others of its group, in parts."""
+    over WIDE `block` sets in one for each two of its blocks that have a pair. A set is made from one of its documents, as `sig` has them, if those are few enough to be told. With `crowds`, rows (node, root) of large groups, also links of each set (a, b null) to others of its group, in parts."""
     comp = components(pairs, "candidates")
     member = written(comp.union(comp.select("root", "root")).distinct(), "members")
-    split = lambda m: m.join(small(m.groupBy("root").agg(F.expr(f"(count(1) - 1) div {block} + 1").alias("blocks"))), "root")
+    split = lambda m, most: m.join(small(m.groupBy("root").agg(F.expr(f"(count(1) - 1) div {most} + 1").alias("blocks"))), "root")
     own = lambda c: F.pmod(F.xxhash64(c), "blocks")
     part = lambda x, y: F.xxhash64("root", F.least(x, y), F.greatest(x, y))
-    of = small(split(member).select(F.col("node").alias("a"), "root", "blocks"))
+    of = small(split(member, WIDE * block).select(F.col("node").alias("a"), "root", "blocks"))
     tied = written(pairs.join(of, "a").select("a", "b", F.when(F.col("blocks") == 1, F.col("root")).otherwise(part(own("a"), own("b"))).alias("part")), "tied")
     need_ = tied.select("part", F.col("a").alias("node")).union(tied.select("part", "b")).distinct().withColumn("side", F.lit(None).cast("int"))
     if crowds is not None:
-        sent = split(crowds).withColumn("_own", own("node")).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        sent = split(crowds, block).withColumn("_own", own("node")).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
         side = F.when(F.col("_own") == F.col("_other"), 2).otherwise((F.col("_own") > F.col("_other")).cast("int"))
         need_ = need_.union(sent.select(F.xxhash64(F.lit("crowd"), part("_own", "_other")), "node", side))
-    need_ = small(written(need_, "needed"))
+    need_ = written(need_, "needed")
+    one = written(sig.join(small(need_.select(F.col("node").alias("sig")).distinct()), "sig").groupBy("sig").agg(F.min("doc_id").alias("_id")).select("_id").distinct(), "chosen")
+    if one.count() <= BROADCAST_ROWS:
+        docs = docs.join(F.broadcast(one), docs["doc_id"] == one["_id"], "left_semi")
+    need_ = small(need_)
     sets = _sets(docs, n, hot)
     near = sets.join(need_, sets["sig"] == need_["node"]).select("part", "sig", "data", F.lit(None).cast("bigint").alias("other"), "side")
     near = near.union(tied.select("part", "a", F.lit(None).cast("binary"), "b", F.lit(None).cast("int")))
@@ -540,7 +544,7 @@ def groups(docs: DataFrame, n: int = N, t: float = THRESHOLD, hot: int = HOT, ho
 
     keep: list[DataFrame] = []
     with scratch(keep):
-        first = written(_similar(docs, written(_stars(scan, large), "stars"), n, t, ranks, shards, block).select("a", "b"), "first")
+        first = written(_similar(docs, sig, written(_stars(scan, large), "stars"), n, t, ranks, shards, block).select("a", "b"), "first")
         keep.append(first)
     big = components(first, "large")
     sizes = big.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("c")).where(F.col("c") >= large)
@@ -554,7 +558,7 @@ def groups(docs: DataFrame, n: int = N, t: float = THRESHOLD, hot: int = HOT, ho
     lists = max(1, -(-int(elements) // shard))
     pairs = _prefixes(docs, n, t, ranks, labels, lists).repartition(lists, "shard").groupBy("shard").applyInArrow(_pairs(t, lists, max(lists, shards)), "shard int, data binary")
     cand = written(pairs.groupBy("shard").applyInArrow(_enough(t, lists), "a bigint, b bigint"), "pairs")
-    found = written(_similar(docs, cand, n, t, ranks, shards, block, links, crowds if links else None), "found")
+    found = written(_similar(docs, sig, cand, n, t, ranks, shards, block, links, crowds if links else None), "found")
     near = found.where("b is not null").select("a", "b")
     root = components(first.union(near), "groups")
     # groups of signatures, then of documents; equal sets and equal ids link too
