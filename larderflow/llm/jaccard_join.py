@@ -233,14 +233,19 @@ def _pairs(t: float, shards: int, pair_shards: int):
         hi = np.where(every, reach, np.searchsorted(single, reach, "left"))
         n = hi - lo
         del reach, end, hi, mixed, free
-        key, count, least = np.zeros(0, _U), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        # by the pair's first set, so that all of a pair comes at once and pairs that have too little go before others come
         has = np.flatnonzero(n > 0)
-        total = np.cumsum(n[has])
+        has = has[np.argsort(s[has], kind="stable")]
+        of, total = s[has], np.cumsum(n[has])
+        behind = size - prefix_length(size, t)
+        kept: list[tuple] = []
         at = 0
         while at < len(has):
             base = total[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(total, base + 1_000_000, "right")))
+            to = int(np.searchsorted(of, of[to - 1], "right"))
             h = has[at:to]
+            at = to
             a = np.repeat(h, n[h])
             b = np.arange(len(a)) - np.repeat(np.cumsum(n[h]) - n[h], n[h]) + lo[a]
             b = np.where(every[a], b, single[np.minimum(b, max(len(single) - 1, 0))] if len(single) else b)
@@ -250,17 +255,19 @@ def _pairs(t: float, shards: int, pair_shards: int):
             a, b = a[other], b[other]
             p, q = s[a], s[b]
             v = (np.minimum(p, q).astype(_U) << _U(32)) | np.maximum(p, q).astype(_U)
-            key, count, least = _by_pair(np.concatenate([key, v]), np.concatenate([count, np.ones(len(v), np.int32)]), np.concatenate([least, np.minimum(rest[a], rest[b])]))
-            at = to
-        del k, s, rest, z, before, lo, n, mine, single, every
+            key, count, least = _by_pair(v, np.ones(len(v), np.int32), np.minimum(rest[a], rest[b]))
+            a, b = (key >> _U(32)).astype(np.int64), (key & _U(0xFFFFFFFF)).astype(np.int64)
+            # behind the prefix that ends first (either, if that can't be told) its set has all that is common beyond what is counted
+            case = np.where(ends[a] < ends[b], behind[a], np.where(ends[a] > ends[b], behind[b], np.maximum(behind[a], behind[b])))
+            # a similar pair has so many common prefix elements over all shards, so in one of them at least its share of them
+            share = -(-np.maximum(need(size[a], size[b], t) - case, 1) // shards)
+            some = count >= share
+            kept.append((key[some], count[some], share[some], np.minimum(least, case)[some]))
+        del k, s, rest, z, before, lo, n, mine, single, every, has, of, total
+        key, count, share, least = (np.concatenate(x) for x in zip(*kept)) if kept else (np.zeros(0, _U), *[np.zeros(0, np.int64)] * 3)
+        order = np.argsort(key)
+        key, count, share, least = key[order], count[order], share[order], least[order]
         a, b = (key >> _U(32)).astype(np.int64), (key & _U(0xFFFFFFFF)).astype(np.int64)
-        # behind the prefix that ends first (either, if that can't be told) its set has all that is common beyond what is counted
-        behind = size - prefix_length(size, t)
-        case = np.where(ends[a] < ends[b], behind[a], np.where(ends[a] > ends[b], behind[b], np.maximum(behind[a], behind[b])))
-        # a similar pair has so many common prefix elements over all shards, so in one of them at least its share of them
-        share = -(-np.maximum(need(size[a], size[b], t) - case, 1) // shards)
-        some = count >= share
-        a, b, count, share, least = a[some], b[some], count[some], share[some], np.minimum(least, case)[some]
         pair = (mix(u[a].astype(_U) ^ mix(u[b].astype(_U))) % _U(pair_shards)).astype(np.int64)
         order = np.argsort(pair, kind="stable")
         cuts = np.searchsorted(pair[order], np.arange(pair_shards + 1))
