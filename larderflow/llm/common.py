@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import inspect
 import tempfile
 import uuid
@@ -43,6 +44,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def give_back() -> None:
+    """Give memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -57,6 +67,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
+        give_back()
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._larder_path = path
@@ -80,6 +91,8 @@ def scratch(keep: list[DataFrame]):
         discard(*[t for t in own if not any(t is k for k in left)])
         if _scratches:
             _scratches[-1].extend(left)
+        gc.collect()  # broadcasts of what was computed inside
+        give_back()
 
 
 def discard(*tables: DataFrame) -> None:
@@ -147,24 +160,17 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 def trimmed(run):
     """A function for mapInArrow or applyInArrow that gives freed memory back to the system after each batch or group, so that idle Python workers hold little."""
 
-    def back():
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another C library
-            pass
-
     def each(batches):
         try:
             for b in run(batches):
                 yield b
-                back()
+                give_back()
         finally:
-            back()
+            give_back()
 
     def whole(table: pa.Table) -> pa.Table:
         out = run(table)
-        back()
+        give_back()
         return out
 
     return each if inspect.isgeneratorfunction(run) else whole
