@@ -24,8 +24,10 @@ HASHES, LARGE, CENTRES = 4, 8, 8
 LABELS = 500_000
 #: Sets of a block of a large group, whose blocks meet two by two; components of over WIDE blocks meet in this way too, in blocks of so many times the size.
 BLOCK, WIDE = 1024, 8
-#: Prefix elements of a shard, on average; low bits of an element that aren't sent for verification, and the lowest bit of a frequent one's rank.
-SHARD, CUT, RANK_BIT = 1_500_000, 16, 40
+#: Prefix elements of a shard, on average; times as many that it may have if a pair's share would get small otherwise; least size of a set for each shard of its band, so that it doesn't.
+SHARD, WIDEST, SHARE = 1_500_000, 4, 25
+#: Parts of a prefix whose ends are told; low bits of an element that aren't sent for verification, and the lowest bit of a frequent one's rank.
+PARTS, CUT, RANK_BIT = 4, 16, 40
 _U = np.uint64
 _ODD = [_U(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -121,32 +123,53 @@ def need(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t / (1 + t) * (a + b) - 1e-9).astype(np.int64)
 
 
-def _prefixes(docs: DataFrame, n: int, t: float, hot, labels, shards: int) -> DataFrame:
-    """Rows (shard, data): prefix elements of the sets of a batch, packed by shard of the element."""
+def bands(t: float, largest: int) -> np.ndarray:
+    """Least sizes of bands of sets, and one beyond the largest: a set is as similar as t only to sets of its own band and those next to it."""
+    out = [1]
+    while out[-1] <= largest:
+        out.append(int(np.floor(out[-1] / t + 1e-9)) + 1)
+    return np.array(out, dtype=np.int64)
 
-    def blobs(kk, ww, qq, sig, size, last, known, group) -> pa.RecordBatch:
+
+def lists_of(edges: np.ndarray, elements: np.ndarray, shard: int) -> np.ndarray:
+    """How many shards the prefix elements of each band (and of the next one, whose sets come too) get: as `shard` has it, but not so many that
+    a shard's share of the overlap that a pair needs gets under a few elements, unless shards would get too large then."""
+    both = elements + np.append(elements[1:], 0)
+    few = np.minimum(-(-both // shard), np.maximum(edges[:-1] // SHARE, 1))
+    return np.where(elements > 0, np.maximum(np.maximum(few, -(-both // (shard * WIDEST))), 1), 0)
+
+
+def _prefixes(docs: DataFrame, n: int, t: float, hot, labels, edges: np.ndarray, lists: np.ndarray) -> DataFrame:
+    """Rows (shard, data): prefix elements of the sets of a batch, packed by shard of the element. Each band of sizes has its own shards, which get the sets of the next band too."""
+    base = np.cumsum(lists) - lists
+
+    def blobs(kk, ww, qq, sig, size, ends, known, group) -> pa.RecordBatch:
         k, w, q256, sig = np.concatenate(kk), np.concatenate(ww), np.concatenate(qq), np.concatenate(sig)
-        size, last = np.concatenate(size).astype(np.int32), np.concatenate(last)
+        size, ends = np.concatenate(size).astype(np.int32), np.concatenate(ends)
         # a set that occurs twice in the batch is sent once
         _, first, which = np.unique(sig, return_index=True, return_inverse=True)
         once = first[which[w]] == w
         k, w, q256 = k[once], w[once], q256[once]
         m = mix(k)
-        shard = (m % _U(shards)).astype(np.int64)
-        m = m >> _U(32)  # elements that are alike in these bits only add candidates
-        order = np.argsort((shard.astype(_U) << _U(32)) | m)
-        m, w, shard, q256 = m[order], w[order], shard[order], q256[order]
-        cuts = np.searchsorted(shard, np.arange(shards + 1))
+        del k, once
+        own = np.searchsorted(edges, size, "right") - 1
         out = []
-        for q in range(shards):
-            part = slice(cuts[q], cuts[q + 1])
-            if part.start == part.stop:
-                continue
-            u, first, idx = np.unique(sig[w[part]], return_index=True, return_inverse=True)
-            of = w[part][first]
-            at = np.minimum(np.searchsorted(known, u), max(len(known) - 1, 0))
-            label = np.where(known[at] == u, group[at], 0) if len(known) else np.zeros(len(u))
-            out.append((q, packed(np.diff(m[part], prepend=_U(0)).astype(np.uint32), idx.astype(np.uint32), q256[part], np.diff(u, prepend=0), size[of], last[of], label.astype(np.uint32))))
+        for down in (0, 1):
+            band = np.maximum(own - down, 0)
+            to = (own >= down) & (lists[band] > 0)
+            i = np.flatnonzero(to[w])
+            shard = base[band[w[i]]] + (m[i] % lists[band[w[i]]].astype(_U)).astype(np.int64)
+            # elements that are alike in the bits that are sent only add candidates
+            order = np.argsort((shard.astype(_U) << _U(32)) | (m[i] >> _U(32)))
+            i, shard = i[order], shard[order]
+            cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                part = i[x:y]
+                u, first, idx = np.unique(sig[w[part]], return_index=True, return_inverse=True)
+                of = w[part][first]
+                at = np.minimum(np.searchsorted(known, u), max(len(known) - 1, 0))
+                label = np.where(known[at] == u, group[at], 0) if len(known) else np.zeros(len(u))
+                out.append((int(shard[x]), packed(np.diff(m[part] >> _U(32), prepend=_U(0)).astype(np.uint32), idx.astype(np.uint32), q256[part], np.diff(u, prepend=0), size[of], ends[of].reshape(-1), label.astype(np.uint32))))
         return pa.RecordBatch.from_arrays([pa.array([q for q, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["shard", "data"])
 
     def run(batches):
@@ -159,12 +182,14 @@ def _prefixes(docs: DataFrame, n: int, t: float, hot, labels, shards: int) -> Da
                 p = np.where(size > 0, prefix_length(size, t), 0)
                 first = np.cumsum(p) - p
                 at = np.arange(int(p.sum())) - np.repeat(first - bounds[:-1], p)
-                # what the set has behind the element, in 256ths of its size, and where its prefix ends
+                # what the set has behind the element, in 256ths of its size, and where the parts of its prefix end
                 left = np.repeat(bounds[1:], p) - at - 1
                 behind = (left * 256 // np.maximum(np.repeat(size, p), 1)).astype(np.uint8)
-                end = np.zeros(len(p), dtype=_U)
-                end[p > 0] = g[(bounds[:-1] + p - 1)[p > 0]] >> _U(48)
-                held.append((g[at], np.repeat(np.arange(sets, sets + len(p)), p), behind, sig, size, end.astype(np.uint16)))
+                ends = np.zeros((len(p), PARTS), dtype=np.uint16)
+                has = np.flatnonzero(p > 0)
+                for j in range(PARTS):
+                    ends[has, j] = g[bounds[:-1][has] + part_length(p[has], j) - 1] >> _U(48)
+                held.append((g[at], np.repeat(np.arange(sets, sets + len(p)), p), behind, sig, size, ends))
                 elements += len(at)
                 sets += len(p)
                 if elements > 1_000_000:
@@ -176,6 +201,11 @@ def _prefixes(docs: DataFrame, n: int, t: float, hot, labels, shards: int) -> Da
     return docs.select("text").where("doc_id is not null and text is not null").mapInArrow(trimmed(run), "shard int, data binary")
 
 
+def part_length(prefix: np.ndarray, j: int) -> np.ndarray:
+    """Elements in the first j + 1 of PARTS parts of a prefix."""
+    return -(-prefix * (j + 1) // PARTS)
+
+
 def signatures_of(g: np.ndarray, bounds: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Signatures of sets whose hot elements stand as ranks: those of the sets of hashes."""
     keys, rank = hot
@@ -187,87 +217,108 @@ def signatures_of(g: np.ndarray, bounds: np.ndarray, hot: tuple[np.ndarray, np.n
     return signatures(g, bounds)
 
 
-def _pairs(t: float, shards: int, pair_shards: int):
-    """Of one shard of elements: packed counts of the common elements of each pair of sets that may be similar enough, by shard of the pair."""
+def _pairs(t: float, edges: np.ndarray, lists: np.ndarray, pair_shards: int):
+    """Of one shard of elements: packed counts of the common elements of each pair of sets that may be similar enough, by shard of the pair. The smaller set of a pair is of the shard's band."""
+    of_band = np.repeat(np.arange(len(lists)), lists)
 
     def run(table: pa.Table) -> pa.Table:
-        ks, ws, qs, us, zs, ls, gs, at = [], [], [], [], [], [], [], 0
-        for data in table["data"].to_pylist():
-            k, i, q, u, z, last, label = unpacked(data, np.uint32, np.uint32, np.uint8, np.int64, np.int32, np.uint16, np.uint32)
-            ks.append(np.cumsum(k, dtype=np.uint32))
-            ws.append(i.astype(np.int64) + at)
-            qs.append(q)
+        band = int(of_band[table["shard"][0].as_py()])
+        shards, upto = int(lists[band]), int(edges[band + 1])
+        us, zs, es, gs = [], [], [], []
+        read = lambda data: unpacked(data.as_buffer(), np.uint32, np.uint32, np.uint8, np.int64, np.int32, np.uint16, np.uint32)
+        for data in table["data"]:
+            *_, u, z, e, label = read(data)
             us.append(np.cumsum(u))
             zs.append(z)
-            ls.append(last)
+            es.append(e.reshape(-1, PARTS))
             gs.append(label)
-            at += len(u)
+        # sets by size
         u, first, which = np.unique(np.concatenate(us), return_index=True, return_inverse=True)
-        size, ends = np.concatenate(zs)[first].astype(np.int64), np.concatenate(ls)[first]
-        label = np.concatenate(gs)[first].astype(np.int32)
-        # a set that several batches have sent counts once
-        w = np.concatenate(ws)
-        once = first[which[w]] == w
-        k, s, rest = np.concatenate(ks)[once], which[w[once]].astype(np.int32), np.concatenate(qs)[once].astype(np.int32)
-        del ks, ws, qs, us, zs, ls, gs, w, once, which
-        order = np.lexsort((s, size[s], k))  # by size in each element's list
-        k, s, rest = k[order], s[order], rest[order]
-        del order
-        z = size[s].astype(np.int32)
-        # at most so much is before the element, and behind it
-        before = (z - 1 - rest.astype(np.int64) * z // 256).astype(np.int32)
-        rest = np.minimum((rest.astype(np.int64) + 1) * z // 256 + 1, z - 1).astype(np.int32)
-        head = np.ones(len(k), dtype=bool)
-        head[1:] = k[1:] != k[:-1]
-        start = np.flatnonzero(head)
-        stop = np.append(start[1:], len(k))
-        end = np.repeat(stop, stop - start)
-        # partners of an entry: those after it in its list that aren't too large (a list is sorted by size), but for those of its own large group
-        reach = np.minimum(_last_fit(z, start, stop, t), end)
-        mine = label[s]
-        free = mine == 0
-        mixed = np.repeat(np.minimum.reduceat(np.where(free, (1 << 31) - 1, mine), start) != np.maximum.reduceat(mine, start), stop - start) if len(start) else free
-        single = np.flatnonzero(free)
-        every = free | mixed  # lists in which several large groups meet are taken whole
-        lo = np.where(every, np.arange(len(k)) + 1, np.searchsorted(single, np.arange(len(k)), "right"))
-        hi = np.where(every, reach, np.searchsorted(single, reach, "left"))
-        n = hi - lo
-        del reach, end, hi, mixed, free
-        # by the pair's first set, so that all of a pair comes at once and pairs that have too little go before others come
-        has = np.flatnonzero(n > 0)
-        has = has[np.argsort(s[has], kind="stable")]
-        of, total = s[has], np.cumsum(n[has])
-        behind = size - prefix_length(size, t)
+        size = np.concatenate(zs)[first].astype(np.int64)
+        order = np.argsort(size, kind="stable")
+        number = np.empty(len(u), dtype=np.int64)
+        number[order] = np.arange(len(u))
+        u, first, size, which = u[order], first[order], size[order], number[which]
+        ends, label = np.concatenate(es)[first], np.concatenate(gs)[first].astype(np.int32)
+        del us, zs, es, gs, order, number
+        # an entry is one number: element, set, what the set has behind it. Those that several batches have sent of a set count once
+        bits = _U(max(1, len(u).bit_length()) + 8)
+        entries, at = [], 0
+        for data in table["data"]:
+            k, i, q, sent, *_ = read(data)
+            s = which[at : at + len(sent)]
+            once = (first[s] == np.arange(at, at + len(sent)))[i]
+            at += len(sent)
+            k = np.cumsum(k, dtype=np.uint32)[once].astype(_U) >> (bits - _U(32)) if bits > 32 else np.cumsum(k, dtype=np.uint32)[once].astype(_U)
+            entries.append((k << bits) | (s[i[once]].astype(_U) << _U(8)) | q[once].astype(_U))
+        v = np.concatenate(entries)
+        del entries, which, first
+        v.sort()
+        few = _U((1 << int(bits) - 8) - 1)
+        s = ((v >> _U(8)) & few).astype(np.int32)
+        start = np.flatnonzero(np.diff(v >> bits, prepend=~_U(0)))
+        # partners of an entry: those after it in its list that aren't too large, but for those of its own large group
+        fit = np.searchsorted(size, np.floor(size / t + 1e-9), "right").astype(_U)
+        walkers = int(np.searchsorted(size, upto))  # sets that are the smaller one of a pair here
+        free = label[s] == 0
+        some = not free.all()
+        if some:
+            mine = label[s]
+            mixed = np.minimum.reduceat(np.where(free, (1 << 31) - 1, mine), start) != np.maximum.reduceat(mine, start)
+            every = free | np.repeat(mixed, np.diff(np.append(start, len(v))))  # lists in which several large groups meet are taken whole
+            single = np.flatnonzero(free).astype(np.int32 if len(v) < 1 << 31 else np.int64)
+            del mine, mixed
+        prefix = prefix_length(size, t)
+        after = np.stack([size, *(size - part_length(prefix, j) for j in range(PARTS))], axis=1)
         kept: list[tuple] = []
-        at = 0
-        while at < len(has):
-            base = total[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(total, base + 1_000_000, "right")))
-            to = int(np.searchsorted(of, of[to - 1], "right"))
-            h = has[at:to]
-            at = to
-            a = np.repeat(h, n[h])
-            b = np.arange(len(a)) - np.repeat(np.cumsum(n[h]) - n[h], n[h]) + lo[a]
-            b = np.where(every[a], b, single[np.minimum(b, max(len(single) - 1, 0))] if len(single) else b)
-            other = ((mine[a] == 0) | (mine[a] != mine[b])) & (s[a] != s[b])
-            # sets that stand too differently around a common element can't be similar
-            other &= np.minimum(before[a], before[b]) + 1 + np.minimum(rest[a], rest[b]) >= need(z[a], z[b], t)
-            a, b = a[other], b[other]
-            p, q = s[a], s[b]
-            v = (np.minimum(p, q).astype(_U) << _U(32)) | np.maximum(p, q).astype(_U)
-            key, count, least = _by_pair(v, np.ones(len(v), np.int32), np.minimum(rest[a], rest[b]))
-            a, b = (key >> _U(32)).astype(np.int64), (key & _U(0xFFFFFFFF)).astype(np.int64)
-            # behind the prefix that ends first (either, if that can't be told) its set has all that is common beyond what is counted
-            case = np.where(ends[a] < ends[b], behind[a], np.where(ends[a] > ends[b], behind[b], np.maximum(behind[a], behind[b])))
-            # a similar pair has so many common prefix elements over all shards, so in one of them at least its share of them
-            share = -(-np.maximum(need(size[a], size[b], t) - case, 1) // shards)
-            some = count >= share
-            kept.append((key[some], count[some], share[some], np.minimum(least, case)[some]))
-        del k, s, rest, z, before, lo, n, mine, single, every, has, of, total
-        key, count, share, least = (np.concatenate(x) for x in zip(*kept)) if kept else (np.zeros(0, _U), *[np.zeros(0, np.int64)] * 3)
-        order = np.argsort(key)
-        key, count, share, least = key[order], count[order], share[order], least[order]
-        a, b = (key >> _U(32)).astype(np.int64), (key & _U(0xFFFFFFFF)).astype(np.int64)
+        n_of = np.bincount(s[s < walkers], minlength=walkers)
+        ends_at = np.cumsum(n_of)
+        i0 = 0
+        while i0 < walkers:
+            # walkers with about a million entries
+            i1 = max(i0 + 1, int(np.searchsorted(ends_at, (ends_at[i0 - 1] if i0 else 0) + 1_000_000, "right")))
+            has = np.flatnonzero((s >= i0) & (s < i1))
+            i0 = i1
+            has = has[np.argsort(s[has], kind="stable")]
+            end = np.searchsorted(v, ((v[has] >> bits) << bits) + (fit[s[has]] << _U(8)), "left")
+            lo = has + 1
+            if some:
+                e = every[has]
+                lo = np.where(e, lo, np.searchsorted(single, has, "right"))
+                end = np.where(e, end, np.searchsorted(single, end, "left"))
+            n = np.maximum(end - lo, 0)
+            del end
+            # by the pair's first set, so that all of a pair comes at once and pairs that have too little go before others come
+            go = n > 0
+            has, lo, n = has[go], lo[go], n[go]
+            of, total = s[has], np.cumsum(n)
+            at = 0
+            while at < len(has):
+                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 1_000_000, "right")))
+                to = int(np.searchsorted(of, of[to - 1], "right"))
+                c = n[at:to]
+                a = np.repeat(has[at:to], c)
+                b = np.arange(len(a)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo[at:to], c)
+                at = to
+                if some:
+                    b = np.where(every[a], b, single[np.minimum(b, max(len(single) - 1, 0))] if len(single) else b)
+                x, y = s[a], s[b]
+                other = x != y
+                if some:
+                    other &= (label[x] == 0) | (label[x] != label[y])
+                za, zb = size[x], size[y]
+                ra, rb = (v[a] & _U(255)).astype(np.int64), (v[b] & _U(255)).astype(np.int64)
+                # at most so much is before the element, and behind it: sets that stand too differently around it can't be similar
+                rest = np.minimum(np.minimum((ra + 1) * za // 256 + 1, za - 1), np.minimum((rb + 1) * zb // 256 + 1, zb - 1))
+                other &= np.minimum(za - 1 - ra * za // 256, zb - 1 - rb * zb // 256) + 1 + rest >= need(za, zb, t)
+                x, y, count, least = _by_pair(x[other], y[other], rest[other])
+                za, zb = size[x], size[y]
+                share = -(-np.maximum(need(za, zb, t) - (case := _beyond(ends, after, x, y)), 1) // shards)
+                ok = count >= share
+                kept.append((x[ok].astype(np.int32), y[ok].astype(np.int32), count[ok].astype(np.uint32), share[ok].astype(np.uint32), np.minimum(least, case)[ok].astype(np.uint32)))
+        del v, s, free
+        a, b, count, share, least = (np.concatenate(x) for x in zip(*kept)) if kept else [np.zeros(0, np.int32)] * 5
+        kept.clear()
         pair = (mix(u[a].astype(_U) ^ mix(u[b].astype(_U))) % _U(pair_shards)).astype(np.int64)
         order = np.argsort(pair, kind="stable")
         cuts = np.searchsorted(pair[order], np.arange(pair_shards + 1))
@@ -277,37 +328,53 @@ def _pairs(t: float, shards: int, pair_shards: int):
             if not len(o):
                 continue
             ids, w = np.unique(np.concatenate([a[o], b[o]]), return_inverse=True)
-            x, y = w[: len(o)].astype(np.uint32), w[len(o) :].astype(np.uint32)
-            out.append((r, packed(np.diff(u[ids], prepend=0), size[ids].astype(np.int32), np.diff(x.astype(np.int32), prepend=np.int32(0)), y, count[o].astype(np.uint32), least[o].astype(np.uint32), share[o].astype(np.uint32))))
+            # by signature
+            ids_by = np.argsort(u[ids])
+            place = np.empty(len(ids), dtype=np.int64)
+            place[ids_by] = np.arange(len(ids))
+            ids, w = ids[ids_by], place[w]
+            x, y = w[: len(o)].astype(np.int32), w[len(o) :].astype(np.uint32)
+            out.append((r, packed(np.diff(u[ids], prepend=0), size[ids].astype(np.int32), np.diff(x, prepend=np.int32(0)), y, count[o], least[o], share[o], np.array([shards], np.int32))))
         return pa.table({"shard": pa.array([r for r, _ in out], pa.int32()), "data": pa.array([d for _, d in out], pa.binary())})
 
     return trimmed(run)
 
 
-def _by_pair(key: np.ndarray, count: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of the counts and minima of the rests by key."""
-    order = np.argsort(key)
-    key, count, least = key[order], count[order], least[order]
-    head = np.ones(len(key), dtype=bool)
-    head[1:] = key[1:] != key[:-1]
-    start = np.flatnonzero(head)
-    return (key[start], np.add.reduceat(count, start), np.minimum.reduceat(least, start)) if len(start) else (key, count, least)
-
-
-def _last_fit(z: np.ndarray, start: np.ndarray, stop: np.ndarray, t: float) -> np.ndarray:
-    """For each entry of lists sorted by size, the first place after it whose size is over its own / t (not bounded by the list's end)."""
-    group = np.repeat(np.arange(len(start)), stop - start).astype(np.float64)
-    wide = float(z.max() + 1) * 2 / t if len(z) else 1.0
-    return np.searchsorted(group * wide + z, group * wide + np.floor(z / t + 1e-9), "right")
-
-
-def _enough(t: float, shards: int):
+def _by_pair(a: np.ndarray, b: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair, how often it comes, and the least of its rests (or a little more, if sets are huge)."""
+    if not len(a):
+        return a, b, np.zeros(0, np.int64), rest
+    low = int(a.min())
+    left, right = (int(a.max()) - low).bit_length(), int(b.max()).bit_length()
+    coarse = _U(max(0, int(rest.max()).bit_length() + left + right - 64))
+    width = _U(64 - left - right)
+    v = ((((a - low).astype(_U) << _U(right)) | b.astype(_U)) << width) | (rest.astype(_U) >> coarse) if left + right else rest.astype(_U)
+    v.sort()
+    pair = v >> width if left + right else np.zeros(len(v), _U)
+    start = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+    count = np.diff(np.append(start, len(v)))
+    pair, least = pair[start], (v[start] & ((_U(1) << width) - _U(1)) if left + right else v[start])
+    least = ((least + _U(1)) << coarse) - _U(1)
+    return (pair >> _U(right)).astype(np.int64) + low, (pair & _U((1 << right) - 1)).astype(np.int64), count, least.astype(np.int64)
+
+
+def _beyond(ends: np.ndarray, after: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """At most so many common elements aren't in both prefixes: those beyond the end of the prefix that ends first, of which neither set has more than it has there. after: of each
+    set, its elements behind each part of its prefix, and before them all."""
+    ea, eb = ends[a], ends[b]
+    # the parts of y that end before the prefix of x does
+    ab = np.minimum(after[a, -1], after[b, (eb < ea[:, -1:]).sum(1)])
+    ba = np.minimum(after[b, -1], after[a, (ea < eb[:, -1:]).sum(1)])
+    return np.where(ea[:, -1] < eb[:, -1], ab, np.where(ea[:, -1] > eb[:, -1], ba, np.maximum(ab, ba)))
+
+
+def _enough(t: float):
     """Of one shard of pairs: those whose common prefix elements leave them able to be similar enough. Shards that didn't report a pair have less than its share."""
 
     def run(table: pa.Table) -> pa.Table:
-        A, B, C, R, S, Z = [], [], [], [], [], []
+        A, B, C, R, S, Z, L = [], [], [], [], [], [], []
         for data in table["data"].to_pylist():
-            u, z, x, y, c, r, share = unpacked(data, np.int64, np.int32, np.int32, np.uint32, np.uint32, np.uint32, np.uint32)
+            u, z, x, y, c, r, share, shards = unpacked(data, np.int64, np.int32, np.int32, np.uint32, np.uint32, np.uint32, np.uint32, np.int32)
             u, x = np.cumsum(u), np.cumsum(x)
             A.append(u[x])
             B.append(u[y])
@@ -315,16 +382,17 @@ def _enough(t: float, shards: int):
             R.append(r)
             S.append(share.astype(np.int64))
             Z.append(np.stack([z[x], z[y]]))
+            L.append(np.full(len(x), shards[0], dtype=np.int64))
         a, b, c, r, z = np.concatenate(A), np.concatenate(B), np.concatenate(C).astype(np.int64), np.concatenate(R).astype(np.int64), np.concatenate(Z, axis=1).astype(np.int64)
         order = np.lexsort((b, a))
         a, b, c, r, z = a[order], b[order], c[order], r[order], z[:, order]
-        share = np.concatenate(S)[order]
+        share, shards = np.concatenate(S)[order], np.concatenate(L)[order]
         head = np.ones(len(a), dtype=bool)
         head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         start = np.flatnonzero(head)
         # the last common element of the prefixes leaves the least behind it
         c, r, za, zb = np.add.reduceat(c, start), np.minimum.reduceat(r, start), z[0][start], z[1][start]
-        silent = shards - np.diff(np.append(start, len(a)))
+        silent = shards[start] - np.diff(np.append(start, len(a)))
         ok = c + silent * (share[start] - 1) + r >= need(za, zb, t)
         return pa.table({"a": a[start][ok], "b": b[start][ok]})
 
@@ -532,8 +600,9 @@ def groups(docs: DataFrame, n: int = N, t: float = THRESHOLD, hot: int = HOT, ho
 
     1. one pass gives each set's signature (equal sets are one from here on) and the n-grams that many texts have, which come last in the global order;
     2. texts that share a min-hash with many others are compared with a few of them, which finds most of each large group without its square of pairs;
-    3. each set sends its prefix in that order, packed, to the elements' shards, where lists of one element give pairs (but for those
-       that a large group already links), with length bounds; common prefix elements are added up over the shards, and pairs that can't reach t any more go;
+    3. each set sends its prefix in that order, packed, to the elements' shards of its band of sizes and of the band below, where lists of one element give pairs (but for those
+       that a large group already links), with length bounds; pairs with less than a shard's share of what they need go at once, so each band has few shards;
+       common prefix elements are added up over the shards, and pairs that can't reach t any more go;
     4. sets of a candidate component meet (in blocks, if they are many) and are joined by a prefix tree (see `trie_join`);
     5. links inside a large group are counted there block by block, as all of its pairs are looked at and a tree would prune little.
 
@@ -560,11 +629,15 @@ def groups(docs: DataFrame, n: int = N, t: float = THRESHOLD, hot: int = HOT, ho
     label = np.unique(known["root"].to_numpy(dtype=np.int64), return_inverse=True)[1] + 1
     labels = spark.sparkContext.broadcast((known["node"].to_numpy(dtype=np.int64), label))
 
-    # so many shards that each has about `shard` elements, however the session shuffles: fewer would not fit, more would split what a pair has in common
-    elements = scan.where("sig is not null").groupBy("sig").agg(F.first("z").alias("z")).agg(F.sum(F.expr(f"z - ceil({t} * z) + 1"))).first()[0] or 0
-    lists = max(1, -(-int(elements) // shard))
-    pairs = _prefixes(docs, n, t, ranks, labels, lists).repartition(lists, "shard").groupBy("shard").applyInArrow(_pairs(t, lists, max(lists, shards)), "shard int, data binary")
-    cand = written(pairs.groupBy("shard").applyInArrow(_enough(t, lists), "a bigint, b bigint"), "pairs")
+    # bands of sizes whose sets meet only within them and with the next, and their shards: fewer would not fit, more would split what a pair has in common
+    per = scan.where("sig is not null").groupBy("sig").agg(F.first("z").alias("z")).groupBy("z").count().toPandas().astype("int64")
+    z, many = per["z"].to_numpy(), per["count"].to_numpy()
+    edges = bands(t, int(z.max(initial=0)))
+    elements = np.bincount(np.searchsorted(edges, z, "right") - 1, weights=prefix_length(z, t) * many, minlength=len(edges) - 1).astype(np.int64)
+    lists = lists_of(edges, elements, shard)
+    count = max(1, int(lists.sum()))
+    pairs = _prefixes(docs, n, t, ranks, labels, edges, lists).repartition(count, "shard").groupBy("shard").applyInArrow(_pairs(t, edges, lists, shards), "shard int, data binary")
+    cand = written(pairs.groupBy("shard").applyInArrow(_enough(t), "a bigint, b bigint"), "pairs")
     found = written(_similar(docs, sig, cand, n, t, ranks, shards, block, links, crowds if links else None), "found")
     near = found.where("b is not null").select("a", "b")
     root = components(first.union(near), "groups")

@@ -285,6 +285,52 @@ def test_jaccard_groups_are_exact(spark, odd, docs, n, t, large, shard, block):
     assert len(want) > 20 and max(links for *_, links in want) > 10
 
 
+def test_more_texts_dont_make_more_shards_than_a_pair_needs():
+    edges = jaccard_join.bands(0.6, 10_000)
+    for a in range(1, 3000):  # the largest set that may be similar to a is in its band or the next
+        assert np.diff(np.searchsorted(edges, (a, int(a / 0.6 + 1e-9)), "right"))[0] <= 1
+    lists = jaccard_join.lists_of(edges, np.full(len(edges) - 1, 4_000_000), 100_000)
+    of = np.searchsorted(edges, 440, "right") - 1
+    assert lists[of] == -(-8_000_000 // 400_000) and jaccard_join.lists_of(edges, np.full(len(edges) - 1, 400_000), 100_000)[of] == 8
+    assert (jaccard_join.lists_of(edges, np.zeros(len(edges) - 1, np.int64), 1) == 0).all()
+
+
+def test_unlike_texts_with_common_words_arent_sent_as_pairs():
+    """Sets of 400 of 20,000 elements share a few with nearly all others; hardly a pair must leave its shard, and the similar ones must."""
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in r.integers(0, 20_000, 420)) for _ in range(300)]
+    texts += [x.replace(" w1", " v1", 20) for x in texts[:20]]
+
+    class Frame:
+        def select(self, *a):
+            return self
+
+        where = select
+
+        def mapInArrow(self, run, schema):
+            return list(run([pa.record_batch([pa.array(texts)], names=["text"])]))
+
+    told = lambda x: type("Told", (), {"value": x})
+    sets = [g[b[k] : b[k + 1]] for _, g, b in jaccard_join.ordered_sets(pa.array(texts), 1, jaccard_join.NO_HOT) for k in range(len(b) - 1)]
+    z = np.array([len(s) for s in sets])
+    edges = jaccard_join.bands(0.6, int(z.max()))
+    elements = np.bincount(np.searchsorted(edges, z, "right") - 1, weights=jaccard_join.prefix_length(z, 0.6), minlength=len(edges) - 1).astype(np.int64)
+    lists = jaccard_join.lists_of(edges, elements, 500)
+    sent: dict[int, list] = {}
+    for batch in jaccard_join._prefixes(Frame(), 1, 0.6, told(jaccard_join.NO_HOT), told((np.zeros(0, np.int64), np.zeros(0, np.int64))), edges, lists):
+        for row in batch.to_pylist():
+            sent.setdefault(row["shard"], []).append(row["data"])
+    run = jaccard_join._pairs(0.6, edges, lists, 1)
+    out = [run(pa.table({"shard": pa.array([q] * len(d), pa.int32()), "data": pa.array(d, pa.binary())})) for q, d in sent.items()]
+    out = [x for x in out if len(x)]
+    n = sum(len(jaccard_join.unpacked(d, *[np.int64, np.int32, np.int32, np.uint32, np.uint32, np.uint32, np.uint32, np.int32])[2]) for x in out for d in x["data"].to_pylist())
+    found = jaccard_join._enough(0.6)(pa.concat_tables(out)).to_pydict()
+    sig = [v for _, g, b in jaccard_join.ordered_sets(pa.array(texts), 1, jaccard_join.NO_HOT) for v in jaccard_join.signatures(g, b).tolist()]
+    want = {frozenset((sig[i], sig[j])) for i, j, _ in jaccard_join.trie_join(sets, 0.6)}
+    assert len(want) >= 20 and want <= {frozenset(p) for p in zip(found["a"], found["b"])}
+    assert n < len(texts) ** 2 / 2 / 20
+
+
 def test_one_of_each_group_stays(spark, odd, empty):
     want = brute_groups([(r["doc_id"], r["text"]) for r in odd.collect()], 2, 0.6)
     kept = jaccard_join.keep_one(odd)
