@@ -79,14 +79,9 @@ def rough_vectors(doc: np.ndarray, bucket: np.ndarray, count: np.ndarray, n: int
     out = np.zeros((n, ROUGH), dtype=np.float32)
     weight = np.log1p(count).astype(np.float32) * idf[bucket]
     head = np.flatnonzero(np.diff(doc, prepend=-1))
-    at = 0
-    while at < len(head):
-        # some texts at a time, as a row of each of their buckets is laid out
-        to = max(at + 1, int(np.searchsorted(head, head[at] + 40_000)) - 1) if at + 1 < len(head) else len(head)
-        end = head[to] if to < len(head) else len(doc)
-        part = slice(head[at], end)
-        out[doc[head[at:to]]] = np.add.reduceat(signs()[bucket[part]] * weight[part, None], head[at:to] - head[at], axis=0)
-        at = to
+    # text by text: the rows of one text's buckets stay in the cache, where those of many would be written to memory and read again
+    for k, i, j in zip(doc[head].tolist(), head.tolist(), [*head[1:].tolist(), len(doc)]):
+        np.dot(weight[i:j], signs().take(bucket[i:j], axis=0), out=out[k])
     length = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, length, out=out, where=length > 0)
 

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -413,6 +414,28 @@ def test_text_vectors_are_weighted_words():
     assert len(set(node[:-1].tolist())) == len({tuple(sorted(t.split())) for t in texts[:-1]})
 
 
+def test_text_vectors_cost_about_as_much_as_their_words(spark):
+    """CPU seconds in a worker, against those of cutting the same texts into words and counting these: half as many when written, 6 times with rows laid out for many texts."""
+    r = np.random.default_rng(6)
+    b, o = packing.utf8(pa.array([" ".join(f"w{x}" for x in r.integers(0, 50_000, 400)) for _ in range(500)]))
+
+    def run(batches):
+        for _ in batches:
+            idf = np.ones(packing.BUCKETS, dtype=np.float32)
+            packing.rough_vectors(*packing.word_weights(b, o)[2:], len(o) - 1, idf)  # makes the signs and powers
+            took = []
+            for _ in range(3):
+                t = time.process_time()
+                weights = packing.word_weights(b, o)[2:]
+                u = time.process_time()
+                packing.rough_vectors(*weights, len(o) - 1, idf)
+                took.append((u - t, time.process_time() - u))
+            yield pa.RecordBatch.from_arrays([pa.array([min(x)]) for x in zip(*took)], names=["words", "vectors"])
+
+    got = spark.range(1).coalesce(1).mapInArrow(run, "words double, vectors double").first()
+    assert got["vectors"] < 2.5 * got["words"], got
+
+
 def test_nearest_reaches_its_recall(spark):
     """Against brute force, with a third of the vectors crowded together."""
     r = np.random.default_rng(4)
