@@ -45,6 +45,12 @@ def _run(page: str | None, url: str | None, names: tuple[str, ...], first_only:
     return out | {"failure": failure}
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows from which pages are made, by key over all tasks: a small file is read by a single task, however much work its rows are for the extractors. Costs a shuffle of these rows, so it comes before the pages are put together."""
+    s = rows.sparkSession
+    return rows.repartition(max(int(s.conf.get("spark.sql.shuffle.partitions")), s.sparkContext.defaultParallelism), key)
+
+
 def fields(names: tuple[str, ...] = EXTRACTORS, first_only: bool = True, strict: bool = False):
     """An Arrow UDF (html, url) that parses a page once and gives what the extractors read, in order, up to the first that succeeds; `failure` if one broke and none succeeded."""
     schema = T.StructType([*(T.StructField(n, FIELDS) for n in names), T.StructField("failure", T.StringType())])

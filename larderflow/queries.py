@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions.duration import duration_clean, duration_phrase
 from .functions.hosts import in_domains, url_host
 from .functions.text import assemble, base64_text, clean_diet, components_text, entry_value, frontmatter_split, full_text, metadata_yaml, sanitize_name, text_components
-from .operators.extract import body_text, decoded, heading, jsonld_scripts, with_recipes
+from .operators.extract import body_text, decoded, heading, jsonld_scripts, spread, with_recipes
 from .operators.model_calls import PROMPT, STOP_WORDS, UNKNOWN_LANGUAGE, detect_language, extraction_components, prompt, provider
 from .plans.config import Settings, chain
 from .plans.importer import frontmatter, images_to_recipes, pages_to_recipes, texts_to_recipes
@@ -261,7 +261,7 @@ def html_class_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.concat(F.lit('<h1 class="wprm-recipe-name x">'), "c_name", F.lit('</h1><span class="wprm-recipe-servings">'), F.col("c_custkey") % 9, F.lit('</span><section class="wprm-recipe-ingredients-container x"><ol><li>one of '), "c_mktsegment", F.lit('</li><li>two cups</li></ol></section><div class="wprm-recipe-instruction-group"><h4 class="wprm-recipe-group-name">Part '), "c_custkey", F.lit(":</h4><ul><li>Stir and wait.</li></ul></div>"))
     b = F.concat(F.lit('<h1 class="recipe-title">'), "c_name", F.lit('</h1><b class="recipe-servings">'), F.col("c_custkey") % 9, F.lit('</b><div class="recipe-ingredients"><p>one of '), "c_mktsegment", F.lit('</p><p>two cups</p><p>few</p></div><div class="directions"><span>Stir and wait.</span></div>'))
     h = F.when(F.col("c_custkey") % 2 == 0, a).otherwise(b)
-    d = table(spark, sf_dir, "customer").select("c_custkey", F.lit("u").alias("url"), h.alias("html"))
+    d = spread(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", F.lit("u").alias("url"), h.alias("html"))
     # a paragraph of three letters is too short for an item
     return _parts(d, "c_custkey")
 
