@@ -437,7 +437,7 @@ def broken_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.when(k == 1, F.repeat(F.lit("<b>"), 3000)).otherwise(""), F.col("s_name"), F.when(k == 0, "\\ud83d").otherwise(""))
     p = page(F.concat(F.lit('{"@type":"Recipe","name":"'), name, F.lit('"}')))
     h = F.when(k == 2, F.concat(F.lit("<![if x]><![foo[x]]>"), p)).when(k == 3, F.concat(p, F.lit('<!-- <![ <a b="'))).when(k == 0, F.regexp_replace(p, "<h1>.*</h1>", "")).otherwise(p)
-    d = pages_to_recipes(table(spark, sf_dir, "supplier").select("s_suppkey", F.lit("u").alias("url"), h.alias("html")))
+    d = pages_to_recipes(spread(table(spark, sf_dir, "supplier"), "s_suppkey").select("s_suppkey", F.lit("u").alias("url"), h.alias("html")))
     return d.select("s_suppkey", F.col("components.name").alias("name"), F.col("error.kind").alias("error"))
 
 

@@ -1,6 +1,7 @@
 """Work that must not grow faster than the input: where rows are spread, and what is done once for a page."""
 
 import os
+import random
 
 import pytest
 
@@ -9,7 +10,7 @@ from larderflow.operators import dom, extract, html_class
 
 SF = "/root/testdata/sf0.001"
 #: Queries that make pages of a small table's rows, which is one file with one row group, so one task.
-SPREAD = "html_class_recipe"
+SPREAD = "html_class_recipe broken_pages"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -32,3 +33,38 @@ def test_classes_take_one_walk(monkeypatch):
     monkeypatch.setattr(dom.Node, "nodes", lambda n: (walks.append(n), nodes(n))[1])
     assert html_class.extract(root, "u")["ingredients"] == ["two cups"]
     assert sum(n is root for n in walks) <= 2  # the classes, and the heading
+
+
+def _tree(n: dom.Node):
+    return n.tag, n.attrs, [_tree(c) if isinstance(c, dom.Node) else c for c in n.children]
+
+
+def test_nested_tags_need_no_whole_parser(monkeypatch):
+    def no(*_):
+        raise AssertionError("the whole parser")
+
+    monkeypatch.setattr(dom._Builder, "feed", no)
+    assert dom.decode("<b>" * 3000 + "x") == "x"
+
+
+PIECES = ["<p>", "</p>", "<DIV class=\"a b\">", "</div>", "<li>", "<ul>", "</ul>", "<td>", "<table>", "</table>", "<b>", "</b>", "x &amp;amp", " y ", "<br/>", "<script>", "</script>", '<script type="application/ld+json">', "</SCRIPT>", "</script >", "<style>", "</style>", "<title>", "</title>", "<textarea>", "<!-- a -->", "<!--", "-->", "<!DOCTYPE html>", "<![CDATA[", "<", '<a href="x&amp;y">', "<a b='c'>", '<a itemscope id="">', "<p/>", "<script/>", "</p a>", '<a b = "c">', "<svg>", "\x00", '<a b="c"d="e">']
+
+
+def test_plain_pages_have_the_parsers_tree():
+    r, plain = random.Random(5), 0
+    for _ in range(6000):
+        page = "".join(r.choice(PIECES) for _ in range(r.randint(1, 9)))
+        whole = dom._whole_tree(page)
+        own = ["".join(n.texts()) for n in whole.all(lambda n: n.tag == "script" and n.attrs.get("type") == "application/ld+json")]
+        found = []
+        try:
+            found += dom.scripts(page, "application/ld+json")
+            assert found == own
+        except dom.Unclear:
+            pass
+        try:
+            assert _tree(dom._plain_tree(page)) == _tree(whole)
+            plain += 1
+        except dom.Unclear:
+            pass
+    assert plain > 300
