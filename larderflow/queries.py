@@ -427,7 +427,7 @@ def html_class_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('<h2> Dish </h2><div class="page heading-big">'), title, F.lit('</div><p class="big-intro">of '), "c_mktsegment", F.lit("</p>"), F.when(k == 1, '<i class="mv-create-time-prep">5 min</i>').otherwise(""), F.lit('<div class="'), family,
         F.lit('-ingredients"><ul><li>one of '), F.col("c_custkey").cast("string"), F.lit('</li></ul></div><div class="'), family, F.lit('-instructions"><ol><li>Stir.</li></ol></div>'),
     )
-    return _parts(table(spark, sf_dir, "customer").select("c_custkey", F.lit("u").alias("url"), h.alias("html")), "c_custkey")
+    return _parts(spread(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", F.lit("u").alias("url"), h.alias("html")), "c_custkey")
 
 
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 > 0 THEN s_name END AS name, CASE s_suppkey % 4 WHEN 0 THEN 'no_extractor' END AS error FROM supplier")
