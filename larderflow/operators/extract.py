@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,24 +20,49 @@ EXTRACTORS = ("jsonld", "microdata", "html_class")
 _ENTRIES = "array<struct<k:string,v:string>>"
 
 
+class _Unreadable(Exception):
+    """Neither the parser nor, for that, an extractor can do anything with the page."""
+
+
+class _Page:
+    """A page, and its tree once somebody asks for it."""
+
+    def __init__(self, page: str):
+        self.page = page
+
+    @cached_property
+    def root(self) -> dom.Node:
+        try:
+            return dom.parse(self.page)
+        except Exception as e:  # noqa: BLE001
+            raise _Unreadable(f"{type(e).__name__}: {e}") from e
+
+    def jsonld(self, url: str, strict: bool) -> dict | None:
+        """Most pages' scripts are found without a tree."""
+        if "ld+json" not in self.page:
+            return None
+        try:
+            return jsonld.of_scripts(dom.scripts(self.page, jsonld.SCRIPT), url, strict)
+        except dom.Unclear:
+            return jsonld.extract(self.root, url, strict)
+
+
 def _run(page: str | None, url: str | None, names: tuple[str, ...], first_only: bool, strict: bool) -> dict:
     """What each extractor reads, and under `failure` why one couldn't: a page that can't be read is its own row's error, never the job's."""
     out: dict = {}
     if page is None:
         return out
-    failure = None
-    try:
-        root = dom.parse(page)
-    except Exception as e:  # noqa: BLE001
-        return {"failure": f"{type(e).__name__}: {e}"}
+    failure, p = None, _Page(page)
     for n in names:
         try:
             if n == "jsonld":
-                got = jsonld.extract(root, url or "", strict) if "ld+json" in page else None
+                got = p.jsonld(url or "", strict)
             elif n == "microdata":
-                got = microdata.extract(root, url or "") if "itemscope" in page.lower() else None
+                got = microdata.extract(p.root, url or "") if "itemscope" in page.lower() else None
             else:
-                got = html_class.extract(root, url or "")
+                got = html_class.extract(p.root, url or "")
+        except _Unreadable as e:
+            return {"failure": str(e)}
         except Exception as e:  # noqa: BLE001
             got, failure = None, failure or f"{n}: {type(e).__name__}: {e}"
         out[n] = got

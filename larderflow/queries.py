@@ -274,7 +274,7 @@ def extractor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     ld = page(F.concat(F.lit('{"@type":"Recipe","name":"a"}</script><div itemtype="http://schema.org/Recipe" itemscope><script>')))
     md = F.lit('<div itemtype="http://data-vocabulary.org/Recipe" itemscope><b itemprop="name"></b><b itemprop="instructions">x</b></div><h1>t</h1>')
     hc = F.lit('<div itemtype="http://schema.org/Recipe" itemscope><b itemprop="name">no parts</b></div><h2>t</h2><div class="recipe-directions"><li>x</li></div>')
-    made = table(spark, sf_dir, "part").select(F.lit("u").alias("url"), F.when(k == 0, ld).when(k == 1, md).otherwise(hc).alias("html"))
+    made = spread(table(spark, sf_dir, "part"), "p_partkey").select(F.lit("u").alias("url"), F.when(k == 0, ld).when(k == 1, md).otherwise(hc).alias("html"))
     d = with_recipes(made.unionByName(table(spark, sf_dir, "pages").select("url", "html")))
     return d.groupBy(F.coalesce("extractor", F.lit("none")).alias("extractor")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -10,7 +10,7 @@ from larderflow.operators import dom, extract, html_class
 
 SF = "/root/testdata/sf0.001"
 #: Queries that make pages of a small table's rows, which is one file with one row group, so one task.
-SPREAD = "html_class_recipe broken_pages html_class_fuzzy"
+SPREAD = "html_class_recipe broken_pages html_class_fuzzy extractor_chain"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -68,3 +68,28 @@ def test_plain_pages_have_the_parsers_tree():
         except dom.Unclear:
             pass
     assert plain > 300
+
+
+PAGE = '<!DOCTYPE html><html><head><title>x</title>%s</head><body><h1 class="a">t</h1></body></html>'
+RECIPE = '<script type="application/ld+json">{"@type":"Recipe","name":"n"}</script>'
+
+
+def test_jsonld_needs_no_tree(monkeypatch):
+    monkeypatch.delattr(dom, "parse")
+    assert extract._run(PAGE % RECIPE, "u", extract.EXTRACTORS, True, False)["jsonld"]["name"] == "n"
+
+
+def test_scripts_that_need_a_tree():
+    for before in ("<a b='c'>", "<textarea>" + RECIPE.replace("n\"}", "no\"}") + "</textarea>", "<script>{</script ><!-- -- -->"):
+        whole = dom._whole_tree(PAGE % (before + RECIPE))
+        from larderflow.operators import jsonld
+
+        assert extract._run(PAGE % (before + RECIPE), "u", ("jsonld",), True, False)["jsonld"] == jsonld.extract(whole, "u")
+
+
+def test_unreadable_page_is_a_failure(monkeypatch):
+    def broken(_):
+        raise ValueError("bad")
+
+    monkeypatch.setattr(dom, "parse", broken)
+    assert extract._run("<p>", "u", extract.EXTRACTORS, True, False) == {"failure": "ValueError: bad"}
