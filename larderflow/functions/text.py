@@ -53,7 +53,7 @@ def components_text(ingredients: Column, instructions: Column) -> Column:
     """A line for each ingredient, a blank line if both parts are there, and the instructions without leading white space."""
     lines = F.coalesce(F.array_join(F.transform(ingredients, lambda i: F.concat(trim_space(i), F.lit("\n"))), ""), F.lit(""))
     rest = trim_start(F.coalesce(instructions, F.lit("")))
-    return F.concat(lines, F.when((lines != "") & (F.coalesce(instructions, F.lit("")) != ""), "\n").otherwise(""), rest)
+    return F.concat(lines, F.when(F.exists(ingredients, lambda i: i.isNotNull()) & (F.coalesce(instructions, F.lit("")) != ""), "\n").otherwise(""), rest)
 
 
 # --- YAML ----------------------------------------------------------------------------------------------------------
@@ -61,6 +61,8 @@ def components_text(ingredients: Column, instructions: Column) -> Column:
 #: Plain scalars that another reader would take for something else than a string.
 _TYPED = r"(?i)^(~|null|true|false|yes|no|on|off|y|n|[-+]?(0x[0-9a-f_]+|0o[0-7]+|[0-9][0-9_]*)|[-+]?(\.[0-9]+|[0-9][0-9_]*(\.[0-9_]*)?)(e[-+]?[0-9]+)?|[-+]?\.inf|\.nan|[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}.*|[-+]?[0-9]+(:[0-5]?[0-9])+(\.[0-9]*)?|=|<<)$"
 _SPECIAL = r"""^[-?:](\s|$)|^[,\[\]{}#&*!|>'"%@`]|^---|^\.\.\.|: |:$| #|^\s|\s$|\t"""
+#: Most keys and values: begin with a letter, have six signs at least (so aren't `_TYPED`) and none that is special where it stands. One look instead of three.
+_PLAIN = r"^(?=.{6})[A-Za-z][A-Za-z0-9_ .,/()-]*+(?::[A-Za-z0-9/][A-Za-z0-9_ .,/()-]*+)*+(?<=[A-Za-z0-9_./)])\z"
 _CONTROL = r"[\x00-\x08\x0B-\x1F\x7F]"
 
 
@@ -72,7 +74,8 @@ def yaml_scalar(x: Column) -> Column:
     body = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "\n$", ""), "(?m)^", "  "), "(?m)^  $", "")
     block = F.concat(F.lit("|"), indent, strip, F.lit("\n"), body)
     return (
-        F.when(x == "", "''")
+        F.when(F.rlike(x, F.lit(_PLAIN)), x)
+        .when(x == "", "''")
         .when(F.rlike(x, F.lit(_CONTROL)), F.to_json(F.array(x)).substr(F.lit(2), F.length(F.to_json(F.array(x))) - 2))
         .when(F.contains(x, F.lit("\n")), block)
         .when(F.rlike(x, F.lit(_TYPED)) | F.rlike(x, F.lit(_SPECIAL)), quoted)

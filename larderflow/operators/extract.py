@@ -7,9 +7,11 @@ from collections.abc import Iterator
 from functools import cached_property
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.duration import duration_phrase
 from ..functions.text import clean_diet, components_text, metadata_yaml, sanitize_name
@@ -78,14 +80,14 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
 
 
 def fields(names: tuple[str, ...] = EXTRACTORS, first_only: bool = True, strict: bool = False):
-    """An Arrow UDF (html, url) that parses a page once and gives what the extractors read, in order, up to the first that succeeds; `failure` if one broke and none succeeded."""
+    """An Arrow UDF (html, url) that reads a page once and gives what the extractors read, in order, up to the first that succeeds; `failure` if one broke and none succeeded."""
     schema = T.StructType([*(T.StructField(n, FIELDS) for n in names), T.StructField("failure", T.StringType())])
+    kind = to_arrow_type(schema)
 
-    @F.pandas_udf(schema)
-    def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(schema)
+    def read(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for pages, urls in batches:
-            rows = [_run(p, u, names, first_only, strict) for p, u in zip(pages, urls)]
-            yield pd.DataFrame({n: [r.get(n) for r in rows] for n in (*names, "failure")}, columns=[*names, "failure"])
+            yield pa.array([_run(p, u, names, first_only, strict) for p, u in zip(pages.to_pylist(), urls.to_pylist())], kind)
 
     return read
 

@@ -4,8 +4,10 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from larderflow import queries
+from larderflow.functions import text
 from larderflow.operators import dom, extract, html_class
 
 SF = "/root/testdata/sf0.001"
@@ -93,3 +95,20 @@ def test_unreadable_page_is_a_failure(monkeypatch):
 
     monkeypatch.setattr(dom, "parse", broken)
     assert extract._run("<p>", "u", extract.EXTRACTORS, True, False) == {"failure": "ValueError: bad"}
+
+
+def test_fields_are_made_in_arrow():
+    from pyspark.util import PythonEvalType
+
+    assert extract.fields().evalType == PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF
+
+
+def test_plain_scalars_take_one_look(spark):
+    """What the short test lets through, none of the three long ones would have caught."""
+    r = random.Random(3)
+    signs = [*"abYN01 .,:/()-_#'\"\n\t\r\x85é&=~", "true", "null", ": ", " #", "http://"]
+    rows = [("".join(r.choice(signs) for _ in range(r.randint(0, 9))),) for _ in range(5000)] + [(x,) for x in ("Order 12", "http://x.org/a b", "yes", "abcdef:", "abcdef ", "abcdef\n", "abcdef: x")]
+    v, rlike = F.col("v"), lambda p: F.rlike("v", F.lit(p))
+    d = spark.createDataFrame(rows, "v string").where(rlike(text._PLAIN))
+    assert d.count() > 20 and {"Order 12", "http://x.org/a b"} <= {x[0] for x in d.collect()}
+    assert d.where(rlike(text._CONTROL) | rlike(text._TYPED) | rlike(text._SPECIAL) | F.contains(v, F.lit("\n")) | (v == "")).count() == 0
