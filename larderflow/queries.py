@@ -173,7 +173,7 @@ def jsonld_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 2, F.concat(F.lit('{"@graph":['), other, F.lit(","), node(F.lit("recipe")), F.lit("]}")))
         .when(k == 3, node(F.array(F.lit("NewsArticle"), F.lit("RECIPE")))).otherwise(node(F.lit("RecipeList")))
     )
-    d = table(spark, sf_dir, "part").select("p_partkey", F.lit("u").alias("url"), page(s).alias("html"))
+    d = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.lit("u").alias("url"), page(s).alias("html"))
     return _parts(d, "p_partkey").select("p_partkey", "extractor", "name")
 
 
@@ -201,7 +201,7 @@ def jsonld_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey") % 4
     bad = F.when(k == 0, '"recipeYield":[]').when(k == 1, '"recipeYield":["4",4]').when(k == 2, '"nutrition":{"calories":12}').otherwise('"recipeIngredient":["a",null]')
     s = F.concat(F.lit('{"@type":"Recipe","name":"'), "s_name", F.lit('",'), bad, F.lit("}"))
-    d = table(spark, sf_dir, "supplier").select("s_suppkey", F.lit("u").alias("url"), page(s).alias("html"))
+    d = spread(table(spark, sf_dir, "supplier"), "s_suppkey").select("s_suppkey", F.lit("u").alias("url"), page(s).alias("html"))
     return pages_to_recipes(d).select("s_suppkey", F.col("components").isNotNull().alias("found"))
 
 
@@ -212,7 +212,7 @@ def jsonld_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.concat(F.lit('{"@type":"Recipe"'), F.when(k == 0, " ").when(k == 1, ",,").otherwise(", "), F.lit('"name":"'), "s_name", F.lit('"'))
     rest = F.concat(F.when(k == 0, "\n").otherwise(","), F.lit('"recipeIngredient":["x '), "s_suppkey", F.when(k == 0, '" "y"]').when(k == 1, '","y",]').otherwise('","y"]'), F.lit("}"))
     two = F.concat(F.lit('<script type="application/ld+json">{broken</script>'), page(F.concat(head, rest)))
-    d = table(spark, sf_dir, "supplier").select("s_suppkey", F.lit("u").alias("url"), two.alias("html"))
+    d = spread(table(spark, sf_dir, "supplier"), "s_suppkey").select("s_suppkey", F.lit("u").alias("url"), two.alias("html"))
     return _parts(d, "s_suppkey").select("s_suppkey", "name", "text")
 
 
@@ -251,7 +251,7 @@ def microdata_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_nationkey").cast("string"), F.lit('</span> and others<p><time itemprop="prepTime" datetime="PT5M">'), F.col("s_suppkey") % 50, F.lit(' min</time><ul><li itemprop="recipeIngredient">salt '), "s_suppkey",
         F.lit('<li itemprop="recipeIngredient">water</ul><p itemprop="recipeInstructions">Boil.<p itemprop="recipeInstructions">Serve '), "s_suppkey", F.lit(".</div></body>"),
     )
-    return _parts(table(spark, sf_dir, "supplier").select("s_suppkey", F.lit("u").alias("url"), h.alias("html")), "s_suppkey")
+    return _parts(spread(table(spark, sf_dir, "supplier"), "s_suppkey").select("s_suppkey", F.lit("u").alias("url"), h.alias("html")), "s_suppkey")
 
 
 @query("""SELECT c_custkey, 'html_class' AS extractor, c_name AS name, 'servings: ''' || (c_custkey % 9) || '''' || chr(10) || 'source_url: u' || chr(10) AS metadata, 'one of ' || c_mktsegment || chr(10) || 'two cups' || chr(10) || chr(10)
