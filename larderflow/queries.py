@@ -131,7 +131,7 @@ def page_body_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H5-H8: double entities, blocks, inline elements and punctuation."""
     t = F.concat(F.lit("<p>"), "p_name", F.lit("</p><ul><li> size <b>"), F.col("p_size").cast("string"), F.lit("</b> &amp;amp; more</li></ul><br><i>"), "p_brand", F.lit("</i>, "), "p_type")
-    return table(spark, sf_dir, "part").select("p_partkey", decoded(t).alias("text"), decoded(F.col("p_name")).alias("plain"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", decoded(t).alias("text"), decoded(F.col("p_name")).alias("plain"))
 
 
 def page(script: F.Column) -> F.Column:
@@ -401,7 +401,7 @@ def jsonld_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 6, '"keywords":"x, y","recipeCuisine":["It","Fr"],"recipeCategory":""').otherwise(F.concat(lit('"recipeIngredient":[{"name":"salt","amount":" '), size, lit(' g "},{"name":" "}]')))
     )
     s = F.concat(lit('{"@type":"Recipe",'), F.when(k == 7, '"headline":"').otherwise('"name":"'), "p_name", lit('",'), more, lit("}"))
-    d = table(spark, sf_dir, "part").select("p_partkey", lit("u").alias("url"), page(s).alias("html"))
+    d = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", lit("u").alias("url"), page(s).alias("html"))
     return _parts(d, "p_partkey").select("p_partkey", "name", "metadata", "text")
 
 
