@@ -12,7 +12,7 @@ from larderflow.operators import dom, extract, html_class
 
 SF = "/root/testdata/sf0.001"
 #: Queries that make pages of a small table's rows, which is one file with one row group, so one task.
-SPREAD = "html_class_recipe broken_pages html_class_fuzzy extractor_chain jsonld_nodes jsonld_reject jsonld_repair microdata_recipe jsonld_sections jsonld_fields html_strip nutrition_yaml"
+SPREAD = "html_class_recipe broken_pages html_class_fuzzy extractor_chain jsonld_nodes jsonld_reject jsonld_repair microdata_recipe jsonld_sections jsonld_fields html_strip nutrition_yaml jsonld_instructions"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
