@@ -112,3 +112,9 @@ def test_plain_scalars_take_one_look(spark):
     d = spark.createDataFrame(rows, "v string").where(rlike(text._PLAIN))
     assert d.count() > 20 and {"Order 12", "http://x.org/a b"} <= {x[0] for x in d.collect()}
     assert d.where(rlike(text._CONTROL) | rlike(text._TYPED) | rlike(text._SPECIAL) | F.contains(v, F.lit("\n")) | (v == "")).count() == 0
+
+
+def test_entity_cut_before_its_semicolon(spark):
+    """As in headings of the driver's pages: an HTML reader knows it all the same."""
+    d = spark.createDataFrame([("<h1>a&amp;&amp</h1>",), ("<h1>a&amp;b</h1>",)], "html string")
+    assert [r[0] for r in d.select(extract.heading("html")).collect()] == ["a&&", "a&b"]
